@@ -118,7 +118,7 @@ def states(spark: SparkSession, data_types=DATA_TYPES) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "data_type string, idx int, symbol string"))
 
 
-def models(spark: SparkSession, code: int = 0) -> DataFrame:
+def model_rows(code: int = 0) -> list[tuple]:
     """One row per model and rate form: data type, equilibrium form, k, switch section and name."""
     n_sense = len(sense_codons(code))
     df = n_sense - 20
@@ -138,10 +138,16 @@ def models(spark: SparkSession, code: int = 0) -> DataFrame:
     for eqm, switch in CODON_MODELS.items():
         add(f"CodonM0.{code}.{eqm}", "CodonReduced", "M0", eqm, CODON_K.get(eqm, 2 + n_sense),
             "codon", switch.lower())
-    return F.broadcast(
-        spark.createDataFrame(
-            rows,
-            "model_no int, name string, data_type string, core string, eqm string, gamma boolean, "
-            "k int, section string, switch string",
-        )
-    )
+    return rows
+
+
+MODEL_FIELDS = ["model_no", "name", "data_type", "core", "eqm", "gamma", "k", "section", "switch"]
+
+
+def model_array(code: int = 0):
+    """The catalogue as one array literal, to expand a row per alignment without a join."""
+    types = ["int", "string", "string", "string", "string", "boolean", "int", "string", "string"]
+    return F.array(*[
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(row, types, MODEL_FIELDS)])
+        for row in model_rows(code)
+    ])

@@ -13,7 +13,8 @@ from oracle.common import r, with_
 
 
 def rnd(c, places=6):
-    return F.round(c, places) + F.lit(0.0)
+    """Rounded; the nudge sends exact halves the same way on both sides."""
+    return F.round(c + F.lit(10.0 ** -(places + 4)), places) + F.lit(0.0)
 
 
 def cleaned(spark, sf):

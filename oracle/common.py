@@ -62,9 +62,39 @@ PATTERNS = """
 cols as (select family, pos, string_agg(ch, '' order by seq_id) pattern from ksites group by 1, 2),
 patterns as (select family, pattern, count(*) n from cols group by 1, 2)"""
 
-PARTS = {"sites": SITES, "seqs": SEQS, "edges": EDGES, "code": code_cte(), "codes": code_cte(range(12)),
+CLOS = """
+nodes as (select tree_id, family, node, leaf_seq from edges union all select distinct tree_id, family, 0, null::bigint from edges),
+clos as (select tree_id, family, node, node anc, 0 hops, 0.0::double dist, leaf_seq from nodes
+  union all select c.tree_id, c.family, c.node, e.parent, c.hops + 1, c.dist + e.length, c.leaf_seq
+  from clos c join edges e on e.tree_id = c.tree_id and e.family = c.family and e.node = c.anc),
+below as (select tree_id, family, anc node, leaf_seq, hops, dist from clos where leaf_seq is not null)"""
+SPLITS = """
+ev as (select tree_id, family, list(leaf_seq order by leaf_seq) every from edges where leaf_seq is not null group by 1, 2),
+un as (select tree_id, family, node, list(leaf_seq order by leaf_seq) under from below where node <> 0 group by 1, 2, 3),
+splits as (select tree_id, family, node, every, case when list_contains(under, every[1]) then under
+   else [x for x in every if not list_contains(under, x)] end side from un join ev using (tree_id, family))"""
+LEAFD = """
+leafd as (select a.tree_id, a.family, a.leaf_seq i, b.leaf_seq j, min(a.dist + b.dist) d, min(a.hops + b.hops) hops
+  from below a join below b on a.tree_id = b.tree_id and a.family = b.family and a.node = b.node and a.leaf_seq < b.leaf_seq
+  group by 1, 2, 3, 4)"""
+# Pair counts by direct comparison of cells.
+PAIRS = """
+pairs as (select a.family, a.seq_id i, b.seq_id j, count(*) n_sites,
+   count(*) filter (a.ch <> '-' and b.ch <> '-') n_both,
+   count(*) filter (a.ch <> '-' and b.ch <> '-' and a.ch <> b.ch) n_diff,
+   count(*) filter ((a.ch = '-') <> (b.ch = '-')) n_gap_diff,
+   count(*) filter (least(a.ch, b.ch) || greatest(a.ch, b.ch) in ('AG', 'CT')) n_ts
+  from ksites a join ksites b on a.family = b.family and a.pos = b.pos and a.seq_id < b.seq_id group by 1, 2, 3)"""
+AADIST = """
+aap as (select a.family, a.seq_id i, b.seq_id j, count(a.aa + b.aa) n, count(*) filter (a.aa <> b.aa) nd
+  from kcodons a join kcodons b on a.family = b.family and a.cpos = b.cpos and a.seq_id < b.seq_id group by 1, 2, 3),
+aad as (select family, i, j, n, nd, case when n = 0 or 1 - nd / n / 0.95 <= 0 then 20.0
+   else greatest(0, -0.95 * ln(1 - nd / n / 0.95)) end d from aap)"""
+
+PARTS = {"clos": CLOS, "splits": SPLITS, "leafd": LEAFD, "pairs": PAIRS, "aadist": AADIST, "sites": SITES, "seqs": SEQS, "edges": EDGES, "code": code_cte(), "codes": code_cte(range(12)),
          "codons": CODONS, "clean": CLEAN, "patterns": PATTERNS}
-NEEDS = {"seqs": ["sites"], "codons": ["sites"], "clean": ["codons", "code"], "patterns": ["clean"]}
+NEEDS = {"clos": ["edges"], "splits": ["clos"], "leafd": ["clos"], "pairs": ["clean"], "aadist": ["clean"],
+         "seqs": ["sites"], "codons": ["sites"], "clean": ["codons", "code"], "patterns": ["clean"]}
 
 
 def with_(parts: str, body: str, extra: str = "") -> str:
@@ -80,8 +110,8 @@ def with_(parts: str, body: str, extra: str = "") -> str:
     for p in parts.split():
         add(p)
     ctes = [PARTS[p].strip() for p in order] + ([extra.strip().rstrip(",")] if extra else [])
-    return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    return ("with recursive " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
 def r(expr: str, places: int = 6) -> str:
-    return f"round(({expr})::double, {places}) + 0.0"
+    return f"round(({expr})::double + 1e-{places + 4}::double, {places}) + 0.0"
