@@ -46,7 +46,7 @@ def closure(edges: DataFrame) -> DataFrame:
             jump = cut(jump.join(step, [*keys, "anc"]).select(
                 *keys, "node", F.col("top").alias("anc"), (F.col("hops") + F.col("h2")).alias("hops"),
                 (F.col("dist") + F.col("d2")).alias("dist")))
-            if jump.isEmpty():
+            if rounds > 6 and jump.isEmpty():
                 break
     return cut(acc)
 

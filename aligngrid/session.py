@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = pathlib.Path(__file__).resolve().parent
+        base = tempfile.mkdtemp(prefix="aligngrid-py-")
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(f"{base}/aligngrid", "zip", root_dir=root.parent, base_dir=root.name))
+        _shipped.add(app)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
