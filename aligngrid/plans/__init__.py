@@ -4,6 +4,6 @@ def load():
 
     from aligngrid.plans import registry
 
-    for name in ("recoding", "counting", "pairing", "treework", "modelling", "scoring"):
+    for name in ("recoding", "counting", "pairing", "treework", "modelling", "scoring", "files"):
         importlib.import_module(f"aligngrid.plans.{name}")
     return registry.QUERIES, registry.ORACLE
