@@ -18,6 +18,7 @@ from aligngrid.plans.counting import clean_sites
 from aligngrid.plans.modelling import AAF, aa_freq, estimated
 from aligngrid.plans.recoding import cleaned, rnd
 from aligngrid.plans.registry import query
+from aligngrid.plans.treework import _greedy_sql
 from aligngrid.session import cut, new_path
 from aligngrid.sources import alignments as Al
 from aligngrid.sources import newick as N
@@ -25,7 +26,9 @@ from aligngrid.sources import settings as Se
 from aligngrid.sources import sinks as Si
 from oracle.common import r, with_
 
-FAMILY = F.regexp_extract("family", r"family=(\d+)", 1).cast("bigint")
+
+def family_of(path="family"):
+    return F.regexp_extract(path, r"family=(\d+)", 1).cast("bigint").alias("family")
 
 
 def written(spark, seqs):
@@ -38,7 +41,7 @@ def written(spark, seqs):
 @query("src_alignments", with_("seqs", "select family, seq_id, 's' || seq_id \"name\", seq, length(seq) n_site from seqs"))
 def src_alignments(spark, sf):
     back = Al.read_alignments(spark, written(spark, X.seqs(spark, sf)))
-    return back.select(FAMILY.alias("family"), "seq_id", "name", "seq", "n_site")
+    return back.select(family_of(), "seq_id", "name", "seq", "n_site")
 
 
 @query("snk_sequential", with_("seqs", """
@@ -48,7 +51,7 @@ def snk_sequential(spark, sf):
     from aligngrid.sources.lines import read_lines
 
     path = written(spark, X.seqs(spark, sf))
-    return read_lines(spark, path).withColumnRenamed("path", "family").select(FAMILY.alias("family"), "idx", "line")
+    return read_lines(spark, path).withColumnRenamed("path", "family").select(family_of(), "idx", "line")
 
 
 @query("snk_trimmed", with_("clean leafd", """
@@ -57,14 +60,14 @@ select family, seq_id, string_agg(ch, '' order by rk) seq from (
  join ch4 using (family) where leaf_seq = seq_id and tree_id = 0
   and exists (select 1 from ksites o join ch4 c on c.family = o.family and c.leaf_seq = o.seq_id and c.tree_id = 0
     where o.family = s.family and o.pos = s.pos and o.ch <> '-')) group by 1, 2""",
-    __import__("aligngrid.plans.treework", fromlist=["_greedy_sql"])._greedy_sql(6)))
+    _greedy_sql(6)))
 def snk_trimmed(spark, sf):
     sites = clean_sites(spark, sf)
     keep = T.greedy_trim(X.edges(spark, sf).filter("tree_id = 0"), 6)
     small = clean.remove_all_gap(sites.join(keep.select("family", F.col("leaf_seq").alias("seq_id")), ["family", "seq_id"], "left_semi"))
     seqs = recode.join_sites(small).withColumn("name", F.concat(F.lit("s"), F.col("seq_id")))
     back = Al.read_alignments(spark, written(spark, seqs))
-    return back.select(FAMILY.alias("family"), F.substring("name", 2, 20).cast("bigint").alias("seq_id"), "seq")
+    return back.select(family_of(), F.substring("name", 2, 20).cast("bigint").alias("seq_id"), "seq")
 
 
 def manifest_files(spark, sf):
