@@ -147,7 +147,13 @@ MODEL_FIELDS = ["model_no", "name", "data_type", "core", "eqm", "gamma", "k", "s
 def model_array(code: int = 0):
     """The catalogue as one array literal, to expand a row per alignment without a join."""
     types = ["int", "string", "string", "string", "string", "boolean", "int", "string", "string"]
-    return F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(row, types, MODEL_FIELDS)])
+
+    def cell(v, t):
+        text = "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+        return f"cast({text} as {t})"
+
+    rows = [
+        "named_struct(" + ",".join(f"'{n}',{cell(v, t)}" for n, v, t in zip(MODEL_FIELDS, row, types)) + ")"
         for row in model_rows(code)
-    ])
+    ]
+    return F.expr("array(" + ",".join(rows) + ")")

@@ -132,22 +132,21 @@ def codon_eqm(codons: DataFrame, code: int = 0) -> DataFrame:
     """
     sense = catalog.sense_codons(code)
     counts = base_counts(codons)
-    f1_total = sum((_f1x4_count(b) for b in BASES), F.lit(0.0))
-    row = counts.select(
-        "family",
-        *[(_f1x4_count(b) / f1_total).alias(f"a{b}") for b in BASES],
-        *[_f3x4_freq(k, b).alias(f"b{k}{b}") for k in range(3) for b in BASES],
-    )
-    raw1 = F.array(*[F.col(f"a{c[0]}") * F.col(f"a{c[1]}") * F.col(f"a{c[2]}") for c in sense])
-    raw3 = F.array(*[F.col(f"b0{c[0]}") * F.col(f"b1{c[1]}") * F.col(f"b2{c[2]}") for c in sense])
-    row = row.select("family", raw1.alias("r1"), raw3.alias("r3"))
+    pooled = {b: f"(n_0{b} + n_1{b} + n_2{b} + 0.75D * n_gap)" for b in BASES}
+    f1 = {b: f"{pooled[b]} / ({' + '.join(pooled.values())})" for b in BASES}
+    cell = {(k, b): f"(n_{k}{b} + 0.25D * n_gap)" for k in range(3) for b in BASES}
+    f3 = {(k, b): f"{cell[k, b]} / ({' + '.join(cell[k, x] for x in BASES)})" for k in range(3) for b in BASES}
+    row = counts.selectExpr("family", *[f"{f1[b]} as a{b}" for b in BASES], *[f"{f3[k, b]} as b{k}{b}" for k, b in cell])
+    raw1 = "array(" + ",".join(f"a{c[0]} * a{c[1]} * a{c[2]}" for c in sense) + ") as r1"
+    raw3 = "array(" + ",".join(f"b0{c[0]} * b1{c[1]} * b2{c[2]}" for c in sense) + ") as r3"
+    row = row.selectExpr("family", raw1, raw3)
 
     def scaled(c):
         total = F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
         return F.transform(c, lambda x: x / total)
 
-    equ = F.array(*[F.lit(1.0 / len(sense))] * len(sense))
-    names = F.array(*map(F.lit, sense))
+    equ = F.array_repeat(F.lit(1.0 / len(sense)), len(sense))
+    names = F.expr("array(" + ",".join(f"'{c}'" for c in sense) + ")")
     forms = F.array(*[
         F.struct(F.lit(n).alias("eqm"), v.alias("pi"))
         for n, v in (("EQU", equ), ("F1X4", scaled(F.col("r1"))), ("F3X4", scaled(F.col("r3"))))
