@@ -251,9 +251,10 @@ def greedy_trim(edges: DataFrame, k: int) -> DataFrame:
     """
     keys = _tree_keys(edges)
     n = edges.withColumn("length", F.when(F.col("length") <= 1.2e-7, F.lit(1e-4) * (F.col("node") % 97 + 1) / 98.0).otherwise(F.col("length")))
-    d = leaf_distances(n).select(*keys, "i", "j", "d")
+    d = cut(leaf_distances(cut(n)).select(*keys, "i", "j", "d"))
     full = cut(d.unionByName(d.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "d")))
     best = d.groupBy(*keys).agg(F.max_by(F.struct("i", "j", "d"), F.struct("d", -F.col("i"), -F.col("j"))).alias("z")).select(*keys, "z.*")
+    best = cut(best)
     chosen = best.select(*keys, F.explode(F.array("i", "j")).alias("leaf_seq"), F.lit(0).alias("round"))
     start = best.select(*keys, F.col("i").alias("p"), F.col("j").alias("q"), F.col("d").alias("d_pq"))
     rest = full.join(start.select(*keys, F.col("p").alias("i"), "q", "d_pq"), [*keys, "i"]).select(

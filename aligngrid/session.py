@@ -63,11 +63,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and drop its lineage."""
+    """Materialise `df` in the shared folder and drop its lineage.
+
+    Unions add up partitions from round to round, so no more than the session's
+    shuffle partitions are kept.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(most).checkpoint(eager=True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
