@@ -15,4 +15,4 @@ def load():
     return queries, oracle
 
 
-MODULES = ["repetition"]
+MODULES = ["repetition", "minhash"]

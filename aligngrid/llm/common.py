@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, size: int = BLOCK_BYTES
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        lengths = np.asarray(pa.compute.binary_length(col.cast(pa.binary())).fill_null(0), dtype=np.int64)
+        lengths = np.asarray(pc.binary_length(col.cast(pa.binary())).fill_null(0), dtype=np.int64)
         block_of = np.cumsum(lengths) // size
         starts = np.flatnonzero(np.diff(block_of, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
