@@ -15,4 +15,4 @@ def load():
     return queries, oracle
 
 
-MODULES = ["repetition", "minhash"]
+MODULES = ["mixing", "repetition", "minhash"]
