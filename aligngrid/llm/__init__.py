@@ -15,4 +15,4 @@ def load():
     return queries, oracle
 
 
-MODULES = ["mixing", "repetition", "minhash"]
+MODULES = ["mixing", "repetition", "pieces", "minhash"]
