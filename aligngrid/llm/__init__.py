@@ -15,4 +15,4 @@ def load():
     return queries, oracle
 
 
-MODULES = ["mixing", "fingerprint", "repetition", "pieces", "minhash"]
+MODULES = ["mixing", "fingerprint", "repetition", "pieces", "hosts", "minhash"]
