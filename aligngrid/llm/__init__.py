@@ -15,4 +15,4 @@ def load():
     return queries, oracle
 
 
-MODULES = ["mixing", "fingerprint", "repetition", "pieces", "hosts", "revisits", "minhash"]
+MODULES = ["mixing", "fingerprint", "toolcalls", "repetition", "pieces", "hosts", "revisits", "minhash"]
