@@ -15,4 +15,5 @@ def load():
     return queries, oracle
 
 
-MODULES = ["mixing", "fingerprint", "toolcalls", "repetition", "pieces", "hosts", "revisits", "minhash"]
+MODULES = ["mixing", "fingerprint", "pii", "toolcalls", "repetition", "pieces", "hosts", "revisits",
+           "minhash"]
