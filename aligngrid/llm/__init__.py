@@ -15,5 +15,5 @@ def load():
     return queries, oracle
 
 
-MODULES = ["mixing", "fingerprint", "pii", "toolcalls", "repetition", "pieces", "hosts", "revisits",
+MODULES = ["mixing", "fingerprint", "pii", "toolcalls", "repetition", "pieces", "suffix_dedup", "hosts", "revisits",
            "minhash"]
