@@ -28,8 +28,8 @@ from aligngrid.llm.common import blocks, python_map, table, texts_of
 #: Default place of the model; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of text in a block: the larger, the more chunks are repeats.
-BLOCK = 8 << 20
+#: Bytes of text in a block, and characters of new chunks that are indexed at once (a longer chunk is indexed alone).
+BLOCK, INDEXED = 4 << 20, 700_000
 #: So many chunks of earlier blocks are kept by a worker with their ids, then it starts anew.
 KNOWN = 1_000_000
 _MEMO_BITS = 21
@@ -86,12 +86,15 @@ class Pieces:
         self.spelled = np.zeros((self.size, self.depth), np.uint16)
         for k, p in enumerate(kept):
             self.spelled[k, :len(p)] = [number[c] + 1 for c in p]
+        filled = np.where(np.arange(4) < self.length[:-1, None], self.spelled[:, :4], 0xFFFF)
+        self.head_low, self.head_high = _packed(*self.spelled[:, :4].T), _packed(*filled.T)
         raw = [b""] * self.n_ids
         for i, p in enumerate(model.pieces):
             raw[i] = (bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else
                       " ⁇ ".encode() if p.type == 2 else p.piece.replace(MARK, " ").encode())
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(x) for x in raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.memo_key = np.full(1 << _MEMO_BITS, -1, np.int64)
         self.memo_ok = np.zeros(1 << _MEMO_BITS, bool)
         self.forget()
@@ -172,13 +175,20 @@ def _pieces(data: bytes) -> Pieces:
     return _loaded[key]
 
 
-def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of 16-bit `symbols` (with `depth` zeros behind them) in the order of `depth` symbols."""
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Four 16-bit symbols as one number of the same order."""
+    return (a.astype(np.uint64) << np.uint64(48) | b.astype(np.uint64) << np.uint64(32)
+            | c.astype(np.uint64) << np.uint64(16) | d.astype(np.uint64))
+
+
+def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the suffixes of 16-bit `symbols` (with `depth` zeros behind them) in the order of `depth` symbols, and the
+    first four symbols of each as a number."""
     n = len(symbols) - depth
-    wide = symbols.astype(np.uint64)
-    key = (wide[:n] << np.uint64(48) | wide[1:n + 1] << np.uint64(32) | wide[2:n + 2] << np.uint64(16) | wide[3:n + 3])
+    key = _packed(*(symbols[i:n + i] for i in range(4)))
     sa = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]]))
+    heads = key = key[sa]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(first, append=n)
     rank = np.zeros(n + 2 * depth, np.int64)
     rank[sa] = 1 + np.repeat(first, size)
@@ -194,30 +204,36 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank[at] = 1 + np.repeat(open_at[first], size)
         open_at = open_at[np.repeat(size > 1, size)]
         h *= 2
-    return sa
+    return sa, heads
 
 
-def occurrences(pieces: Pieces, symbols: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces that occur, and their ranges in the suffix array, by bisection of all pieces at once."""
+def occurrences(pieces: Pieces, symbols: np.ndarray, sa: np.ndarray,
+                heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that occur, and their ranges in the suffix array, by bisection of all pieces at once: by four symbols first, then
+    symbol by symbol inside the range."""
     present = np.zeros(1 << 16, bool)
     present[symbols] = True
     ask = np.flatnonzero(present[pieces.spelled].all(axis=1))  # the filler 0 is always there
-    spelled, length = pieces.spelled[ask].astype(np.int32), pieces.length[ask]
-    inside = np.arange(pieces.depth) < length[:, None]
+    low = np.searchsorted(heads, pieces.head_low[ask], side="left")
+    high = np.searchsorted(heads, pieces.head_high[ask], side="right")
+    some = high > low
+    ask, low, high = ask[some], low[some], high[some]
+    deep = np.flatnonzero(pieces.length[ask] > 4)
+    spelled, length = pieces.spelled[ask[deep]].astype(np.int32), pieces.length[ask[deep]]
     places = np.arange(pieces.depth)
+    inside = places < length[:, None]
 
     def bound(after: bool) -> np.ndarray:
-        low, high = np.zeros(len(ask), np.int64), np.full(len(ask), len(sa))
-        while (go := np.flatnonzero(low < high)).size:
-            mid = (low[go] + high[go]) // 2
+        a, b = low[deep], high[deep]
+        while (go := np.flatnonzero(a < b)).size:
+            mid = (a[go] + b[go]) // 2
             gap = np.where(inside[go], symbols[sa[mid][:, None] + places].astype(np.int32) - spelled[go], 0)
-            where = (gap != 0).argmax(axis=1)
-            gap = gap[np.arange(len(go)), where]
+            gap = gap[np.arange(len(go)), (gap != 0).argmax(axis=1)]
             right = gap <= 0 if after else gap < 0
-            low[go[right]], high[go[~right]] = mid[right] + 1, mid[~right]
-        return low
+            a[go[right]], b[go[~right]] = mid[right] + 1, mid[~right]
+        return a
 
-    low, high = bound(False), bound(True)
+    low[deep], high[deep] = bound(False), bound(True)
     some = high > low
     return ask[some], low[some], high[some]
 
@@ -236,23 +252,23 @@ def encode_chunks(pieces: Pieces, chunks: list[str]) -> tuple[np.ndarray, np.nda
     symbols[:len(points)] = pieces.symbol[points]
     symbols[ends] = 0
     n = len(points)
-    sa = sorted_suffixes(symbols[:n + pieces.depth], pieces.depth)
-    which, low, high = occurrences(pieces, symbols, sa)
+    which, low, high = occurrences(pieces, symbols, *(found := sorted_suffixes(symbols[:n + pieces.depth], pieces.depth)))
+    sa = found[0]
     count = high - low
-    edge_piece = np.repeat(which, count)
-    edge_start = sa[np.repeat(low, count) + _ramp(count)]
+    small = np.int32 if n < 1 << 30 else np.int64
     strange = np.flatnonzero(symbols[:n] == 0xFFFF)
-    edge_piece = np.append(edge_piece, np.full(len(strange), pieces.size))
-    edge_start = np.append(edge_start, strange)
-    size = pieces.length[edge_piece]
-    chunk_start = np.repeat(starts, lengths)
-    wave = edge_start + size - chunk_start[edge_start]
-    order = np.lexsort((-size, wave)) if len(wave) else np.zeros(0, np.int64)
+    edge_piece = np.append(np.repeat(which.astype(np.int32), count), np.full(len(strange), pieces.size, np.int32))
+    edge_start = np.append(sa.astype(small)[np.repeat(low, count) + _ramp(count)], strange.astype(small))
+    chunk_start = np.repeat(starts.astype(small), lengths)
+    size = pieces.length.astype(np.int32)[edge_piece]
+    # Edges by the place in the chunk where they end, longer ones first.
+    wave = (edge_start + size - chunk_start[edge_start]).astype(np.int64) * (pieces.depth + 1) + pieces.depth - size
+    order = np.argsort(wave.astype(np.uint16) if wave.max(initial=0) < 1 << 16 else wave, kind="stable")
     edge_piece, edge_start, size, wave = (x[order] for x in (edge_piece, edge_start, size, wave))
     last = np.full(n + 1, -1, np.int64)  # the last piece of the encoding of the chunk up to a place
-    step = np.flatnonzero(np.concatenate([[True], (np.diff(wave) != 0) | (np.diff(size) != 0)])) if len(wave) else []
+    step = np.flatnonzero(np.diff(wave, prepend=-1))
     for a, b in zip(step, [*step[1:], len(wave)]):
-        s, t = edge_start[a:b], edge_piece[a:b]
+        s, t = edge_start[a:b].astype(np.int64), edge_piece[a:b].astype(np.int64)
         e = s + size[a:b]
         open_ = last[e] < 0  # a longer edge may have settled the place
         s, t, e = s[open_], t[open_], e[open_]
@@ -294,9 +310,11 @@ def encode(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     number = pieces.known
     if new := [w for w in dict.fromkeys(flat) if w not in number]:
         number.update(zip(new, range(len(number), len(number) + len(new))))
-        ids, n_ids = encode_chunks(pieces, [MARK + w for w in new])
-        pieces.known_ids = np.append(pieces.known_ids, ids)
-        pieces.known_counts = np.append(pieces.known_counts, n_ids)
+        part = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 2) // INDEXED
+        begin = np.flatnonzero(np.diff(part, prepend=-1))
+        made = [encode_chunks(pieces, [MARK + w for w in new[a:b]]) for a, b in zip(begin, [*begin[1:], len(new)])]
+        pieces.known_ids = np.concatenate([pieces.known_ids, *(ids for ids, _ in made)])
+        pieces.known_counts = np.concatenate([pieces.known_counts, *(n for _, n in made)])
     code = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     ids, n_ids = pieces.known_ids, pieces.known_counts
     first = np.cumsum(n_ids) - n_ids
@@ -333,41 +351,53 @@ def encode(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(text_of, weights=take, minlength=len(texts)).astype(np.int64)
 
 
-def decode(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-    """Texts of ids; bytes that are no UTF-8 become the replacement character."""
+def _spelled(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+    """The bytes of each text."""
     size = pieces.raw_size[ids]
-    start = (np.cumsum(pieces.raw_size) - pieces.raw_size)[ids]
-    raw = pieces.raw[np.repeat(start, size) + _ramp(size)].tobytes()
-    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
-    out, a = [], 0
-    for b in ends:
-        out.append(raw[a + (raw[a:a + 1] == b" "):b].decode("utf-8", "replace"))
+    raw = pieces.raw[np.repeat(pieces.raw_start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+    a = 0
+    for b in np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)].tolist():
+        yield raw[a + (raw[a:a + 1] == b" "):b]
         a = b
-    return out
+
+
+def decode(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """Texts of ids; bytes that are no UTF-8 become the replacement character."""
+    return [x.decode("utf-8", "replace") for x in _spelled(pieces, ids, counts)]
 
 
 def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [extra])
 
 
-def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", *, model: str = MODEL) -> DataFrame:
-    """`df` with `ids` (array of int), the pieces of the whole text.
+def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", *, model: str = MODEL,
+                 keep: list[str] | None = None, round_trip: str | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with `ids` (array of int), the pieces of the whole text.
+
+    round_trip: names a further column, whether decoding the ids gives the text back (U+2581 comes back as a space).
 
     Null and empty texts have an empty array; equal rows get equal ids; a column already named `ids` is replaced; an
     empty table gives an empty result. A text is decoded and searched as a whole, however long it is.
     """
-    own = df.drop(ids)
+    stay = [c for c in (df.columns if keep is None else keep) if c not in (ids, round_trip)]
+    own = df.select(*dict.fromkeys([*stay, text]))
     data = pathlib.Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(data)
+        mark, space = MARK.encode(), b" "
         for block in blocks(batches, text, BLOCK):
-            flat, counts = encode(pieces, texts_of(block, text))
+            texts = texts_of(block, text)
+            flat, counts = encode(pieces, texts)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*block.columns, lists], names=[*block.schema.names, ids])
+            columns = [block.column(block.schema.get_field_index(c)) for c in stay]
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
+            if round_trip:
+                columns.append(pa.array([x == t.replace(mark, space) for x, t in zip(_spelled(pieces, flat, counts), texts)]))
+            yield pa.RecordBatch.from_arrays(columns, names=[*stay, ids, *([round_trip] if round_trip else [])])
 
-    return python_map(own, run, _schema(own, f"`{ids}` array<int>"))
+    return python_map(own, run, _schema(own.select(*stay), f"`{ids}` array<int>" + (
+        f", `{round_trip}` boolean" if round_trip else "")))
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", text: str = "decoded", *, model: str = MODEL) -> DataFrame:
@@ -391,9 +421,8 @@ def decode_ids(df: DataFrame, ids: str = "ids", text: str = "decoded", *, model:
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids and whether decoding gives the text back."""
-    both = decode_ids(encode_texts(docs.select("doc_id", "text"), model=model), model=model)
-    return both.selectExpr("doc_id", "size(ids) AS n_pieces", "ids",
-                           f"decoded = replace(coalesce(text, ''), '{MARK}', ' ') AS round_trip")
+    out = encode_texts(docs, model=model, keep=["doc_id"], round_trip="round_trip")
+    return out.selectExpr("doc_id", "size(ids) AS n_pieces", "ids", "round_trip")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
