@@ -123,13 +123,17 @@ def training_texts(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     body = f"substring({number}, 1, char_length({number}) - 1)"
     valid = f"concat({body}, filter(array('0','1','2','3','4','5','6','7','8','9'), d -> luhn_check(concat({body}, d)))[0])"
     wrong = f"concat({body}, filter(array('0','1','2','3','4','5','6','7','8','9'), d -> NOT luhn_check(concat({body}, d)))[0])"
+    def other(salt: str) -> str:  # a number that fails the check
+        start = digits(salt, 15)
+        return f"concat({start}, filter(array('0','1','2','3'), d -> NOT luhn_check(concat({start}, d)))[0])"
+
     phone = f"concat('(', {digits('p', 3)}, ') ', {digits('q', 3)}, '-', {digits('r', 4)})"
     cue = f"element_at(array('token', 'password', 'secret', 'api_key', 'auth_token', 'PASSWORD', 'Bearer'), cast({num('u', 7)} + 1 AS int))"
     sign = f"element_at(array(' = \"', '=', ': ', '=\"', ' '), cast({num('s', 5)} + 1 AS int))"
     trace = f"element_at(array('commit ', 'sha ', 'build-', 'file/', 'rev:', 'hash=', 'order '), cast({num('t', 7)} + 1 AS int))"
     kinds = [  # (value, what stands before it, personal)
         (hexed, f"concat({cue}, {sign})", True), (mixed, f"concat({cue}, {sign})", True), (hexed, f"concat({cue}, {sign})", True),
-        (valid, "''", True), (valid, "'card '", True), (valid, f"concat({digits('o', 16)}, ' ')", True),
+        (valid, "''", True), (valid, "'card '", True), (valid, f"concat({other('o')}, ' ')", True),
         (phone, "''", True), (f"replace(replace({phone}, '(', ''), ') ', '-')", "'tel '", True),
         (f"concat({word('e')}, ' [at] ', {word('f')}, '.com')", "''", True),
         (wrong, "''", False), (wrong, "'order '", False), (hexed, trace, False),
@@ -144,7 +148,7 @@ def training_texts(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     made = spark.range(rows).selectExpr("cast(id AS string) AS seed").selectExpr(
         "seed", f"{value} AS value", f"{before} AS before", f"{personal} AS personal")
     quote = "if(before LIKE '%\"', '\"', '')"
-    more = f"if(personal AND value RLIKE '^[0-9]+$' AND {num('more', 3)} = 0, concat(' ', {digits('o2', 16)}), '')"
+    more = f"if(personal AND value RLIKE '^[0-9]+$' AND {num('more', 3)} = 0, concat(' ', {other('o2')}), '')"
     return made.selectExpr(
         "seed", f"concat({word('l1')}, ' ', {word('l2')}, '. ', before, value, {quote}, {more}, ' ', {word('r1')}, ', ', {word('r2')}) AS text",
         "if(personal, value, null) AS truth")
