@@ -52,12 +52,13 @@ def partials(patterns: DataFrame, edges: DataFrame, clos: DataFrame, params: Dat
                else M.f81_message(vec, F.col("length"), pi))
         up = kids.select(*KEYS, F.col("parent").alias("node"), "pattern_id", "scale",
                          *[F.greatest(msg[s], F.lit(0.0)).alias(f"l_{s}") for s in states])
+        # products as sums of logarithms: a node of very many children does not underflow
         up = up.groupBy(*KEYS, "node", "pattern_id").agg(
-            *[F.product(c).alias(c) for c in ls], F.sum("scale").cast("int").alias("scale"))
+            *[F.sum(F.log10(F.greatest(F.col(c), F.lit(1e-300)))).alias(c) for c in ls], F.sum("scale").cast("int").alias("scale"))
         most = F.greatest(*[F.col(c) for c in ls])
-        powers = F.when((most < 0.1) & (most > 0), F.floor(-F.log10(most))).otherwise(0).cast("int")
+        powers = F.when(most < -1, F.floor(-most)).otherwise(0).cast("int")
         up = up.withColumn("k", powers).select(
-            *KEYS, "node", "pattern_id", *[(F.col(c) * F.pow(F.lit(10.0), F.col("k"))).alias(c) for c in ls],
+            *KEYS, "node", "pattern_id", *[F.pow(F.lit(10.0), F.col(c) + F.col("k")).alias(c) for c in ls],
             (F.col("scale") + F.col("k")).cast("int").alias("scale"))
         out = out.unionByName(cut(up))
     return out

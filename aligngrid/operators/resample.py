@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PRIME = 1000003  # fixed values of the draw: a cubic of the site and replicate modulo a prime
-A, B = 7919, 104729
+DIGITS = 15  # hexadecimal digits of a draw: 60 bits, so the remainder is even over any alignment
 
 
 def draws(columns: DataFrame, n_rep: int, seed: int = 12345) -> DataFrame:
     """family, rep, draw, pos: for each of the N sites of an alignment, the site drawn in its place.
 
-    columns: family, pos with pos = 0..N-1. Rows are made in place; only N is looked up.
+    columns: family, pos with pos = 0..N-1; other positions raise. Rows are made in place; only N is looked up. A
+    draw is a digest of family, replicate, draw and seed, so replicates are independent at any length.
     """
-    sizes = columns.groupBy("family").agg(F.count("*").alias("n"))
+    dense = (F.min("pos") == 0) & (F.max("pos") + 1 == F.count("*"))
+    sizes = columns.groupBy("family").agg(F.when(dense, F.count("*")).otherwise(
+        F.raise_error(F.lit("positions must run from 0 without gaps")).cast("bigint")).alias("n"))
     rows = columns.select("family", F.col("pos").cast("bigint").alias("draw")).join(sizes, "family").select(
         "family", "draw", "n", F.explode(F.array(*[F.lit(r).cast("bigint") for r in range(n_rep)])).alias("rep"))
-    x = (F.col("draw") * A + F.col("rep") * B + seed) % PRIME
-    y = ((x * x) % PRIME * (x + 17)) % PRIME
+    text = F.concat_ws("-", F.col("family").cast("string"), F.col("rep").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
+    y = F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("bigint")
     return rows.select("family", "rep", "draw", (y % F.col("n")).alias("pos"))
 
 

@@ -250,9 +250,12 @@ def greedy_trim(edges: DataFrame, k: int) -> DataFrame:
     lower it, so a round joins one new leaf per tree against the rest.
     """
     keys = _tree_keys(edges)
-    n = edges.withColumn("length", F.when(F.col("length") <= 1.2e-7, F.lit(1e-4) * (F.col("node") % 97 + 1) / 98.0).otherwise(F.col("length")))
+    # branches of no length get 1e-4 x rank / n of their node in the tree
+    tree = Window.partitionBy(*keys)
+    share = F.row_number().over(tree.orderBy("node")) / F.count("*").over(tree)
+    n = edges.withColumn("length", F.when(F.col("length") <= 1.2e-7, 1e-4 * share).otherwise(F.col("length")))
     d = cut(leaf_distances(cut(n)).select(*keys, "i", "j", "d"))
-    full = cut(d.unionByName(d.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "d")))
+    full = cut(d.unionByName(d.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "d")), merge=True)
     best = d.groupBy(*keys).agg(F.max_by(F.struct("i", "j", "d"), F.struct("d", -F.col("i"), -F.col("j"))).alias("z")).select(*keys, "z.*")
     best = cut(best)
     chosen = best.select(*keys, F.explode(F.array("i", "j")).alias("leaf_seq"), F.lit(0).alias("round"))
@@ -274,7 +277,7 @@ def greedy_trim(edges: DataFrame, k: int) -> DataFrame:
         rest = cut(
             rest.join(new.withColumnRenamed("z", "x"), [*keys, "x"], "left_anti").join(low, [*keys, "x"])
             .select(*keys, "x", F.least("att", "low").alias("att")))
-        chosen = cut(chosen.unionByName(new.select(*keys, F.col("z").alias("leaf_seq"), F.lit(r).alias("round"))))
+        chosen = cut(chosen.unionByName(new.select(*keys, F.col("z").alias("leaf_seq"), F.lit(r).alias("round"))), merge=True)
     return chosen
 
 
@@ -285,7 +288,7 @@ def bionj(dist: DataFrame) -> DataFrame:
     one row-sum aggregate, one arg-min per tree and one join for the reduction, cut in
     the shared folder. A tree whose last three clusters are left is finished and
     leaves the loop. A merged pair (a > b) keeps the place of a; ties go to the lowest
-    (a, b). Inner node ids are 10^9 + round.
+    (a, b). Inner node ids follow the largest leaf id.
     """
     keys = _tree_keys(dist)
     m = cut(dist.select(*keys, "i", "j", "d", F.col("d").alias("v")))
@@ -294,6 +297,7 @@ def bionj(dist: DataFrame) -> DataFrame:
     out = cut(ends.select(*keys, F.col("c").alias("leaf_seq"), F.col("c").cast("bigint").alias("node")))
     sizes = ends.groupBy(*keys).agg(F.count("*").alias("r"))
     top = sizes.agg(F.max("r")).head()[0] or 0
+    first_inner = (ends.agg(F.max("c")).head()[0] or 0) + 1
     made = []
     for rnd in range(max(0, top - 3)):
         # the ones with more than three clusters go on
@@ -324,15 +328,15 @@ def bionj(dist: DataFrame) -> DataFrame:
             (F.col("lam") * F.col("va") + (1 - F.col("lam")) * F.col("vb") - F.col("lam") * (1 - F.col("lam")) * F.col("vab")).alias("v"))
         ab = a.select(*keys, "a", "b")
         stay = m.join(ab, keys, "left").filter("a is null or not (i in (a, b) or j in (a, b))").select(*keys, "i", "j", "d", "v")
-        inner = F.lit(1_000_000_000 + rnd).cast("bigint")
+        inner = F.lit(first_inner + rnd).cast("bigint")
         joined = nodes.join(a, keys).filter("c in (a, b)").select(
             *keys, "node", inner.alias("parent"), F.greatest(F.lit(0.0), F.when(F.col("c") == F.col("a"), F.col("la")).otherwise(F.col("lb"))).alias("length"))
         made.append(joined)
-        m = cut(stay.unionByName(new))
+        m = cut(stay.unionByName(new), merge=True)
         nodes = cut(nodes.join(ab, keys, "left").filter("a is null or c <> b").select(
             *keys, "c", F.when(F.col("c") == F.col("a"), inner).otherwise(F.col("node")).alias("node")))
     # last three (or two) clusters hang on the root
-    root = F.lit(2_000_000_000).cast("bigint")
+    root = F.lit(first_inner + max(0, top - 3)).cast("bigint")
     ml = m.select(*keys, "i", "j", "d", F.sum("d").over(Window.partitionBy(*keys)).alias("all"), F.count("*").over(Window.partitionBy(*keys)).alias("np"))
     per = ml.select(*keys, "all", "np", F.inline(F.array(F.struct(F.col("i").alias("c"), "d"), F.struct(F.col("j").alias("c"), "d")))).groupBy(*keys, "c", "all", "np").agg(F.sum("d").alias("s"))
     length = F.when(F.col("np") == 1, F.col("all") / 2).otherwise(F.col("s") - F.col("all") / 2)

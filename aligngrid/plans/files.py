@@ -67,7 +67,7 @@ def snk_trimmed(spark, sf):
     small = clean.remove_all_gap(sites.join(keep.select("family", F.col("leaf_seq").alias("seq_id")), ["family", "seq_id"], "left_semi"))
     seqs = recode.join_sites(small).withColumn("name", F.concat(F.lit("s"), F.col("seq_id")))
     back = Al.read_alignments(spark, written(spark, seqs))
-    return back.select(family_of(), F.substring("name", 2, 20).cast("bigint").alias("seq_id"), "seq")
+    return back.select(family_of(), F.expr("substring(name, 2)").cast("bigint").alias("seq_id"), "seq")
 
 
 def manifest_files(spark, sf):
@@ -105,7 +105,7 @@ select a.family g1, b.family g2, case when a.n <> b.n then -1 else (select count
   and not exists (select 1 from splits y where y.tree_id = 0 and y.family = b.family and y.side = x.side)) end rf
 from fam a join fam b on a.family // 4 = b.family // 4 and a.family < b.family"""))
 def mg_rf_matrix(spark, sf):
-    g = manifest_files(spark, sf).withColumn("gene", F.substring("gene", 5, 20).cast("bigint"))
+    g = manifest_files(spark, sf).withColumn("gene", F.expr("substring(gene, 5)").cast("bigint"))
     pairs = multigene.gene_pairs(g, F.struct(F.lit(0).alias("tree_id"), F.col("gene").alias("family")))
     return T.rf(scoring_splits(spark, sf), pairs.select("a", "b")).select(
         F.col("a.family").alias("g1"), F.col("b.family").alias("g2"), "rf")
@@ -143,7 +143,7 @@ select tree_id, family, count(*) n_names, count(*) - 2 n_open, true brackets_ok,
 from edges where leaf_seq is not null group by 1, 2"""))
 def src_tree_labels(spark, sf):
     out = N.leaf_names(newicks(spark, sf, unrooted=True))
-    by_id = F.array_sort(F.transform("names", lambda x: F.substring(x, 2, 9).cast("int")))
+    by_id = F.array_sort(F.transform("names", lambda x: F.substring(x, F.lit(2), F.length(x)).cast("bigint")))
     return out.select("tree_id", "family", F.size("names").alias("n_names"), "n_open", "brackets_ok",
                       F.array_join(F.transform(by_id, lambda x: F.concat(F.lit("s"), x.cast("string"))), ",").alias("names"))
 
@@ -279,8 +279,7 @@ select family, 'Model[' || {NUMBERED} || ']' "Model#", "name" "Name", data_type
  {r('ori_lnl', 4)} "OrilnL", correction "CorrectionType", {r('lnl', 4)} "AdjlnL", n_par "NoPar", {r('aic', 4)} "AIC", {r('delta_aic', 4)} "DeltaAIC"
 from del""", scoring.FITS))
 def snk_results(spark, sf):
-    number = F.when(F.col("name") == "RY", 0).when(F.col("name") == "RY+4dG", 1).when(F.col("name") == "JC", 2).otherwise(3)
-    res = R.delta(scoring.results(spark, sf)).withColumn("model_no", number)
+    res = R.delta(scoring.results(spark, sf, numbers=True))
     path = new_path(spark, "results")
     Si.write_results(res, path)
     return scoring.rounded(Si.read_results(spark, path))
@@ -309,7 +308,7 @@ def snk_partials(spark, sf):
 select family, rep, pattern_id, count(*) n, n_original from (select c.family, rep, d.pos draw, y % n_site pos from
  (select family, pos, count(*) over (partition by family) n_site from cols) d
  join (select distinct family from cols) c using (family) cross join (select unnest(range(0, 20)) rep) q,
- lateral (select (d.pos * 7919 + rep * 104729 + 12345) % 1000003 x) t1, lateral (select ((x * x) % 1000003 * (x + 17)) % 1000003 y) t2) z
+ lateral (select cast('0x' || substr(md5(concat_ws('-', c.family, rep, d.pos, 12345)), 1, 15) as bigint) y) t2) z
 join (select family, pos, min(pos) over (partition by family, pattern) pattern_id, count(*) over (partition by family, pattern) n_original from cols) p
  using (family, pos) group by 1, 2, 3, 5"""))
 def bs_bootstrap(spark, sf):

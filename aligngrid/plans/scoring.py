@@ -249,9 +249,15 @@ def given_fits(spark, sf):
     return out.join(length, "family")
 
 
-def results(spark, sf):
+def results(spark, sf, numbers=False):
     adj = A.adjust_ry(clean_sites(spark, sf)).select("family", F.lit("RY").alias("data_type"), F.col("empirical").alias("adjust"))
-    return R.results(given_fits(spark, sf), adj)
+    return R.results(numbered(given_fits(spark, sf)) if numbers else given_fits(spark, sf), adj)
+
+
+def numbered(fits):
+    """Fits with the catalogue number of their model."""
+    numbers = F.create_map(*[F.lit(x) for row in catalog.model_rows() for x in (row[1], row[0])])
+    return fits.withColumn("model_no", numbers[F.col("name")])
 
 
 def rounded(df):

@@ -1,4 +1,4 @@
-"""Session helpers: shared folder, lineage cuts and size-checked broadcasts."""
+"""Session helpers: shared folder, lineage cuts and stored tables."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when its row count is known to stay below this.
-BROADCAST_ROWS = 200_000
 
 
 def make_session(cpus: str | int = "*", memory: str = "12g", shuffle_partitions: int | None = None):
@@ -62,17 +58,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, merge: bool = False) -> DataFrame:
     """Materialise `df` in the shared folder and drop its lineage.
 
-    Unions add up partitions from round to round, so no more than the session's
-    shuffle partitions are kept.
+    merge: for loops whose unions add up partitions from round to round; no more than the session's shuffle
+    partitions are kept. Not for tables that are just read: it would narrow the reading stage.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(most).checkpoint(eager=True)
+    if merge:
+        df = df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -80,8 +77,3 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` when at most `limit` rows were counted; else leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

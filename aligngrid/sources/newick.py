@@ -37,7 +37,7 @@ def parse_trees(trees: DataFrame) -> DataFrame:
         open_ = F.lit(True)
         for k in (1, 2, 3):
             c = F.col(f"n{k}")
-            out = F.coalesce(out, F.when(open_ & c.startswith(mark), F.substring(c, 2, 100)))
+            out = F.coalesce(out, F.when(open_ & c.startswith(mark), F.substring(c, F.lit(2), F.length(c))))
             open_ = open_ & ~F.coalesce(c, F.lit(";")).isin("(", ")", ",", ";")
         return out
 
@@ -97,7 +97,7 @@ def render(edges: DataFrame, clos: DataFrame, names: DataFrame | None = None, pl
     e = e.withColumn("tail", tail)
     step = e.select(*keys, F.col("node").alias("anc"), "rank")
     paths = clos.select(*keys, "node", "anc", "hops").join(step, [*keys, "anc"]).withColumn(
-        "digit", F.lpad(F.col("rank").cast("string"), 6, "0")).groupBy(*keys, "node").agg(
+        "digit", F.lpad(F.col("rank").cast("string"), 10, "0")).groupBy(*keys, "node").agg(
         listagg("digit", "hops desc").alias("path"))
     rows = e.join(paths, [*keys, "node"])
     sep = F.when(F.col("rank") > 0, ",").otherwise("")

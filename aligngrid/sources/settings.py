@@ -120,5 +120,5 @@ def exchangeability(matrices: DataFrame, n_states: int = 20) -> DataFrame:
 def matrix_lines(exchange: DataFrame, freq: DataFrame, keys=("model",)) -> DataFrame:
     """keys, ord, line: a matrix file's text from long tables (i < j, s) and (state, pi)."""
     low = exchange.groupBy(*keys, F.col("j").alias("ord")).agg(listagg("cast(s as string)", "i", " ").alias("line"))
-    last = freq.groupBy(*keys).agg(listagg("cast(pi as string)", "state", " ").alias("line")).withColumn("ord", F.lit(1000))
+    last = freq.groupBy(*keys).agg(listagg("cast(pi as string)", "state", " ").alias("line")).withColumn("ord", F.lit((1 << 31) - 1))
     return low.unionByName(last.select(low.columns))
