@@ -226,6 +226,18 @@ def pattern_dist(pats: DataFrame, n_seq: int, keys=("family",), alphabet: str =
     )
 
 
+def kappa_from_columns(sites: DataFrame) -> DataFrame:
+    """family, kappa: `guess_kappa` from the counts of the bases in each column, without any pair of sequences.
+
+    In a column with n_A, n_C, n_G, n_T bases n_A n_G + n_C n_T pairs differ by a transition and
+    (n_A + n_G)(n_C + n_T) by a transversion.
+    """
+    n = sites.groupBy("family", "pos").agg(*[F.count_if(F.col("ch") == b).alias(f"n_{b}") for b in BASES])
+    a, c, g, t = (F.col(f"n_{b}") for b in "ACGT")
+    return n.groupBy("family").agg(F.sum(a * g + c * t).alias("ts"), F.sum((a + g) * (c + t)).alias("tv")).select(
+        "family", F.when(F.col("tv") > 0, 2 * F.col("ts") / F.col("tv")).otherwise(catalog.START_KAPPA).alias("kappa"))
+
+
 def guess_kappa(pairs: DataFrame) -> DataFrame:
     """2 ts / tv over all sequence pairs; the start value where there is no transversion."""
     return pairs.groupBy("family").agg(F.sum("n_ts").alias("ts"), F.sum(F.col("n_diff") - F.col("n_ts")).alias("tv")).select(

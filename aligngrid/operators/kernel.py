@@ -19,7 +19,7 @@ def own_parameters(core: str, gamma: bool) -> list[str]:
     return names + (["alpha"] if gamma else [])
 
 
-def exchange(core: str, k: int, par: dict, given) -> np.ndarray:
+def exchange(core: str, k: int, par: dict, given, code: int = 0) -> np.ndarray:
     s = np.ones((k, k))
     if given is not None:
         s = np.zeros((k, k))
@@ -33,7 +33,7 @@ def exchange(core: str, k: int, par: dict, given) -> np.ndarray:
             s[a, b] = s[b, a] = par[name]
     elif core == "M0":
         s = np.zeros((k, k))
-        i, j, ts, a1, a2 = np.array([x[:5] for x in codon_steps()]).T
+        i, j, ts, a1, a2 = np.array([x[:5] for x in codon_steps(code)]).T
         s[i, j] = np.where(ts == 1, par["kappa"], 1.0) * np.where(a1 != a2, par["omega"], 1.0)
     return s
 
@@ -50,70 +50,132 @@ def decompose(s: np.ndarray, pi: np.ndarray):
     return lam, u / root[:, None], (u * root[:, None]).T
 
 
-def block_lnl(core, gamma, pi, given, up, leaf, states, counts, cands) -> list[float]:
-    """lnL of the block for each candidate.
+class Block:
+    """One block of patterns under one tree and model.
 
-    up: place of each node's parent, children before parents, root last. leaf: row of
-    `states` (leaves x patterns, -1 = gap) or -1. Subtrees in which a candidate equals
-    the first one are not computed again.
+    up: place of each node's parent, children before parents, root last. leaf: row of `states` (leaves x patterns,
+    -1 = gap) or -1.
     """
-    pi, counts, up, leaf = np.asarray(pi), np.asarray(counts), np.asarray(up), np.asarray(leaf)
-    k, nb = len(pi), len(up) - 1
-    names = own_parameters(core, gamma)
-    cols = np.where(states < 0, k, states)
-    kids: list = [[] for _ in up]
-    under: list = []
-    for b in range(nb):
-        under.append(np.array([b] + [x for c in kids[b] for x in under[c]]))
-        kids[up[b]].append(b)
-    eig: dict = {}
-
-    def evaluate(x, reuse):
-        par = dict(zip(names, np.exp(x[nb:])))
-        rates = np.array(gamma_rates(float(par["alpha"]))) if gamma else np.ones(1)
+
+    def __init__(self, core, gamma, code, pi, given, up, leaf, states, counts):
+        self.core, self.gamma, self.code, self.given = core, gamma, code, given
+        self.pi, self.counts, self.up, self.leaf = np.asarray(pi), np.asarray(counts), np.asarray(up), np.asarray(leaf)
+        self.k, self.nb = len(self.pi), len(self.up) - 1
+        self.names = own_parameters(core, gamma)
+        self.cols = np.where(states < 0, self.k, states)
+        self.kids: list = [[] for _ in self.up]
+        for b in range(self.nb):
+            self.kids[self.up[b]].append(b)
+        self.eigen: dict = {}
+
+    def _model(self, x):
+        par = dict(zip(self.names, np.exp(x[self.nb:])))
+        rates = np.array(gamma_rates(float(par["alpha"]))) if self.gamma else np.ones(1)
         key = tuple(v for n, v in par.items() if n != "alpha")
-        if key not in eig:
-            eig[key] = decompose(exchange(core, k, par, given), pi)
-        lam, left, right = eig[key]
-        same = reuse is not None and np.array_equal(x[nb:], reuse[0][nb:])
-        made: list = [None] * nb
-
-        def message(b):
-            if same and np.array_equal(x[under[b]], reuse[0][under[b]]):
-                made[b] = reuse[1][b]
-                return made[b]
+        if key not in self.eigen:
+            self.eigen[key] = decompose(exchange(self.core, self.k, par, self.given, self.code), self.pi)
+        return rates, self.eigen[key]
+
+    def _upwards(self, x, rates, eigen):
+        """Messages of the branches (classes x states x patterns) and their log scales; the vectors below the nodes."""
+        lam, left, right = eigen
+        sent: list = [None] * self.nb
+        below: list = [None] * (self.nb + 1)
+        for b in range(self.nb + 1):  # children come first
+            if self.kids[b]:
+                v, scale = sent[self.kids[b][0]]
+                for c in self.kids[b][1:]:
+                    w, s = sent[c]
+                    v, scale = v * w, scale + s
+                    top = v.max(axis=(0, 1))
+                    if top.min() < 1e-60:  # after each child, so that very many of them cannot reach 0
+                        top = np.maximum(top, 1e-300)
+                        v, scale = v / top, scale + np.log(top)
+                below[b] = (v, scale)
+            if b == self.nb:
+                break
             t = min(float(np.exp(x[b])), catalog.MAX_BRANCH) * rates
             p = np.maximum((left * np.exp(lam * t[:, None])[:, None, :]) @ right, 0.0)
-            if leaf[b] >= 0:
+            if self.leaf[b] >= 0:
                 wide = np.concatenate([p, np.ones(p.shape[:2] + (1,))], axis=2)
-                made[b] = (wide[:, :, cols[leaf[b]]], 0.0)
+                sent[b] = (wide[:, :, self.cols[self.leaf[b]]], 0.0)
             else:
-                v, scale = product(b)
-                made[b] = (p @ v, scale)
-            return made[b]
-
-        def product(b):
-            parts = [made[c] or message(c) for c in kids[b]]
-            v, scale = parts[0]
-            for w, s in parts[1:]:
-                v, scale = v * w, scale + s
-            top = v.max(axis=(0, 1))
-            if top.min() < 1e-60:
-                top = np.maximum(top, 1e-300)
-                v, scale = v / top, scale + np.log(top)
-            return v, scale
-
-        for b in range(nb):  # children come first, so the recursion stays one level deep
-            message(b)
-        v, scale = product(nb)
-        like = np.einsum("k,ckm->m", pi, v) / len(rates)
-        return float(counts @ (np.log(np.maximum(like, 1e-300)) + scale)), made
-
-    base, out = None, []
-    for x in cands:
+                sent[b] = (p @ below[b][0], below[b][1])
+        return sent, below
+
+    def _sum(self, at_root, rates) -> float:
+        v, scale = at_root
+        like = np.einsum("k,ckm->m", self.pi, v) / len(rates)
+        return float(self.counts @ (np.log(np.maximum(like, 1e-300)) + scale))
+
+    def lnl(self, x) -> float:
+        x = np.asarray(x)
+        rates, eigen = self._model(x)
+        return self._sum(self._upwards(x, rates, eigen)[1][-1], rates)
+
+    def slopes(self, x, step: float) -> list[float]:
+        """lnL; its slope and then its curvature in the log of each branch; lnL with each own parameter and at last the whole
+        tree a step up; the same a step down.
+
+        One pass up and one down give all branches: what a branch sees from above (outside) and from below meet in the
+        eigen form of P(t), where a derivative is a factor lam.
+        """
         x = np.asarray(x)
-        value, made = evaluate(x, base)
-        if base is None:
-            base = (x, made)
-        out.append(value)
-    return out
+        rates, eigen = self._model(x)
+        lam, left, right = eigen
+        sent, below = self._upwards(x, rates, eigen)
+        outside: list = [None] * (self.nb + 1)
+        outside[self.nb] = np.broadcast_to(self.pi[None, :, None], (len(rates), self.k, len(self.counts)))
+        slope, bend = np.zeros(self.nb), np.zeros(self.nb)
+        wide_right = np.concatenate([right, right.sum(axis=1, keepdims=True)], axis=1)
+        for p in range(self.nb, -1, -1):
+            kids = self.kids[p]
+            # products of the other children, from both ends
+            after = [None] * len(kids)
+            run = None
+            for i in range(len(kids) - 1, -1, -1):
+                after[i] = run
+                run = _scaled(sent[kids[i]][0] if run is None else run * sent[kids[i]][0])
+            run = outside[p]
+            for i, b in enumerate(kids):
+                seen = run if after[i] is None else _scaled(run * after[i])
+                t = min(float(np.exp(x[b])), catalog.MAX_BRANCH)
+                grow = np.exp(lam * (t * rates)[:, None])[:, :, None]
+                inner = wide_right[:, self.cols[self.leaf[b]]][None] if self.leaf[b] >= 0 else right @ below[b][0]
+                outer = left.T @ seen
+                term = outer * grow * inner
+                speed = (lam[None, :] * rates[:, None])[:, :, None]
+                like = np.maximum(term.sum(axis=(0, 1)), 1e-300)
+                first = (term * speed).sum(axis=(0, 1)) / like
+                second = (term * speed * speed).sum(axis=(0, 1)) / like
+                slope[b] = t * (self.counts @ first)
+                bend[b] = slope[b] + t * t * (self.counts @ (second - first * first))
+                if self.leaf[b] < 0:
+                    outside[b] = _scaled(np.maximum(right.T @ (grow * outer), 0.0))
+                run = _scaled(run * sent[b][0])
+        own = range(self.nb, len(x))
+        moves = []
+        for h in (step, -step):
+            for j in own:
+                y = x.copy()
+                y[j] += h
+                moves.append(self.lnl(y))
+            y = x.copy()
+            y[:self.nb] += h
+            moves.append(self.lnl(y))
+        return [self._sum(below[-1], rates), *slope, *bend, *moves]
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors of a pattern over their largest value; only ratios are read from them."""
+    return v / np.maximum(v.max(axis=(0, 1)), 1e-300)
+
+
+def block_lnl(core, gamma, code, pi, given, up, leaf, states, counts, cands) -> list[float]:
+    """lnL of the block for each candidate."""
+    block = Block(core, gamma, code, pi, given, up, leaf, states, counts)
+    return [block.lnl(x) for x in cands]
+
+
+def block_slopes(core, gamma, code, pi, given, up, leaf, states, counts, x, step) -> list[float]:
+    return Block(core, gamma, code, pi, given, up, leaf, states, counts).slopes(x, step)

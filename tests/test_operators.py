@@ -9,12 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aligngrid import catalog
 from aligngrid.operators import aggregate as A
 from aligngrid.operators import fit, kernel, likelihood, models, pairs, parsimony, rank, recode, resample, trees
 from aligngrid.plans import fixtures as X
 from aligngrid.plans import files, ranking
 from aligngrid.plans.recoding import cleaned
-from aligngrid.session import bounded_broadcast, cut, new_path
+from aligngrid.session import cut, new_path
 from aligngrid.sources import alignments, newick, settings, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -219,7 +220,7 @@ def test_kernel_brute_force():
         x = np.log(LENGTH[:5] + own)
         moved = x.copy()
         moved[2] += 0.5
-        got = kernel.block_lnl(core, False, pi, None, [4, 4, 5, 5, 5, -1], [0, 1, 2, 3, -1, -1], states, counts, [x, moved])
+        got = kernel.block_lnl(core, False, 0, pi, None, [4, 4, 5, 5, 5, -1], [0, 1, 2, 3, -1, -1], states, counts, [x, moved])
         for vec, value in zip((x, moved), got):
             assert value == pytest.approx(brute_lnl(SEQS, PARENT, list(np.exp(vec[:5])), pi, q), abs=1e-8)
 
@@ -250,7 +251,7 @@ def test_fit_reaches_an_optimum(spark):
         states = np.array([table.get(c, -1) for c in b["text"]]).reshape(len(b["counts"]), -1).T
         x, lo, hi = np.array(r["x"]), np.array(r["lo"]), np.array(r["hi"])
         nudged = [np.clip(x + h * one, lo, hi) for one in np.eye(len(x)) for h in (-0.05, 0.05)]
-        v = kernel.block_lnl(r["core"], r["gamma"], r["pi"], None, r["up"], r["leaf"], states, b["counts"], [x] + nudged)
+        v = kernel.block_lnl(r["core"], r["gamma"], 0, r["pi"], None, r["up"], r["leaf"], states, b["counts"], [x] + nudged)
         assert v[0] == pytest.approx(r["lnl"], abs=1e-6)
         assert max(v[1:]) <= v[0] + 0.01, r["name"]
     flat = fit.surface(out["fitted"], out["blocks"], "kappa").collect()
@@ -280,7 +281,7 @@ def test_levels_agree_with_kernel(spark):
     e = cut(trees.prune(X.edges(spark, SF).filter("tree_id = 0").drop("tree_id"), seqs.withColumnRenamed("seq_id", "leaf_seq")))
     plan = fit.tree_plan(e, trees.closure(e), seqs)
     tasks = plan.select("family", F.lit(2).alias("model_no"), F.lit("JC").alias("core"), F.lit("DNA").alias("data_type"),
-                        F.lit(False).alias("gamma"), F.array_repeat(F.lit(0.25), 4).alias("pi"),
+                        F.lit(False).alias("gamma"), F.lit(0).alias("code"), F.array_repeat(F.lit(0.25), 4).alias("pi"),
                         F.lit(None).cast("array<double>").alias("given"), "up", "leaf",
                         F.array(F.transform("length", lambda t: F.log(t))).alias("cands"))
     two = {r["family"]: r["v"][0] for r in fit.evaluate(cut(tasks), fit.pattern_blocks(patterns, 8)).collect()}
@@ -427,12 +428,56 @@ def test_refuses_to_overwrite(spark):
         alignments.write_sequential(seqs, path)
 
 
-def test_broadcast_is_checked(spark):
-    small, big = spark.range(10), spark.range(1000)
-    assert bounded_broadcast(small, 100) is not small
-    assert bounded_broadcast(big, 100) is big
-
-
 def test_studies_list_every_gene(spark):
     m = files.manifest_files(spark, SF)
     assert m.count() == X.family_sizes(spark, SF).count()
+
+
+def test_slopes_match_differences():
+    """Slope and curvature of every branch from two passes, against steps of the likelihood; a 62-state code too."""
+    rng = np.random.default_rng(4)
+    up, leaf = [5, 5, 6, 7, 7, 6, 7, -1], [0, 1, 2, 3, 4, -1, -1, -1]
+    for core, k, gamma, code, own in (("HKY", 4, True, 0, [2.5, 0.6]), ("M0", 62, False, 4, [2.0, 0.3]), ("M0", 60, True, 1, [3.0, 0.2, 0.9])):
+        assert core != "M0" or k == len(catalog.sense_codons(code))
+        pi = rng.dirichlet(np.ones(k) * 5)
+        states, counts = rng.integers(-1, k, (5, 7)), rng.integers(1, 5, 7)
+        block = kernel.Block(core, gamma, code, pi, None, up, leaf, states, counts)
+        x = np.log(np.concatenate([rng.uniform(0.05, 0.8, 7), own]))
+        got = block.slopes(x, 0.01)
+        assert len(got) == 1 + 14 + 2 * (len(own) + 1)
+        assert got[0] == pytest.approx(block.lnl(x), abs=1e-9)
+        for b, h in itertools.product(range(7), [1e-4]):
+            one = np.eye(len(x))[b] * h
+            a, c = block.lnl(x + one), block.lnl(x - one)
+            assert got[1 + b] == pytest.approx((a - c) / (2 * h), rel=1e-4, abs=1e-5)
+            assert got[8 + b] == pytest.approx((a + c - 2 * got[0]) / (h * h), rel=1e-2, abs=2e-2)
+
+
+def test_codon_likelihood_of_other_codes():
+    """60 and 62 sense codons: the kernel against P(t) from the matrix itself."""
+    def expm(m):  # by squaring of a Taylor series
+        out = term = np.eye(len(m))
+        for i in range(1, 25):
+            term = term @ (m / 1024) / i
+            out = out + term
+        return np.linalg.matrix_power(out, 1024)
+
+    for code in (1, 4):
+        sense = catalog.sense_codons(code)
+        aa = {c: a for _, c, _, a, _ in catalog.code_rows([code])}
+        k = len(sense)
+        pi = np.random.default_rng(code).dirichlet(np.ones(k) * 9)
+        q = np.zeros((k, k))
+        for (i, a), (j, b) in itertools.permutations(enumerate(sense), 2):
+            diff = [(x, y) for x, y in zip(a, b) if x != y]
+            if len(diff) == 1:
+                ts = set(diff[0]) in ({"A", "G"}, {"C", "T"})
+                q[i, j] = (2.0 if ts else 1.0) * (0.3 if aa[a] != aa[b] else 1.0) * pi[j]
+        q -= np.diag(q.sum(1))
+        q /= -(pi @ np.diag(q))
+        p = expm(q * 0.7)
+        states = np.array([[0, 5, k - 1, 7], [0, 9, k - 2, -1]])
+        want = sum(math.log(pi[a] * (p[a, b] if b >= 0 else 1.0)) for a, b in states.T)
+        # two leaves on one root: the branches add up
+        got = kernel.block_lnl("M0", False, code, pi, None, [2, 2, -1], [0, 1, -1], states, np.ones(4), [np.log([0.3, 0.4, 2.0, 0.3])])
+        assert got[0] == pytest.approx(want, abs=1e-8)
