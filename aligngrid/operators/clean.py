@@ -32,7 +32,12 @@ def clean(sites: DataFrame, code: int = 0, share: float = catalog.MIN_DATA) -> D
 
     The share of real data is counted on whole codons, so one pass over codons does both.
     """
-    codons = clean_codons(recode.make_codons(sites), code)
+    return clean_made(recode.make_codons(sites), code, share)
+
+
+def clean_made(codons: DataFrame, code: int = 0, share: float = catalog.MIN_DATA) -> DataFrame:
+    """`clean` of codons (family, seq_id, cpos, codon) that are cut already, as by `recode.codons_of`."""
+    codons = clean_codons(codons, code)
     keep = (
         codons.groupBy("family", "seq_id")
         .agg(F.avg(F.when(F.col("codon") == "---", 0.0).otherwise(1.0)).alias("real"))

@@ -177,37 +177,39 @@ def pt_closed(rows: DataFrame, keys) -> DataFrame:
 def pt_eigen(q: DataFrame, freq: DataFrame, times: DataFrame, keys) -> DataFrame:
     """keys, t, i, p (row of P(t)) for any reversible Q, by one eigendecomposition per key.
 
-    The cells of one Q (states^2, fixed by the data type) meet in one row as arrays;
-    distinct t of the key are joined to it, so Q is decomposed once per batch row.
+    The cells of one Q (states^2, fixed by the data type) and the distinct t of its key (one per branch) meet in one row
+    as arrays, so Q is sent and decomposed once.
     """
     qa = q.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "q"))).alias("cells"))
     pa = freq.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("state", "pi"))).alias("f"))
     ready = qa.join(pa, list(keys)).select(*keys, "cells", F.col("f.pi").alias("pi"))
-    rows = ready.join(times.select(*keys, "t").distinct(), list(keys))
+    rows = ready.join(times.groupBy(*keys).agg(F.sort_array(F.collect_set("t")).alias("t")), list(keys))
     ship(q.sparkSession)
-    out = rows.select(*keys, "t", _pt_rows("cells.i", "cells.j", "cells.q", "pi", "t").alias("p"))
-    return out.select(*keys, "t", F.posexplode("p").alias("i", "p"))
+    made = _pt_rows("cells.i", "cells.j", "cells.q", "pi", "t").alias("p")
+    out = rows.select(*keys, "t", made).select(*keys, F.explode(F.arrays_zip("t", "p")).alias("z"))
+    n = F.sqrt(F.size("z.p")).cast("int")  # P(t) row by row
+    return out.select(*keys, F.col("z.t").alias("t"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("z.p"), i * n + 1, n))).alias("i", "p"))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _pt_rows(i: pd.Series, j: pd.Series, q: pd.Series, pi: pd.Series, t: pd.Series) -> pd.Series:
     out = []
-    for a, b, v, p, x in zip(i, j, q, pi, t):
+    for a, b, v, p, times in zip(i, j, q, pi, t):
         m = np.zeros((len(p), len(p)))
         m[a, b] = v
-        out.append([list(r) for r in transition(m, np.asarray(p), x)])
+        out.append(list(transitions(m, np.asarray(p), np.asarray(times)).reshape(len(times), -1)))
     return pd.Series(out)
 
 
-def transition(q: np.ndarray, pi: np.ndarray, t: float) -> np.ndarray:
-    if t < catalog.SHORT_BRANCH:
-        return np.eye(len(pi))
-    if t > catalog.MAX_BRANCH:
-        return np.tile(pi, (len(pi), 1))
+def transitions(q: np.ndarray, pi: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """P(t) of each time, from one decomposition."""
     root = np.sqrt(np.maximum(pi, 1e-300))
     sym = root[:, None] * q / root[None, :]
     lam, u = np.linalg.eigh((sym + sym.T) / 2)
-    p = (u / root[:, None]) @ (np.exp(lam * t)[:, None] * (u * root[:, None]).T)
+    p = ((u / root[:, None]) * np.exp(lam * times[:, None])[:, None, :]) @ (u * root[:, None]).T
+    p[times < catalog.SHORT_BRANCH] = np.eye(len(pi))
+    p[times > catalog.MAX_BRANCH] = pi
     return np.maximum(p, 0.0)
 
 

@@ -42,6 +42,14 @@ def make_codons(sites: DataFrame) -> DataFrame:
     )
 
 
+def codons_of(seqs: DataFrame) -> DataFrame:
+    """Texts (family, seq_id, seq) to codons: family, seq_id, cpos, codon, cut inside the row; a last part of one or two
+    sites is kept as it is."""
+    n = F.ceil(F.length("seq") / 3).cast("int")
+    cut_out = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.substring(F.col("seq"), c * 3 + 1, F.lit(3)))
+    return seqs.filter(F.length("seq") > 0).select("family", "seq_id", F.posexplode(cut_out).alias("cpos", "codon"))
+
+
 def codon_sites(codons: DataFrame) -> DataFrame:
     """Codons back to sites."""
     return codons.select(

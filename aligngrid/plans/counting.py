@@ -86,7 +86,7 @@ union all select family, codons.codon, null, null, count(*), null, 1 from codons
 where gcode.aa is null group by 1, 2""", F1))
 def ag_codon_f64(spark, sf):
     good = A.codon_f64(cleaned(spark, sf)).withColumn("freq", rnd(F.col("freq"))).withColumn("is_stop", F.lit(0))
-    raw = recode.make_codons(X.sites(spark, sf))
+    raw = X.codons(spark, sf)
     return good.unionByName(A.stop_codons(raw).withColumn("is_stop", F.lit(1)), allowMissingColumns=True)
 
 

@@ -37,26 +37,32 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family, seq_id, pos, ch in long form."""
+def codons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """family, seq_id, cpos, codon: made in the row of the document, no site rows and no shuffle of them."""
     h = digests(spark, sf_dir)
     lead = h.filter("seq_id = 0").select("family", F.col("h").alias("lead"))
-    codons = h.join(lead, "family").select(
-        "family", "seq_id", F.posexplode(F.arrays_zip(F.col("h"), F.col("lead"))).alias("c", "z")
-    ).select("family", "seq_id", "c", F.col("z.h").alias("o"),
+    made = h.join(lead, "family").select(
+        "family", "seq_id", F.posexplode(F.arrays_zip(F.col("h"), F.col("lead"))).alias("cpos", "z")
+    ).select("family", "seq_id", "cpos", F.col("z.h").alias("o"),
              F.coalesce("z.lead", F.lit(0)).alias("a"))
-    bases = codons.select(
-        "family", "seq_id", "c", "o", "a", F.explode(F.array(*map(F.lit, range(3)))).alias("k")
-    )
-    r = F.expr("(o div cast(pow(1000, k) as bigint)) % 1000")
-    anc = F.expr("a div cast(pow(4, k) as bigint)")
-    base = (anc + F.when(r < 120, 1 + r % 3).otherwise(0)) % 4
-    ch = (
-        F.when(F.col("o").isNull() | (F.col("o") % 101 < 5), "-")
-        .when(F.expr("(o div 3 + k * 31) % 997 = 0"), "N")
-        .otherwise(F.substring(F.lit("ACGT"), (base + 1).cast("int"), F.lit(1)))
-    )
-    return bases.select("family", "seq_id", (F.col("c") * 3 + F.col("k")).alias("pos"), ch.alias("ch"))
+
+    def base(k):
+        r = F.expr(f"(o div {1000 ** k}) % 1000")
+        at = (F.expr(f"a div {4 ** k}") + F.when(r < 120, 1 + r % 3).otherwise(0)) % 4
+        return (
+            F.when(F.col("o").isNull() | (F.col("o") % 101 < 5), "-")
+            .when(F.expr(f"(o div 3 + {k * 31}) % 997 = 0"), "N")
+            .otherwise(F.substring(F.lit("ACGT"), (at + 1).cast("int"), F.lit(1)))
+        )
+
+    return made.select("family", "seq_id", "cpos", F.concat(base(0), base(1), base(2)).alias("codon"))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """family, seq_id, pos, ch in long form."""
+    from aligngrid.operators.recode import codon_sites
+
+    return codon_sites(codons(spark, sf_dir))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ OMEGA, OMEGA_R = 0.4, 0.2
 
 
 def kappa(spark, sf):
-    return A.guess_kappa(P.pair_counts(P.dna_cells(clean_sites(spark, sf)), 2))
+    return A.kappa_from_columns(clean_sites(spark, sf))
 
 
 def base_freq(sites):

@@ -18,7 +18,7 @@ def rnd(c, places=6):
 
 
 def cleaned(spark, sf):
-    return clean.clean(X.sites(spark, sf))
+    return clean.clean_made(X.codons(spark, sf))
 
 
 @query("sc_alphabet", with_("seqs codons", """
@@ -61,7 +61,7 @@ parts as (select *, (c1[1] <> c2[1])::int + (c1[2] <> c2[2])::int + (c1[3] <> c2
 
 
 def next_codons(spark, sf):
-    c = recode.make_codons(X.sites(spark, sf))
+    c = X.codons(spark, sf)
     b = c.select("family", (F.col("seq_id") - 1).alias("seq_id"), "cpos", F.col("codon").alias("c2"))
     return c.withColumnRenamed("codon", "c1").join(b, ["family", "seq_id", "cpos"])
 
@@ -129,7 +129,7 @@ def sc_translate(spark, sf):
     codes = catalog.genetic_code(spark).groupBy("codon").agg(
         F.sort_array(F.collect_list(F.struct("code", F.coalesce("aa_ch", F.lit("-")).alias("aa_ch")))).alias("t"))
     gaps = F.array(*[F.struct(F.lit(c).alias("code"), F.lit("-").alias("aa_ch")) for c in range(12)])
-    cells = recode.make_codons(X.sites(spark, sf)).join(F.broadcast(codes), "codon", "left").select(
+    cells = X.codons(spark, sf).join(F.broadcast(codes), "codon", "left").select(
         "family", "seq_id", F.col("cpos").alias("pos"), F.explode(F.coalesce("t", gaps)).alias("z"))
     return recode.join_sites(
         cells.select("family", "seq_id", "pos", "z.code", F.col("z.aa_ch").alias("ch")), ("family", "seq_id", "code"))
@@ -137,14 +137,14 @@ def sc_translate(spark, sf):
 
 @query("sc_codon_make", with_("codons", "select family, seq_id, cpos, codon from codons"))
 def sc_codon_make(spark, sf):
-    return recode.make_codons(X.sites(spark, sf))
+    return X.codons(spark, sf)
 
 
 @query("sc_codon_reduce", with_("code codons", """
 select family, seq_id, cpos, sense, case when sense is null then '---' else codons.codon end codon
 from codons left join gcode on gcode.codon = codons.codon"""))
 def sc_codon_reduce(spark, sf):
-    reduced = recode.reduce_codons(recode.make_codons(X.sites(spark, sf)))
+    reduced = recode.reduce_codons(X.codons(spark, sf))
     return recode.expand_codons(reduced.drop("codon")).select("family", "seq_id", "cpos", "sense", "codon")
 
 
@@ -234,13 +234,13 @@ def sc_model_name(spark, sf):
 @query("fl_codon_clean", with_("clean", """
 select family, seq_id, string_agg(codon, '' order by cpos) seq from cleaned group by 1, 2"""))
 def fl_codon_clean(spark, sf):
-    codons = clean.clean_codons(recode.make_codons(X.sites(spark, sf)))
+    codons = clean.clean_codons(X.codons(spark, sf))
     return recode.join_sites(codons.withColumnRenamed("cpos", "pos"), ch="codon")
 
 
 @query("fl_sparse", with_("clean", "select family, seq_id from kept"))
 def fl_sparse(spark, sf):
-    codons = clean.clean_codons(recode.make_codons(X.sites(spark, sf)))
+    codons = clean.clean_codons(X.codons(spark, sf))
     return clean.dense_sequences(recode.codon_sites(codons))
 
 
