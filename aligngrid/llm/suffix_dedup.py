@@ -29,10 +29,12 @@ from aligngrid.llm.common import blocks, python_map, store, table, texts_of
 from aligngrid.llm.toolcalls import positions
 
 #: Bytes of a string that counts, and of the grams that anchor it.
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
 #: Bytes of documents that are read as a block, and of records that are sorted at once.
-BLOCK, BATCH = 4 << 20, 2 << 20
+BLOCK, BATCH = 4 << 20, 768 << 10
+#: Windows that are looked at together.
+TILE = 1 << 16
 #: An anchor with more records than this is split by window.
 HOT = 20_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -51,36 +53,67 @@ def eights(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First windows of the runs in `data` (documents side by side), their numbers of windows, and anchor numbers of 40 bits."""
-    none = np.zeros(0, np.int64)
-    if len(data) < WINDOW:
-        return none, none, none
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the anchor of each window in `data`, and the hash of the gram at each place."""
     x = eights(data)
-    gram = x[:len(x) - 8] * _M1 + (x[8:] ^ (x[8:] >> np.uint64(29))) * _M2
+    n = len(data) - GRAM + 1
+    gram = x[:n] * _M1
+    for k in range(8, GRAM, 8):
+        gram ^= gram >> np.uint64(29)
+        gram += x[k:k + n]
+        gram *= _M2
     gram ^= gram >> np.uint64(32)
     gram *= _M3
-    n = len(gram)
     # The place in the low half makes the leftmost of equal grams the least.
-    value = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    padded = np.full(-(-n // GRAMS) * GRAMS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = value
-    table_ = padded.reshape(-1, GRAMS)
-    before = np.minimum.accumulate(table_, axis=1).ravel()
-    after = np.minimum.accumulate(table_[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - GRAMS + 1
-    anchor = (np.minimum(after[:windows], before[GRAMS - 1:GRAMS - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while 2 * width <= GRAMS:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = GRAMS - width
+    least = np.minimum(least[:len(least) - rest], least[rest:])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), gram
+
+
+def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First windows of the runs in `data` (documents side by side), their numbers of windows, and anchor numbers of 40 bits."""
+    none = np.zeros(0, np.int64)
+    windows = len(data) - WINDOW + 1
+    if windows < 1:
+        return none, none, none
+    begins = np.zeros(windows + 1, np.int8)
     starts = np.concatenate([[0], ends[:-1]])
-    valid = np.zeros(windows + 1, np.int8)
     long = ends - starts >= WINDOW
-    np.add.at(valid, starts[long], 1)
-    np.add.at(valid, np.minimum(ends[long] - WINDOW + 1, windows), -1)
-    valid = np.cumsum(valid[:windows]) > 0
-    first = valid.copy()
-    first[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
-    at = np.flatnonzero(first)
-    last = np.flatnonzero(valid & np.append(~valid[1:] | first[1:], True))
-    return at, last - at + 1, (gram[anchor[at]] >> np.uint64(24)).astype(np.int64)
+    np.add.at(begins, starts[long], 1)
+    np.add.at(begins, np.minimum(ends[long] - WINDOW + 1, windows), -1)
+    firsts, lasts, hashes = [], [], []
+    open_anchor = -1  # of the run that reaches into the next tile
+    inside = 0
+    for a in range(0, windows, TILE):  # a tile fits the cache
+        part = data[a:a + TILE + WINDOW - 1]
+        anchor, gram = _anchors(part)
+        valid = np.cumsum(begins[a:a + len(anchor)]) + inside > 0
+        inside = int(valid[-1])
+        at_first = valid.copy()
+        at_first[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
+        if open_anchor >= 0:
+            goes_on = bool(valid[0]) and begins[a] <= 0 and anchor[0] + a == open_anchor
+            at_first[0] &= not goes_on
+            if not goes_on:
+                lasts.append(np.array([a - 1]))
+        at_last = valid.copy()
+        at_last[:-1] &= ~valid[1:] | at_first[1:]
+        first, last = np.flatnonzero(at_first), np.flatnonzero(at_last)
+        open_anchor = int(anchor[-1]) + a if valid[-1] else -1
+        if open_anchor >= 0:
+            last = last[:-1]
+        firsts.append(first + a)
+        lasts.append(last + a)
+        hashes.append((gram[anchor[first]] >> np.uint64(24)).astype(np.int64))
+    if open_anchor >= 0:
+        lasts.append(np.array([windows - 1]))
+    at = np.concatenate(firsts)
+    return at, np.concatenate(lasts) - at + 1, np.concatenate(hashes)
 
 
 def _joined(block: pa.RecordBatch, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -98,7 +131,11 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, id, m, dup) of each run; m: first window * 128 + windows; dup: an earlier copy stands in the same block."""
+    """(h, c, id, at, n) of each run: its anchor, digest, first window and number of windows.
+
+    Runs that have an earlier copy in the block are joined with their neighbours; they have no c, and an h of their own that spreads
+    them.
+    """
     for block in blocks(batches, "text", BLOCK):
         raw, ends, ids = _joined(block, "text")
         at, n, h = runs(np.frombuffer(raw, np.uint8), ends)
@@ -107,16 +144,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         c = np.fromiter((digest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + WINDOW - 1).tolist())), np.uint64,
                         len(at)).view(np.int64)
-        m = (at - begin) * 128 + n
-        order = np.lexsort((m, ids[doc], h, c))
-        h, c, m, doc_id = h[order], c[order], m[order], ids[doc][order]
-        new = np.ones(len(h), bool)
-        new[1:] = (c[1:] != c[:-1]) | (h[1:] != h[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        dup = ~new & ((doc_id != doc_id[lead]) | (m != m[lead]))
-        keep = new | dup  # a repeat of the very row says nothing
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, doc_id, m, dup)],
-                                         names=["h", "c", "id", "m", "dup"])
+        place, ident = at - begin, ids[doc]
+        order = np.lexsort((place, ident, h, c))
+        new = np.ones(len(at), bool)
+        new[1:] = (c[order[1:]] != c[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        first = np.zeros(len(at), bool)
+        first[order[new]] = True
+        dup = np.zeros(len(at), bool)  # a repeat of the very row is neither
+        dup[order] = ~new & ((ident[order] != ident[lead]) | (place[order] != place[lead]))
+        joined = dup[1:] & dup[:-1] & (at[1:] == at[:-1] + n[:-1])
+        head = np.flatnonzero(dup & ~np.append(False, joined))
+        tail = np.flatnonzero(dup & ~np.append(joined, False))
+        spread = ((ident[head] * 31 + place[head]) & 0xFFFFFFFF) - (1 << 40)  # no anchor is below 0
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([h[first], spread])),
+            pa.array(np.concatenate([c[first], np.zeros(len(head), np.int64)]), mask=np.arange(first.sum() + len(head)) >= first.sum()),
+            pa.array(np.concatenate([ident[first], ident[head]])), pa.array(np.concatenate([place[first], place[head]])),
+            pa.array(np.concatenate([n[first], at[tail] + n[tail] - at[head]]))], names=["h", "c", "id", "at", "n"])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +173,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = block.column("asked").to_pylist()
         texts, ids = texts_of(block, "text"), block.column("id").to_pylist()
         for i in order.tolist():
-            for r in sorted(asked[i] or [], key=lambda r: r["m"]):
-                p, n = r["m"] >> 7, r["m"] & 127
+            for r in sorted(asked[i] or [], key=lambda r: r["at"]):
+                p, n = r["at"], r["n"]
                 whole = texts[i][p:p + n + WINDOW - 1]
                 for q, size in [(0, n)] if not r["hot"] else [(q, 1) for q in range(n)]:
                     part = whole[q:q + size + WINDOW - 1]
@@ -161,16 +206,19 @@ def _segment_ranks(code: np.ndarray, bits: int, starts: np.ndarray, ends: np.nda
     """Dense ranks of the code segments [start, end], none of which begins another; equal ones by `tie`, if given."""
     per = 64 // bits
     m = len(starts)
+    wide = np.append(code, np.zeros(per, code.dtype)).astype(np.uint64)
+    packed = wide[:len(code)].copy()  # of each place and the next ones
+    for k in range(1, per):
+        packed <<= np.uint64(bits)
+        packed |= wide[k:k + len(code)]
     rank = np.zeros(m, np.int64)
     open_, offset = np.arange(m), 0
     while len(open_):
-        key = np.zeros(len(open_), np.uint64)
         left = ends[open_] - starts[open_] + 1 - offset
-        for k in range(per):
-            here = code[np.minimum(starts[open_] + offset + k, len(code) - 1)].astype(np.uint64)
-            key = (key << np.uint64(bits)) | np.where(k < left, here, np.uint64(0))
+        beyond = (bits * np.maximum(per - left, 0)).astype(np.uint64)  # bits of what lies behind the segment
+        key = packed[starts[open_] + offset] >> beyond << beyond
+        order = np.argsort(key, kind="stable") if not offset else np.lexsort((key, rank[open_]))
         offset += per
-        order = np.lexsort((key, rank[open_]))
         r, k_ = rank[open_][order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (r[1:] != r[:-1]) | (k_[1:] != k_[:-1])
@@ -280,8 +328,8 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     return sa
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """Permuted common prefixes: of the suffix at each place with the one before it in `sa`, up to `limit`.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, wanted: np.ndarray) -> np.ndarray:
+    """Permuted common prefixes: of the suffix at each wanted place with the one before it in `sa`, up to `limit`; 0 elsewhere.
 
     data: bytes with at least `limit` + 8 bytes behind the last suffix that can match.
     """
@@ -290,7 +338,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     phi[sa[1:]] = sa[:-1]
     x = eights(data)
     plcp = np.zeros(n, np.int64)
-    open_ = np.flatnonzero(phi >= 0)
+    open_ = np.flatnonzero((phi >= 0) & wanted)
     at = 0
     while len(open_) and at < limit:
         here, there = open_ + at, phi[open_] + at
@@ -319,13 +367,12 @@ def repeated_windows(records: list[bytes], order: np.ndarray) -> tuple[np.ndarra
     t[starts + size] = 1
     t = np.append(t, 0)
     sa = suffix_array(t, 258)
-    plcp = common_prefixes(raw, sa[1:], WINDOW)  # the sentinel alone is before all
     record = np.repeat(np.arange(len(records)), size + 1)
     offset = np.arange(n) - starts[record]
+    # A separator is a zero byte in `raw`, so only strings that end inside their record may count.
     whole = offset <= size[record] - WINDOW
-    # A separator is a zero byte in `raw`, so a run of equal bytes over an end must not count.
-    plcp = np.where(whole, plcp, 0)
-    sa = sa[1:]
+    sa = sa[1:]  # the sentinel alone is before all
+    plcp = common_prefixes(raw, sa, WINDOW, whole)
     joined = plcp[sa] >= WINDOW
     joined[1:] &= whole[sa[:-1]]
     joined[0] = False
@@ -432,22 +479,22 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
         docs = docs.select("doc_id", "id", "text")
     bodies = docs.select("id", "text")
     counts = python_map(bodies, _anchor_counts, "h bigint, k tinyint").groupBy("h").agg(F.sum("k").alias("k"))
-    rows = python_map(bodies, _anchor_rows, "h bigint, c bigint, id bigint, m bigint, dup boolean")
-    found = store(rows.join(counts.where("k > 1").select("h"), "h", "left_semi"), "anchors")
+    rows = python_map(bodies, _anchor_rows, "h bigint, c bigint, id bigint, at bigint, n bigint")
+    often = counts.where("k > 1").select("h", F.lit(True).alias("often"))
+    found = store(rows.join(often, "h", "left").where("often or c is null").drop("often"), "anchors")
     # At most one row of a record for each block of documents: a hot record is a row a block.
-    this = F.struct("id", "m")
-    near = found.where("not dup").withColumn("first", F.min(this).over(Window.partitionBy("h", "c")))
-    near = store(near.select("h", "id", "m", (this == F.col("first")).alias("is_first")), "runs")
-    firsts = near.where("is_first").select("h", "id", "m").distinct()
+    this = F.struct("id", "at")
+    near = found.where("c is not null").withColumn("first", F.min(this).over(Window.partitionBy("h", "c")))
+    near = store(near.select("h", "id", "at", "n", (this == F.col("first")).alias("is_first")), "runs")
+    firsts = near.where("is_first").select("h", "id", "at", "n").distinct()
     mixed = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
-    asked = firsts.join(mixed, "h").groupBy("id").agg(F.collect_list(F.struct("h", "m", (F.col("records") > hot).alias(
+    asked = firsts.join(mixed, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "n", (F.col("records") > hot).alias(
         "hot"))).alias("asked"))
     # Both joins below read one shuffle of the texts; a left join keeps it free of filters.
     with_asked = docs.join(asked.hint("shuffle_hash"), "id", "left").select("doc_id", "id", "text", "asked")
     made = python_map(with_asked, _records, "key bigint, id bigint, at bigint, record binary")
     fresh = python_map(made.repartition("key").sortWithinPartitions("key"), _shard, "id bigint, at bigint, n bigint")
-    run = [F.shiftright("m", 7).alias("at"), F.col("m").bitwiseAND(F.lit(127)).alias("n")]
-    marks = (found.where("dup").select("id", *run).union(near.where("not is_first").select("id", *run))
+    marks = (found.where("c is null").select("id", "at", "n").union(near.where("not is_first").select("id", "at", "n"))
              .union(fresh))
     marks = marks.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     return python_map(docs.join(marks.hint("shuffle_hash"), "id", "left").select(
