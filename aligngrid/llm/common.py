@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aligngrid.session import cut, ship, store  # noqa: F401
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers that may be sent to every task.
+SENT_ROWS = 300_000
 #: Bytes of text that one numpy block holds; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -56,11 +58,18 @@ def python_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def key_of(*cols: Column | str) -> Column:
-    """A 128-bit key of columns, nulls told from values."""
-    flat = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\x00null"))
-            for c in cols]
-    return F.unhex(F.md5(F.concat_ws("\x01", *flat)))
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that `df` does not have (names are told apart without their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A written or checkpointed table of numbers, to be sent to every task if it has at most `rows` rows; larger ones are joined
+    by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -71,22 +80,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     `min`, which combines before the shuffle, and joined (skewed joins are split by Spark), never collected.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
     for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.join(bounded(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                    .distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        if least.where("n > 1").isEmpty():  # every node hangs on one smaller node
+            down = least.select(F.col("u").alias("m"), F.col("m").alias("lower"))
+            if least.join(bounded(down.select("m")), "m", "left_semi").isEmpty():
+                return least.select(F.col("u").alias("node"), F.col("m").alias("root")).union(
+                    least.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
+        small = large.join(bounded(least), "u")
         e = cut(small.select("u", F.col("m").alias("v"))
-                .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-                .where("u <> v").distinct())
-        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"components still change after {max_rounds} rounds")
-    nodes = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+                .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+    raise RuntimeError(f"components still change after {max_rounds} rounds")

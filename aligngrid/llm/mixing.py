@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aligngrid.llm.common import WORD, cut, store, table
+from aligngrid.llm.common import WORD, cut, fresh, store, table
 
 #: The weights of the sources in code point order, repeating, and how often a document may be taken.
 WEIGHTS, MAX_COPIES = (5.0, 2.0, 1.0), 3
@@ -151,16 +151,16 @@ def pareto_mix(df: DataFrame, size: Column, *, id_col: str = "doc_id", source: s
     sources = _scale(docs, sources, max_copies)
     plan = joined(docs, sources)
 
-    def decided(size, like, source, ident):
+    def decided(size, like, source, ident, scale):
         """Expected and certain copies, and the rank of the fraction."""
-        expected = F.when((size > 0) & (like > 0), F.least(F.lit(float(max_copies)), F.col("scale") * like)).otherwise(0.0)
+        expected = F.when((size > 0) & (like > 0), F.least(F.lit(float(max_copies)), scale * like)).otherwise(0.0)
         sure = F.floor(expected + 1e-9)
         p = F.least(F.greatest(expected - sure, F.lit(0.0)), F.lit(1 - 1e-9))
         u = _number_of(seed, source, ident)
         odds = (u / (1 - u)) / (p / (1 - p))
         return expected, sure, F.when(p > 1e-9, odds / (1 + odds))
 
-    _, sure, rank = decided(F.col("size"), F.col("preference"), F.col("source"), F.col("doc_id"))
+    _, sure, rank = decided(F.col("size"), F.col("preference"), F.col("source"), F.col("doc_id"), F.col("scale"))
     chosen = store(plan.select("doc_id", "source", "size", sure.alias("sure"), rank.alias("rank")), "ranks")
     given = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("sure")).alias("given"))
     left = sources.join(given, sources.source.eqNullSafe(given.source)).select(
@@ -169,24 +169,27 @@ def pareto_mix(df: DataFrame, size: Column, *, id_col: str = "doc_id", source: s
                  left.where("left > 0"))
     facts = sources.join(cuts.withColumnRenamed("source", "_s"), sources.source.eqNullSafe(F.col("_s")), "left").select(
         sources.source, "source_size", "target", "scale", "cut_rank", "cut_id")
-    facts = cut(facts.withColumnRenamed("source", "_source"))
+    facts = cut(facts)
     if facts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         facts = F.broadcast(facts)
-    liked = sized.withColumn("_like", like)
-    full = liked.join(facts, F.col(source).cast("string").eqNullSafe(F.col("_source")))
-    _, sure, rank = decided(F.col("mix_size"), F.col("_like"), F.col(source).cast("string"), F.col(id_col))
-    more = F.coalesce((rank < F.col("cut_rank"))
-                      | ((rank == F.col("cut_rank")) & (F.coalesce(F.col(id_col), F.col("cut_id")) <= F.col("cut_id"))),
-                      F.lit(False))
+    # What the plan says of a source is one column beside the own ones, under a name that they do not have.
+    fact, name, liking = (fresh(x, own) for x in ("_fact", "_name", "_liking"))
+    facts = facts.select(F.col("source").alias(name), F.struct("source_size", "target", "scale", "cut_rank", "cut_id").alias(fact))
+    full = sized.withColumn(liking, like).join(facts, F.col(source).cast("string").eqNullSafe(F.col(name)))
+    of = lambda x: F.col(fact)[x]
+    _, sure, rank = decided(F.col("mix_size"), F.col(liking), F.col(source).cast("string"), F.col(id_col), of("scale"))
+    more = F.coalesce((rank < of("cut_rank")) | ((rank == of("cut_rank")) & (
+        F.coalesce(F.col(id_col), of("cut_id")) <= of("cut_id"))), F.lit(False))
     return full.select(
-        *own.columns, "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
+        *own.columns, "mix_size", of("source_size").alias("mix_source_size"), of("target").alias("mix_target"),
         (sure + more.cast("int")).cast("long").alias("mix_copies"))
 
 
 def take(df: DataFrame, size: Column, **how) -> DataFrame:
     """The mix itself: every row of `df` as often as `pareto_mix` takes it."""
     mixed = pareto_mix(df, size, **how).where("mix_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*df.columns)
+    copy = fresh("_copy", mixed)
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*df.columns)
 
 
 def n_words(text: str = "text") -> Column:

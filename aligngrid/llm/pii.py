@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aligngrid.llm.common import cut, table
+from aligngrid.llm.common import cut, fresh, table
 
 #: The base patterns (possessive where that can't change a match, so long runs cost linear time), the kinds in
 #: their order, and the generators. `\G` lets a match begin where the last one ended.
@@ -196,17 +196,18 @@ def personal_spans(df: DataFrame, text: str = "text", *, rows: int = TRAIN_ROWS,
     score, limits = fitted(df.sparkSession, rows, precision)
     limit = "CASE x.k " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in limits.items()) + " ELSE 2D END"
     order = "CASE x.k " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
-    out = df.drop("pii").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("_base", F.expr(base_spans("_t"))).withColumn("_found", F.expr(candidates("_t")))
-    out = out.withColumn("_found", F.expr(f"filter(_found, x -> {score} >= {limit})"))
+    whole, base, found = (fresh(x, df) for x in ("_whole", "_base", "_found"))
+    out = df.drop("pii").withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn(base, F.expr(base_spans(whole))).withColumn(found, F.expr(candidates(whole)))
+    out = out.withColumn(found, F.expr(f"filter({found}, x -> {score} >= {limit})"))
     inside = "(o.s <= x.s AND o.e >= x.e)"
-    out = out.withColumn("_found", F.expr(f"""filter(_found, (x, i) -> NOT exists(_base, o -> {inside})
-        AND NOT exists(_found, o -> {inside} AND (o.e - o.s > x.e - x.s OR {order.replace("x.", "o.")} < {order})))"""))
-    rows_of = lambda name, base: (f"transform({name}, x -> named_struct('s', x.s, 'o', {order}, 'e', x.e, 'k', x.k, "
-                                  f"'base', {base}))")
+    out = out.withColumn(found, F.expr(f"""filter({found}, (x, i) -> NOT exists({base}, o -> {inside})
+        AND NOT exists({found}, o -> {inside} AND (o.e - o.s > x.e - x.s OR {order.replace("x.", "o.")} < {order})))"""))
+    rows_of = lambda name, sure: (f"transform({name}, x -> named_struct('s', x.s, 'o', {order}, 'e', x.e, 'k', x.k, "
+                                  f"'base', {sure}))")
     return out.withColumn("pii", F.expr(
-        f"transform(array_sort(array_distinct(concat({rows_of('_base', 'true')}, {rows_of('_found', 'false')}))), "
-        "x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'base', x.base))")).drop("_t", "_base", "_found")
+        f"transform(array_sort(array_distinct(concat({rows_of(base, 'true')}, {rows_of(found, 'false')}))), "
+        "x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'base', x.base))")).drop(whole, base, found)
 
 
 def digest(spans: str) -> str:
