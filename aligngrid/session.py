@@ -10,10 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def make_session(cpus: str | int = "*", memory: str = "12g", shuffle_partitions: int | None = None):
+def make_session(cpus: str | int = "*", memory: str = "12g", shuffle_partitions: int | None = None,
+                 shared: str | None = None):
+    """A local session; shared: the folder for lineage cuts and stored tables."""
     parts = shuffle_partitions or (8 if cpus == "*" else max(int(cpus), 2))
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("aligngrid")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(parts))

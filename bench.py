@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 HEADLINE = [
@@ -18,7 +19,8 @@ def main() -> None:
     from aligngrid.plans import load
     from aligngrid.session import make_session
 
-    spark = make_session(cpus, memory=os.environ.get("BENCH_MEMORY", "16g"))
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-")
+    spark = make_session(cpus, memory=os.environ.get("BENCH_MEMORY", "16g"), shared=shared)
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
     queries["sc_is_gap"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm the JVM

@@ -4,8 +4,8 @@ from aligngrid.session import make_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = make_session(8)
+def spark(tmp_path_factory):
+    s = make_session(8, shared=str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
