@@ -61,11 +61,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, merge: bool = False) -> DataFrame:
+def cut(df: DataFrame, merge: bool = True) -> DataFrame:
     """Materialise `df` in the shared folder and drop its lineage.
 
-    merge: for loops whose unions add up partitions from round to round; no more than the session's shuffle
-    partitions are kept. Not for tables that are just read: it would narrow the reading stage.
+    merge: unions and joins add up partitions from round to round, so no more than the session's shuffle partitions
+    are kept; not for a table that is just read, whose reading it would narrow.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
