@@ -38,17 +38,18 @@ def closure(edges: DataFrame) -> DataFrame:
     for i in range(rounds):
         step = jump.select(*keys, F.col("node").alias("anc"), F.col("anc").alias("top"),
                            F.col("hops").alias("h2"), F.col("dist").alias("d2"))
-        acc = acc.unionByName(
+        # cut each round: the rows are used twice in the next one, and its plan would hold this one's twice
+        acc = cut(acc.unionByName(
             acc.join(step, [*keys, "anc"]).select(
                 *keys, "node", F.col("top").alias("anc"), (F.col("hops") + F.col("h2")).alias("hops"),
-                (F.col("dist") + F.col("d2")).alias("dist"), "leaf_seq"))
+                (F.col("dist") + F.col("d2")).alias("dist"), "leaf_seq")))
         if i + 1 < rounds:
             jump = cut(jump.join(step, [*keys, "anc"]).select(
                 *keys, "node", F.col("top").alias("anc"), (F.col("hops") + F.col("h2")).alias("hops"),
                 (F.col("dist") + F.col("d2")).alias("dist")))
             if rounds > 6 and jump.isEmpty():
                 break
-    return cut(acc)
+    return acc
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -183,12 +184,13 @@ def prune(edges: DataFrame, keep: DataFrame, clos: DataFrame | None = None) -> D
     kept = edges.join(keep.select(*on), on, "left_semi")
     live = kept.select(*keys, "node").join(clos.select(*keys, "node", "anc"), [*keys, "node"]).select(*keys, F.col("anc").alias("node")).distinct()
     forks = edges.join(live, [*keys, "node"], "left_semi").groupBy(*keys, F.col("parent").alias("node")).count().filter("count > 1")
-    stay = kept.select(*keys, "node").unionByName(forks.select(*keys, "node"))
+    stay = cut(kept.select(*keys, "node").unionByName(forks.select(*keys, "node")))
     up = clos.filter("hops > 0").join(stay, [*keys, "node"], "left_semi").join(
         stay.withColumnRenamed("node", "anc"), [*keys, "anc"], "left_semi")
-    return up.groupBy(*keys, "node", "leaf_seq").agg(
+    # cut, as callers read the tree several times
+    return cut(up.groupBy(*keys, "node", "leaf_seq").agg(
         F.min_by("anc", "hops").alias("parent"), F.min_by("dist", "hops").alias("length")
-    ).select(*keys, "node", "parent", "length", "leaf_seq")
+    ).select(*keys, "node", "parent", "length", "leaf_seq"))
 
 
 def paint(edges: DataFrame, clades: DataFrame, clos: DataFrame | None = None) -> DataFrame:
