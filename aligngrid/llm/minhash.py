@@ -6,16 +6,16 @@ A dart that lies under the element's weight belongs to one of `k` coordinates; e
 Two sets agree on a coordinate with the probability of their weighted Jaccard similarity. About k ln k darts serve a set
 of any size: ranks are opened span by span until every coordinate has one.
 
-Joining: texts that are equal are one representative first. Each band of a signature is a bucket; a bucket is never
-expanded into pairs: every member is checked against the bucket's leader only. Members that are unlike their leader stay
-in the bucket and get the next leader, until a round adds no link. Signatures settle the clear cases; a
-pair whose estimate lies within `margin` of the threshold is checked on the whole texts.
+Joining: texts that are equal are one representative first. The representatives of a bucket (equal in a band) are compared by
+their signatures inside one task, a byte a coordinate; a bucket above `block` members is dealt over blocks, by another
+hash in each of its bands. Pairs are never listed: each round a member of the smaller of two components names its few
+most like members of other components, clear cases are links, and those within `margin` of the threshold are checked on the
+whole texts. Links make components, and the next round asks for more, until no unlike pair of a block is left untested.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aligngrid.llm.common import blocks, components, cut, python_map, store, table, texts_of
+from aligngrid.llm.common import blocks, bounded, components, cut, python_map, store, table, texts_of
 from aligngrid.llm.shingles import mix, shingles
 
 #: Five words a shingle and a Jaccard similarity of 0.8 make near-duplicates.
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Five standard deviations of an estimate from BANDS * ROWS coordinates at the threshold.
-MARGIN = 0.16
-BLOCK = 1 << 20
+#: Coordinates of a signature; the first BANDS * ROWS make the bands. An estimate at the threshold is off by more than the margin
+#: with probability 4e-6.
+COORDINATES, MARGIN = 320, 0.1
+#: Members of a bucket that are compared with each other in one task, and how many links a member asks for in the first round
+#: and how much more in each following one.
+MEMBERS, FIRST, MORE = 2048, 1, 64
+#: Bytes of text, and elements, that are worked on at once.
+TEXT, BLOCK = 1 << 20, 1 << 18
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
@@ -88,15 +93,17 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, set_of: np
     return signature.reshape(n_sets, k)
 
 
-def signatures(df: DataFrame, id_col: str, text: str, *, width: int = WIDTH, k: int = BANDS * ROWS,
-               weights: str = "set") -> DataFrame:
-    """(id, copy_key, signature) of each row; signature: 4 bytes of each coordinate's dart, null without words.
+def signatures(df: DataFrame, id_col: str, text: str, *, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS,
+               coordinates: int = COORDINATES, weights: str = "set") -> DataFrame:
+    """(id, copy_key, signature, keys) of each row.
 
+    signature: a byte of each coordinate's dart, keys: a number for each band; both null without words.
     weights: "set" counts each distinct shingle once, "count" as often as it occurs.
     """
+    k = max(bands * rows, coordinates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, TEXT):
             texts = texts_of(block, text)
             ids, of = shingles(texts, width)
             has = np.bincount(of, minlength=len(texts)) > 0
@@ -109,29 +116,84 @@ def signatures(df: DataFrame, id_col: str, text: str, *, width: int = WIDTH, k:
                 sig = dart_signatures(ids[first], amount, of[first], len(texts), k)
             else:
                 sig = dart_signatures(ids, None, of, len(texts), k)
-            short = (mix(sig.view(np.uint64)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            sig = mix(sig.view(np.uint64))
+            key = np.zeros((len(texts), bands), np.uint64)
+            key += np.arange(bands, dtype=np.uint64)
+            for i in range(rows):
+                key = mix(key ^ sig[:, i:bands * rows:rows])
+            short = (sig & np.uint64(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
                 block.column(block.schema.get_field_index(id_col)).cast(pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                pa.array([s.tobytes() if h else None for s, h in zip(short, has)], pa.binary())],
-                names=["id", "copy_key", "signature"])
+                pa.array([s.tobytes() if h else None for s, h in zip(short, has)], pa.binary()),
+                pa.array([s if h else None for s, h in zip(key.view(np.int64), has)], pa.list_(pa.int64()))],
+                names=["id", "copy_key", "signature", "keys"])
 
-    return python_map(df.select(id_col, text), run, "id bigint, copy_key binary, signature binary")
+    return python_map(df.select(id_col, text), run, "id bigint, copy_key binary, signature binary, keys array<bigint>")
 
 
-def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, estimate) of pairs with both signatures."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1)
-                    for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(axis=1))],
-                                             names=["a", "b", "estimate"])
+def asked_pairs(rep: np.ndarray, root: np.ndarray, size: np.ndarray, sig: np.ndarray, least: float,
+                most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, estimate, more) of the members of one block: for each its `most` most like members of larger components (or equal
+    ones with a smaller root), from the estimate `least`; more: it has others besides (once, at the last of them)."""
+    out = []
+    for i in range(0, len(rep), 64):
+        j = slice(i, i + 64)
+        estimate = (sig[j, None, :] == sig[None, :, :]).mean(axis=2, dtype=np.float32)
+        larger = (size[None, :] > size[j, None]) | ((size[None, :] == size[j, None]) & (root[None, :] < root[j, None]))
+        estimate = np.where(larger, estimate, -1.0)
+        order = np.lexsort((np.broadcast_to(rep, estimate.shape), -estimate), axis=1)[:, :most + 1]
+        value = np.take_along_axis(estimate, order, axis=1)
+        good = value >= least
+        row, col = np.nonzero(good[:, :most])
+        more = good[:, most] if good.shape[1] > most else np.zeros(len(good), bool)
+        out.append((rep[j][row], rep[order[row, col]], value[row, col], more[row] & (col == most - 1)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _asked(least: float, most: int):
+    """Rows (key, part, rep, signature, root, size), sorted by key and part -> asked pairs of each block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.Table):
+            key, part, rep, root, size = (np.asarray(rows.column(c), np.int64) for c in ("key", "part", "rep", "root", "size"))
+            sig = rows.column("signature").combine_chunks()
+            sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(key), -1)
+            first = np.flatnonzero((np.diff(key, prepend=key[0]) != 0) | (np.diff(part, prepend=part[0] - 1) != 0))
+            found = [asked_pairs(rep[a:b], root[a:b], size[a:b], sig[a:b], least, most)
+                     for a, b in zip(first, [*first[1:], len(key)]) if b - a > 1 and (root[a:b] != root[a]).any()]
+            if not found:
+                return None
+            a, b, estimate, more = (np.concatenate(x) for x in zip(*found))
+            # What many buckets ask is said once.
+            pair, at = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+            again = np.zeros(len(a), bool)
+            again[at] = True
+            again |= more
+            return pa.RecordBatch.from_arrays([pa.array(a[again]), pa.array(b[again]), pa.array(estimate[again].astype(np.float64)),
+                                               pa.array(more[again])], names=["a", "b", "estimate", "more"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            key, part = np.asarray(rows.column("key"), np.int64), np.asarray(rows.column("part"), np.int64)
+            whole = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+            if len(whole):  # the last block may go on in the next batch
+                end = int(whole[-1]) + 1
+                if (out := pairs(rows.slice(0, end))) is not None:
+                    yield out
+                held = rows.slice(end).to_batches()
+        if held and (out := pairs(pa.Table.from_batches(held))) is not None:
+            yield out
+    return run
 
 
 def _exact(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text_a"):
+        for batch in blocks(batches, "text_a", TEXT):
             n = batch.num_rows
             ids, of = shingles(texts_of(batch, "text_a") + texts_of(batch, "text_b"), width)
             cuts = np.searchsorted(of, np.arange(2 * n + 1))
@@ -144,9 +206,18 @@ def _exact(width: int):
     return run
 
 
+def _texts_of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) of pairs (a, b); only the texts that are asked for are shuffled, where the pairs are few enough to
+    be sent to the documents."""
+    sent = bounded(pairs)
+    x = docs.join(sent, docs.id == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
+    y = docs.join(sent, docs.id == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
+    return x.join(y, ["a", "b"]).select("a", "b", "text_a", "text_b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, width: int = WIDTH,
                     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                    margin: float = MARGIN) -> DataFrame:
+                    coordinates: int = COORDINATES, margin: float = MARGIN, members: int = MEMBERS) -> DataFrame:
     """(id_col, copy_of, class_id) of every row: the least id with an equal text, the least id of its class.
 
     Classes are the connected components of links: equal texts, and texts whose sets of `width`-word shingles have a
@@ -154,50 +225,66 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
     each other and have no other link. Rows that share an id are one document. Rows without an id keep null classes.
     An empty table gives an empty result; further columns play no part.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = store(signatures(docs, "id", "text", width=width, k=bands * rows), "signatures")
+    signed = store(signatures(docs, "id", "text", width=width, bands=bands, rows=rows,
+                              coordinates=coordinates), "signatures")
     copies = cut(signed.groupBy("copy_key").agg(F.min("id").alias("rep")).where("rep is not null"))
     reps = (signed.where("signature is not null").join(copies, "copy_key").where("id = rep")
-            .select("rep", "signature").dropDuplicates(["rep"]))
-    reps = store(reps, "representatives")
-    part = 4 * rows
-    opened = store(reps.select("rep", F.posexplode(F.array(
-        *[F.xxhash64(F.lit(i), F.substring("signature", 1 + part * i, part)) for i in range(bands)])).alias("band", "key"))
-        .select("rep", "key"), "buckets")
-    links, tested = [], None
+            .select("rep", "signature", "keys"))
+    banded = reps.select("rep", F.explode("keys").alias("key")).distinct()
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / members))
+    dealt = banded.join(shared, "key").select("key", part.alias("part"), "rep")
+    dealt = store(dealt.join(reps.select("rep", "signature").dropDuplicates(["rep"]), "rep"), "buckets")
+    tested: list[DataFrame] = []
+    roots, most = None, FIRST
     while True:
-        leaders = (opened.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n"))
-                   .where("n > 1").select("key", "leader"))
-        member = opened.join(leaders, "key").where("rep <> leader")
-        new = member.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        if tested is not None:
-            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        sides = reps.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
-        other = reps.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-        pairs = new.join(sides, "a").join(other, "b").select("a", "b", "x", "y")
-        rated = store(python_map(pairs, _likeness, "a bigint, b bigint, estimate double"), "rated")
-        near = rated.where(F.abs(F.col("estimate") - similarity) <= margin).select("a", "b")
-        on_text = (near.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-                   .join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-                   .select("a", "b", "text_a", "text_b"))
-        checked = python_map(on_text, _exact(width), "a bigint, b bigint, likeness double")
-        sure = rated.where(F.col("estimate") > similarity + margin).select("a", "b")
-        linked = cut(sure.union(checked.where(F.col("likeness") >= similarity).select("a", "b")).distinct())
-        links.append(linked)
-        judged = rated.select("a", "b").join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left")
-        tested = judged if tested is None else tested.union(judged)
-        tested = cut(tested)
-        if linked.isEmpty():
+        own = dealt.withColumn("root", F.col("rep")).withColumn("size", F.lit(1).cast("long"))
+        if roots is not None:
+            sizes = cut(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+            of = cut(roots.join(bounded(sizes), "root").select(F.col("node").alias("rep"), "root", "size"))
+            own = dealt.join(bounded(of), "rep", "left").withColumn("root", F.coalesce("root", "rep")).withColumn(
+                "size", F.coalesce("size", F.lit(1)))
+        own = own.select("key", "part", "rep", "signature", "root", "size")
+        asked = store(python_map(own.repartition("key", "part").sortWithinPartitions("key", "part", "rep"),
+                                 _asked(similarity - margin, most),
+                                 "a bigint, b bigint, estimate double, more boolean"), "asked")
+        new = asked.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+        for old in tested:
+            new = new.join(bounded(old), ["a", "b"], "left_anti")
+        new = cut(new)
+        sure = new.where(F.col("estimate") > similarity + margin).select("a", "b")
+        open_ = new.where(F.col("estimate") <= similarity + margin).select("a", "b")
+        checked = python_map(_texts_of_pairs(docs, open_), _exact(width), "a bigint, b bigint, likeness double")
+        linked = cut(sure.union(checked.where(F.col("likeness") >= similarity).select("a", "b")))
+        tested.append(new.select("a", "b"))
+        if not linked.isEmpty():
+            # Only the new links between components are contracted.
+            fresh = linked
+            if roots is not None:
+                low = bounded(cut(roots))
+                fresh = (fresh.join(low.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+                         .join(low.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+                         .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+            above = cut(components(fresh))
+            if roots is None:
+                roots = above
+            else:
+                moved = bounded(above.select(F.col("node").alias("root"), F.col("root").alias("top")))
+                kept = roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+                newly = above.join(roots.select("node"), "node", "left_anti")
+                roots = kept.union(newly)
+            roots = cut(roots)
+        elif asked.where("more").isEmpty():
             break
-        left = (member.join(tested.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "linked"),
-                            ["rep", "leader"], "left").where("linked is null").select("rep", "key"))
-        opened = store(left, "buckets")
-    roots = components(reduce(DataFrame.union, links))
+        most *= MORE
     found = signed.select("id", "copy_key").join(copies, "copy_key", "left")
-    return (found.join(roots, found.rep == roots.node, "left")
-            .select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("rep")).alias("copy_of"),
-                    F.when(F.col("id").isNotNull(), F.coalesce("root", "rep")).alias("class_id")))
+    if roots is not None:
+        found = found.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    else:
+        found = found.withColumn("root", F.lit(None).cast("long"))
+    return found.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("rep")).alias("copy_of"),
+                        F.when(F.col("id").isNotNull(), F.coalesce("root", "rep")).alias("class_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
