@@ -14,6 +14,7 @@ from aligngrid.session import cut, ship, store  # noqa: F401
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS, _ARROW = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a few numbers that may be sent to every task.
 SENT_ROWS = 300_000
 #: Bytes of text that one numpy block holds; a longer text is a block of its own.
@@ -53,8 +54,13 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def python_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """`mapInArrow` with this package on the workers."""
+    """`mapInArrow` with this package on the workers.
+
+    Rows hold whole texts, so unless the session has its own setting, batches are of ARROW_ROWS rows and not of Spark's 10,000.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_ARROW, "10000") == "10000":
+        df.sparkSession.conf.set(_ARROW, str(ARROW_ROWS))
     return df.mapInArrow(fn, schema)
 
 

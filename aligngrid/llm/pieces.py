@@ -29,9 +29,9 @@ from aligngrid.llm.common import blocks, python_map, table, texts_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text in a block, and characters of new chunks that are indexed at once (a longer chunk is indexed alone).
-BLOCK, INDEXED = 4 << 20, 700_000
+BLOCK, INDEXED = 2 << 20, 250_000
 #: So many chunks of earlier blocks are kept by a worker with their ids, then it starts anew.
-KNOWN = 1_000_000
+KNOWN = 300_000
 _MEMO_BITS = 21
 
 
