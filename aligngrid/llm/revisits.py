@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aligngrid.llm.common import store, table
+from aligngrid.llm.common import table
 
 #: Header fields that a 304 answer may replace, and query parameters that name no resource.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -141,7 +141,7 @@ def captures(pages: DataFrame) -> DataFrame:
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every revisit of a page stands for; headers as `name: value` lines, the payload by its digest and length."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = resolved(store(captures(pages), "captures"))
+    out = resolved(captures(pages))
     lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     return out.select("record_id", "canonical", "earlier_id", "outcome", lines.alias("headers"),
                       F.md5("payload").alias("payload_md5"), F.length("payload").cast("long").alias("payload_chars"))
