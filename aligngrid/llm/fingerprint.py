@@ -144,33 +144,40 @@ def _neighbours(keys: DataFrame) -> DataFrame:
                        before["id"].alias("prev_id"), before["h"].alias("prev_h"), before["n"].alias("prev_n"))
 
 
+def distinct_texts(df: DataFrame) -> DataFrame:
+    """(id, h, text, rows): one row for each distinct pair of id and text of documents (doc_id, text), `rows` the number of its
+    repeats. A missing id is MISSING, a missing text empty."""
+    docs = df.select(F.coalesce(F.col("doc_id"), F.lit(MISSING)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+
+
 def with_edits(df: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) beside their edited texts: id, h, rows, n, next_id, next_h, text, edited.
+    """Documents (doc_id, text) beside their edited texts: id, h, rows, n, next_id, next_h, next_rows, text, edited.
 
-    One row for each distinct pair of id and text, `rows` the number of its repeats. Ids ascend, null first; texts of one id
-    follow in the order of their hash. A lone document is its own next one.
+    Rows as in `distinct_texts`. Ids ascend, null first; texts of one id follow in the order of their hash. A lone document is
+    its own next one. Texts and heads come from one shuffle of the texts, so both carry the number of rows.
     """
     docs = df.select(F.coalesce(F.col("doc_id"), F.lit(MISSING)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("h"), "text")
     keys = docs.groupBy("id", "h").agg(F.first(F.char_length("text").cast("long")).alias("n"))
     near = store(_neighbours(keys), "neighbours")
-    texts = docs.groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows"))
+    texts = distinct_texts(df)
     heads = texts.join(near.select("id", "h", "prev_id", "prev_h", "prev_n"), ["id", "h"]).select(
-        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"),
+        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), F.col("rows").alias("next_rows"),
         F.expr("substring(text, 1, cast(prev_n div 4 AS int))").alias("head"))
     both = texts.join(near.select("id", "h", "n", "next_id", "next_h"), ["id", "h"]).join(heads, ["id", "h"])
     stay = F.expr("substring(text, 1, cast(n - n div 4 AS int))")
-    return both.select("id", "h", "rows", "n", "next_id", "next_h", "text", F.concat(stay, "head").alias("edited"))
+    return both.select("id", "h", "rows", "n", "next_id", "next_h", "next_rows", "text", F.concat(stay, "head").alias("edited"))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and how like they are."""
-    rows = with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = rows.withColumn("sha", F.sha2("edited", 256))
-    made = store(fingerprints(rows, ["id", "h", "rows", "n", "next_id", "next_h", "sha"],
-                              {"own": "text", "other": "edited"}), "fingerprints")
-    after = made.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("next"))
-    out = made.join(after, ["next_id", "next_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = with_edits(docs).withColumn("sha", F.sha2("edited", 256))
+    made = fingerprints(rows, ["id", "h", "rows", "n", "next_id", "next_h", "next_rows", "sha"], {"own": "text", "other": "edited"})
+    after = fingerprints(distinct_texts(docs), ["id", "h", "rows"], {"next": "text"})
+    after = after.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("rows").alias("next_rows"), "next")
+    out = made.join(after, ["next_id", "next_h", "next_rows"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(
         F.when(F.col("id") != MISSING, F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
