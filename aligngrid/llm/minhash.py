@@ -7,8 +7,8 @@ Two sets agree on a coordinate with the probability of their weighted Jaccard si
 of any size: ranks are opened span by span until every coordinate has one.
 
 Joining: texts that are equal are one representative first. The representatives of a bucket (equal in a band) are compared by
-their signatures inside one task, a byte a coordinate; a bucket above `block` members is dealt over blocks, by another
-hash in each of its bands. Pairs are never listed: each round a member of the smaller of two components names its few
+their signatures inside tasks, a byte a coordinate; a bucket above `members` members is dealt over parts, and every two parts of
+it meet in a block of their own, so all pairs of a bucket are compared. Pairs are never listed: each round a member of the smaller of two components names its few
 most like members of other components, clear cases are links, and those within `margin` of the threshold are checked on the
 whole texts. Links make components, and the next round asks for more, until no unlike pair of a block is left untested.
 """
@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 5
 #: Coordinates of a signature; the first BANDS * ROWS make the bands. An estimate at the threshold is off by more than the margin
 #: with probability 4e-6.
 COORDINATES, MARGIN = 320, 0.1
-#: Members of a bucket that are compared with each other in one task, and how many links a member asks for in the first round
+#: Members of a part of a bucket (a block compares one part, or two parts with each other), and how many links a member asks for in the first round
 #: and how much more in each following one.
 MEMBERS, FIRST, MORE = 2048, 1, 64
 #: Bytes of text, and elements, that are worked on at once.
@@ -132,37 +132,55 @@ def signatures(df: DataFrame, id_col: str, text: str, *, width: int = WIDTH, ban
     return python_map(df.select(id_col, text), run, "id bigint, copy_key binary, signature binary, keys array<bigint>")
 
 
-def asked_pairs(rep: np.ndarray, root: np.ndarray, size: np.ndarray, sig: np.ndarray, least: float,
+def asked_pairs(of: tuple[np.ndarray, ...], among: tuple[np.ndarray, ...], least: float,
                 most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, estimate, more) of the members of one block: for each its `most` most like members of larger components (or equal
-    ones with a smaller root), from the estimate `least`; more: it has others besides (once, at the last of them)."""
+    """(a, b, estimate, more) of the members `of` (rep, root, size, signature): for each its `most` most like ones `among` members of
+    larger components (or equal ones with a smaller root), from the estimate `least`; more: it has others besides (once, at the
+    last of them)."""
     out = []
-    for i in range(0, len(rep), 64):
-        j = slice(i, i + 64)
-        estimate = (sig[j, None, :] == sig[None, :, :]).mean(axis=2, dtype=np.float32)
-        larger = (size[None, :] > size[j, None]) | ((size[None, :] == size[j, None]) & (root[None, :] < root[j, None]))
+    rep, root, size, sig = among
+    for i in range(0, len(of[0]), 64):
+        one, own, n, mine = (x[i:i + 64] for x in of)
+        estimate = (mine[:, None, :] == sig[None, :, :]).mean(axis=2, dtype=np.float32)
+        larger = (size[None, :] > n[:, None]) | ((size[None, :] == n[:, None]) & (root[None, :] < own[:, None]))
         estimate = np.where(larger, estimate, -1.0)
         order = np.lexsort((np.broadcast_to(rep, estimate.shape), -estimate), axis=1)[:, :most + 1]
         value = np.take_along_axis(estimate, order, axis=1)
         good = value >= least
         row, col = np.nonzero(good[:, :most])
         more = good[:, most] if good.shape[1] > most else np.zeros(len(good), bool)
-        out.append((rep[j][row], rep[order[row, col]], value[row, col], more[row] & (col == most - 1)))
+        out.append((one[row], rep[order[row, col]], value[row, col], more[row] & (col == most - 1)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _asked(least: float, most: int):
-    """Rows (key, part, rep, signature, root, size), sorted by key and part -> asked pairs of each block."""
+    """Rows (key, low, high, part, rep, signature, root, size), sorted by key, low and high -> asked pairs of each block: of part
+    `low` within itself if `high` is the same, else between the two."""
+    def split(rows: pa.Table) -> np.ndarray:
+        """Where rows begin another block than the row before; the first does not."""
+        at = [np.asarray(rows.column(c), np.int64) for c in ("key", "low", "high")]
+        return np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in at])) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table):
-            key, part, rep, root, size = (np.asarray(rows.column(c), np.int64) for c in ("key", "part", "rep", "root", "size"))
+            low, high, part, rep, root, size = (np.asarray(rows.column(c), np.int64)
+                                                for c in ("low", "high", "part", "rep", "root", "size"))
             sig = rows.column("signature").combine_chunks()
-            sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(key), -1)
-            first = np.flatnonzero((np.diff(key, prepend=key[0]) != 0) | (np.diff(part, prepend=part[0] - 1) != 0))
-            found = [asked_pairs(rep[a:b], root[a:b], size[a:b], sig[a:b], least, most)
-                     for a, b in zip(first, [*first[1:], len(key)]) if b - a > 1 and (root[a:b] != root[a]).any()]
+            sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(rep), -1)
+            first = [0, *split(rows)]
+            found = []
+            for a, b in zip(first, [*first[1:], len(rep)]):
+                if b - a < 2 or (root[a:b] == root[a]).all():
+                    continue
+                block = tuple(x[a:b] for x in (rep, root, size, sig))
+                if low[a] == high[a]:
+                    found.append(asked_pairs(block, block, least, most))
+                    continue
+                x, y = (tuple(v[part[a:b] == p] for v in block) for p in (low[a], high[a]))
+                if len(x[0]) and len(y[0]):
+                    found += [asked_pairs(x, y, least, most), asked_pairs(y, x, least, most)]
             if not found:
                 return None
             a, b, estimate, more = (np.concatenate(x) for x in zip(*found))
@@ -179,10 +197,9 @@ def _asked(least: float, most: int):
                 continue
             held.append(batch)
             rows = pa.Table.from_batches(held)
-            key, part = np.asarray(rows.column("key"), np.int64), np.asarray(rows.column("part"), np.int64)
-            whole = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-            if len(whole):  # the last block may go on in the next batch
-                end = int(whole[-1]) + 1
+            first = split(rows)
+            if len(first):  # the last block may go on in the next batch
+                end = int(first[-1])
                 if (out := pairs(rows.slice(0, end))) is not None:
                     yield out
                 held = rows.slice(end).to_batches()
@@ -233,8 +250,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
             .select("rep", "signature", "keys"))
     banded = reps.select("rep", F.explode("keys").alias("key")).distinct()
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / members))
-    dealt = banded.join(shared, "key").select("key", part.alias("part"), "rep")
+    dealt = banded.join(shared.select("key", F.ceil(F.col("n") / members).alias("parts")), "key").select(
+        "key", "parts", F.pmod(F.xxhash64("rep", "key"), "parts").alias("part"), "rep")
     dealt = store(dealt.join(reps.select("rep", "signature").dropDuplicates(["rep"]), "rep"), "buckets")
     tested: list[DataFrame] = []
     roots, most = None, FIRST
@@ -245,8 +262,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
             of = cut(roots.join(bounded(sizes), "root").select(F.col("node").alias("rep"), "root", "size"))
             own = dealt.join(bounded(of), "rep", "left").withColumn("root", F.coalesce("root", "rep")).withColumn(
                 "size", F.coalesce("size", F.lit(1)))
-        own = own.select("key", "part", "rep", "signature", "root", "size")
-        asked = store(python_map(own.repartition("key", "part").sortWithinPartitions("key", "part", "rep"),
+        # A member goes to the block of its part with each part of its bucket.
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        own = own.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep",
+                         "signature", "root", "size")
+        asked = store(python_map(own.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep"),
                                  _asked(similarity - margin, most),
                                  "a bigint, b bigint, estimate double, more boolean"), "asked")
         new = asked.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))

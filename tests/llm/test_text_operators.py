@@ -159,6 +159,28 @@ def test_near_duplicates_like_brute_force(spark):
     assert len(set(got.values())) < len(rows) - 10
 
 
+def test_parts_of_a_bucket_all_meet(spark):
+    r = random.Random(3)
+    page = [f"w{i}" for i in range(300)]
+
+    def changed(text, n, name):
+        out = list(text)
+        for k in r.sample(range(0, 300, 5), n):
+            out[k] = f"{name}-{k}"
+        return out
+
+    rows = []
+    for i in range(40):  # most pages of one template lie below the threshold to each other; each has a partner just above it
+        own = changed(page, 5, f"own{i}")
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(changed(own, 6, f"other{i}")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = near_classes(rows)
+    assert len(set(want.values())) > 20
+    for members in (1, 4):
+        got = {x.doc_id: x.class_id for x in minhash.near_duplicates(df, members=members).collect()}
+        assert got == want, members
+
+
 def test_signatures_estimate_weighted_likeness():
     r = np.random.default_rng(1)
     off = []
