@@ -265,5 +265,23 @@ def test_rules_and_reputation(spark):
         "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "local": ("local", "local")}
 
 
+def test_hosts_without_labels_take_their_nearest_labelled_level(spark):
+    urls = [f"http://h{i % 5}.bad.org/" for i in range(200)] + [f"http://h{i % 5}.good.org/" for i in range(200)]
+    urls += [f"http://h{i % 5}.worse.net/" for i in range(200)]
+    labels = [(i, int(i < 200 or i >= 400)) for i in range(600)]
+    urls += ["http://new.bad.org/", "http://new.good.org/", "http://new.net/", "http://new.info/", "http://"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame(labels, "page_id long, bad int")
+    got = {r.host: r for r in hosts.judged(pages, outcomes, rules=[]).collect()}
+    top, (suffix, domain, host) = hosts.level_rates(
+        pages.join(outcomes, "page_id").select(hosts.url_parts(F.col("url"))[0].alias("host"), "bad"))
+    by = {r.domain: r.bound for r in domain.collect()} | {r.suffix: r.bound for r in suffix.collect()}
+    assert got["new.bad.org"].bound == by["bad.org"] > 0.9 and got["new.good.org"].bound == by["good.org"] < 0.1
+    assert got["new.net"].bound == by["net"] > 0.9 and got["new.info"].bound == top[1] > 0.6
+    assert [got[x].verdict for x in ("new.bad.org", "new.good.org", "new.net", "new.info", "")] == [
+        "block", "allow", "block", "block", "allow"]
+    assert got["new.bad.org"].labelled == 0 and got["h1.bad.org"].labelled == 40 and got[""].bound == 0
+
+
 def test_documents_have_the_columns_that_stages_need():
     assert len(full(documents(1, 3))[0]) == 5
