@@ -1,7 +1,7 @@
 """PII: candidates from high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 Only DataFrame and SQL functions work here. Base patterns find emails, addresses, cards and phones and stay as they are. Generators
-propose more: digit runs inside longer ones, phones without a country, emails in words, long tokens. Every candidate gets
+propose more: digit runs inside longer ones (at borders of groups and, in long unbroken runs, anywhere), phones without a country, emails in words, long tokens. Every candidate gets
 features of its format (lengths, shares of characters, check digit) and context (the characters and cue words around it).
 Gradient-boosted trees (MLlib) are fitted to labelled texts made by rules from a bounded number of seeds; on held-out rows the
 lowest threshold that reaches the wanted precision is taken for each kind. The trees become one SQL expression, so
@@ -29,6 +29,9 @@ GENERATORS = {
     "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}+",
 }
+#: Cards inside a longer run of digits have thresholds of their own: from border to border of its groups, and in one long group.
+INNER = ["subcard", "window"]
+CARD_DIGITS = range(12, 20)
 KINDS = ["email", "ip", "card", "phone", "secret"]
 #: A text without any of these has no candidate.
 HINT = r"[0-9@]|[\[(]at[\])]"
@@ -57,6 +60,25 @@ def _spans(pattern: str, kind: str, text: str) -> str:
       acc -> acc.out) ELSE {empty} END"""
 
 
+def _inner(text: str) -> str:
+    """SQL: the sub-runs of 12 to 19 digits that pass the check: those between borders of groups (they may overlap), and all of
+    an unbroken run of 20 digits or more."""
+    empty = "cast(array() as array<struct<s:int,e:int,k:string,v:string>>)"
+    grouped, windows = [], []
+    for n in CARD_DIGITS:
+        p = _lit(rf"(?<![0-9])(?=([0-9](?:[\x20-]?[0-9]){{{n - 1}}})(?![0-9]))[0-9]")  # takes one digit, so matches overlap
+        grouped.append(f"""aggregate(zip_with(regexp_extract_all({text}, {p}, 1), split({text}, {p}, -1),
+            (v, g) -> named_struct('v', v, 'g', char_length(g))), named_struct('at', 0, 'out', {empty}),
+          (acc, x) -> if(x.v IS NULL, acc, named_struct('at', acc.at + x.g + 1, 'out', if(
+            x.v RLIKE '[ -]' AND luhn_check({_DIGITS}), concat(acc.out, array(named_struct('s', acc.at + x.g,
+              'e', acc.at + x.g + char_length(x.v), 'k', '{INNER[0]}', 'v', x.v))), acc.out))), acc -> acc.out)""")
+        windows.append(f"""filter(transform(regexp_extract_all(x.v, '(?=([0-9]{{{n}}}))[0-9]', 1), (w, i) -> named_struct(
+            's', x.s + i, 'e', x.s + i + {n}, 'k', '{INNER[1]}', 'v', w)), y -> luhn_check(y.v))""")
+    long = _spans("(?<![0-9])[0-9]{20,}+", INNER[1], text)
+    return f"""CASE WHEN {text} RLIKE '[0-9](?:[ -]?[0-9]){{12}}' THEN concat({", ".join(grouped)},
+      flatten(transform({long}, x -> concat({", ".join(windows)})))) ELSE {empty} END"""
+
+
 _DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
 _VALID = {
     "email": "true",
@@ -77,7 +99,9 @@ def _share(pattern: str) -> str:
 
 #: SQL of the features of a candidate `x` (s, e, k, v, b: the characters before, a: those after).
 FEATURES = [
-    *[f"if(x.k = '{k}', 1.0D, 0.0D)" for k in ("card", "phone", "email", "secret")],
+    *[f"if(x.k = '{k}', 1.0D, 0.0D)" for k in ("card", "phone", "email", "secret", *INNER)],
+    "if(x.v RLIKE '^([0-9]{4}[ -]?){3}[0-9]{4}$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}$', 1.0D, 0.0D)",
+    "if(x.v RLIKE '^(4|5[1-5]|3[47]|6011)', 1.0D, 0.0D)",
     "cast(char_length(x.v) AS double)", "cast(regexp_count(x.v, '[0-9]') AS double)", _share("[0-9]"), _share("[a-z]"),
     _share("[A-Z]"), _share("[0-9a-fA-F]"), _share("[aeiouAEIOU]"), _share("[_/+-]"),
     "size(array_distinct(split(x.v, ''))) / cast(char_length(x.v) AS double)",
@@ -92,7 +116,7 @@ FEATURES = [
 
 def candidates(text: str) -> str:
     """SQL: the generators' matches with their context and features: struct<s, e, k, v, b, a, f array<double>>."""
-    found = "concat(" + ", ".join(_spans(p, k, text) for k, p in GENERATORS.items()) + ")"
+    found = "concat(" + ", ".join(_spans(p, k, text) for k, p in GENERATORS.items()) + f", {_inner(text)})"
     around = (f"transform({found}, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'v', x.v, "
               f"'b', substring({text}, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT})), "
               f"'a', substring({text}, x.e + 1, 4)))")
@@ -141,6 +165,24 @@ def training_texts(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         (f"concat({word('i')}, '_', {word('j')}, '_', {word('k')}, '_', {num('g', 999)})", "''", False),
         (f"concat({num('v', 90)}, ' ', {digits('d', 3)}, ' ', {digits('h', 3)}, ' ', {digits('w', 3)})", "''", False),
     ]
+    # Every sixth text is about cards beside other digits: grouped ones, lists of numbers, long runs.
+    start = f"element_at(array('4', '51', '55', '6011', '37', '34'), cast({num('is', 6)} + 1 AS int))"
+    begun = f"rpad(concat({start}, {digits('gc', 14)}), if({start} LIKE '3%', 14, 15), '0')"
+    issued = f"concat({begun}, filter(array('0','1','2','3','4','5','6','7','8','9'), d -> luhn_check(concat({begun}, d)))[0])"
+    dash = f"element_at(array(' ', ' ', '-'), cast({num('da', 3)} + 1 AS int))"
+    group = (f"if({start} LIKE '3%', concat(substring({issued}, 1, 4), {dash}, substring({issued}, 5, 6), {dash}, substring({issued}, 11)), "
+             f"concat_ws({dash}, substring({issued}, 1, 4), substring({issued}, 5, 4), substring({issued}, 9, 4), substring({issued}, 13)))")
+    named = f"element_at(array('card ', 'visa ', 'pay ', '', 'account: '), cast({num('cn', 5)} + 1 AS int))"
+    date = f"concat(' ', lpad({num('mm', 12)} + 1, 2, '0'), '/', {num('yy', 20)} + 20)"
+    listed = " || ' ' || ".join(digits(f"n{i}", f"cast(3 + {num(f'm{i}', 3)} AS int)") for i in range(8))
+    fours = " || ' ' || ".join(digits(f"f{i}", 4) for i in range(7))
+    near = [  # (value, before, after, personal)
+        (group, named, date, True), (group, named, f"concat(' ', {digits('cv', 3)})", True),
+        (group, f"concat({digits('nb', 2)}, ' ')", date, True), (group, named, f"concat('-', {digits('nc', 5)})", True),
+        (listed, "''", "''", False), (fours, "''", "''", False),
+        (issued, f"concat({named}, {digits('lb', 7)})", digits("la", 6), True), (digits("lr", 32), "'id '", "''", False)]
+    at = f"cast({num('near', len(near))} AS int)"
+    chosen = lambda j: f"CASE {at} " + " ".join(f"WHEN {i} THEN {x[j]}" for i, x in enumerate(near)) + " END"
     pick = f"cast({num('kind', len(kinds))} AS int)"
     value = f"CASE {pick} " + " ".join(f"WHEN {i} THEN {v}" for i, (v, _, _) in enumerate(kinds)) + " END"
     before = f"CASE {pick} " + " ".join(f"WHEN {i} THEN {b}" for i, (_, b, _) in enumerate(kinds)) + " END"
@@ -149,8 +191,10 @@ def training_texts(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         "seed", f"{value} AS value", f"{before} AS before", f"{personal} AS personal")
     quote = "if(before LIKE '%\"', '\"', '')"
     more = f"if(personal AND value RLIKE '^[0-9]+$' AND {num('more', 3)} = 0, concat(' ', {other('o2')}), '')"
+    made = made.selectExpr("seed", "value", "before", f"concat({quote}, {more}) AS after", "personal", f"{num('beside', 6)} = 0 AS beside")
+    made = made.selectExpr("seed", *[f"if(beside, {chosen(j)}, {c}) AS {c}" for j, c in enumerate(("value", "before", "after", "personal"))])
     return made.selectExpr(
-        "seed", f"concat({word('l1')}, ' ', {word('l2')}, '. ', before, value, {quote}, {more}, ' ', {word('r1')}, ', ', {word('r2')}) AS text",
+        "seed", f"concat({word('l1')}, ' ', {word('l2')}, '. ', before, value, after, ' ', {word('r1')}, ', ', {word('r2')}) AS text",
         "if(personal, value, null) AS truth")
 
 
@@ -175,7 +219,7 @@ def fitted(spark: SparkSession, rows: int = TRAIN_ROWS, precision: float = PRECI
             .selectExpr("k", "label", f"floor({score} * 100) / 100 AS p").groupBy("k", "p")
             .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())  # at most 101 rows a kind
     limits = {}
-    for kind in GENERATORS:
+    for kind in [*GENERATORS, *INNER]:
         good = n = 0
         limits[kind] = 2.0
         for row in sorted((r for r in bins if r["k"] == kind), key=lambda r: -r["p"]):
@@ -199,7 +243,9 @@ def personal_spans(df: DataFrame, text: str = "text", *, rows: int = TRAIN_ROWS,
     whole, base, found = (fresh(x, df) for x in ("_whole", "_base", "_found"))
     out = df.drop("pii").withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn(base, F.expr(base_spans(whole))).withColumn(found, F.expr(candidates(whole)))
-    out = out.withColumn(found, F.expr(f"filter({found}, x -> {score} >= {limit})"))
+    inner = ", ".join(f"'{k}'" for k in INNER)
+    out = out.withColumn(found, F.expr(f"transform(filter({found}, x -> {score} >= {limit}), x -> named_struct("
+                                       f"'s', x.s, 'e', x.e, 'k', if(x.k IN ({inner}), 'card', x.k)))"))
     inside = "(o.s <= x.s AND o.e >= x.e)"
     out = out.withColumn(found, F.expr(f"""filter({found}, (x, i) -> NOT exists({base}, o -> {inside})
         AND NOT exists({found}, o -> {inside} AND (o.e - o.s > x.e - x.s OR {order.replace("x.", "o.")} < {order})))"""))

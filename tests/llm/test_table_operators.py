@@ -197,6 +197,28 @@ def test_held_out_accuracy(spark):
     assert right / (right + wrong) > 0.95 and right / (right + lost) > 0.85
 
 
+def test_cards_beside_other_digits(spark):
+    number = "4111111111111111"
+    rows = ["card 4111 1111 1111 1111 12/27", "card 4111-1111-1111-1111 123 ok", f"x 98765{number}432 y"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: {(x.k, x.v) for x in r.c} for r in df.selectExpr(
+        "doc_id", f"transform({pii.candidates('text')}, x -> named_struct('k', x.k, 'v', substring(text, x.s + 1, x.e - x.s))) AS c").collect()}
+    assert ("subcard", "4111 1111 1111 1111") in got[0] and ("subcard", "4111-1111-1111-1111") in got[1]
+    assert ("window", number) in got[2]
+    # Recall on the true spans of seeds that were not fitted.
+    other = pii.training_texts(spark, 9000).where("cast(seed AS int) >= 6000")
+    every = df.selectExpr("cast(-1 - doc_id AS string) AS seed", "text", "cast(null AS string) AS truth").union(other)
+    found = pii.personal_spans(every, rows=6000).selectExpr(
+        "seed", "text", "truth", "transform(pii, x -> substring(text, x.s + 1, x.e - x.s)) AS said").collect()
+    made = {r.seed: r.said for r in found}
+    grouped = [r for r in found if r.truth and re.fullmatch("[0-9]{4}[ -][0-9 -]{10,}", r.truth)]
+    true = [r for r in found if r.truth]
+    share = lambda rs: sum(r.truth in r.said for r in rs) / len(rs)
+    print("recall", share(true), share(grouped), len(true), len(grouped))
+    assert "4111 1111 1111 1111" in made["-1"] and "4111-1111-1111-1111" in made["-2"]
+    assert share(grouped) > 0.9 and share(true) > 0.85
+
+
 def test_tool_calls(spark):
     schema = {"f": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}}}
     calls = [(1, 1, "x", "f", '{"b": 1, "a": 2}', None), (1, 3, "y", "f", '{"a": 1.5}', ["x"]), (1, 5, "z", "f", "{", ["y", "x", "none"]),
