@@ -75,8 +75,8 @@ def cut(df: DataFrame, merge: bool = True) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back (columnar, prunable)."""
+def store(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back (columnar, prunable); codec: the session's if none is given."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
