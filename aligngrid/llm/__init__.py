@@ -16,4 +16,4 @@ def load():
 
 
 MODULES = ["mixing", "fingerprint", "pii", "toolcalls", "repetition", "pieces", "suffix_dedup", "hosts", "revisits",
-           "minhash"]
+           "minhash", "alignment", "token_files", "repair"]
