@@ -108,6 +108,23 @@ class Block:
         like = np.einsum("k,ckm->m", self.pi, v) / len(rates)
         return float(self.counts @ (np.log(np.maximum(like, 1e-300)) + scale))
 
+    def class_lnl(self, x, rates) -> np.ndarray:
+        """Log-likelihood of each pattern in each of the given rate classes (classes x patterns)."""
+        _, eigen = self._model(np.asarray(x))
+        v, scale = self._upwards(x, np.asarray(rates), eigen)[1][-1]
+        return np.log(np.maximum(np.einsum("k,ckm->cm", self.pi, v), 1e-300)) + scale
+
+    def vectors(self, x, rates) -> list:
+        """(vector, log scale) of each node: the likelihood of the data below it (classes x states x patterns)."""
+        _, eigen = self._model(np.asarray(x))
+        below = self._upwards(x, np.asarray(rates), eigen)[1]
+        tips = np.concatenate([np.eye(self.k), np.ones((self.k, 1))], axis=1)
+        for b in range(self.nb):
+            if self.leaf[b] >= 0:
+                wide = np.broadcast_to(tips[:, self.cols[self.leaf[b]]], (len(rates), self.k, len(self.counts)))
+                below[b] = (wide, 0.0)
+        return below
+
     def lnl(self, x) -> float:
         x = np.asarray(x)
         rates, eigen = self._model(x)
@@ -166,6 +183,22 @@ class Block:
         return [self._sum(below[-1], rates), *slope, *bend, *moves]
 
 
+def ordered_tree(node, parent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the nodes with children before their parents, the node ids in that order (root last), and the place of each one's
+    parent."""
+    node, parent = np.asarray(node), np.asarray(parent)
+    ids = np.append(node, np.setdiff1d(parent, node))
+    order = np.argsort(ids)
+    up = np.append(order[np.searchsorted(ids, parent, sorter=order)], len(ids) - 1)
+    depth, jump = np.append(np.ones(len(node), np.int64), 0), up.copy()
+    while (jump != len(ids) - 1).any():
+        depth, jump = depth + depth[jump], jump[jump]
+    first = np.argsort(-depth, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[first] = np.arange(len(ids))
+    return first[:-1], ids[first], place[up[first]]
+
+
 def _scaled(v: np.ndarray) -> np.ndarray:
     """Vectors of a pattern over their largest value; only ratios are read from them."""
     return v / np.maximum(v.max(axis=(0, 1)), 1e-300)

@@ -1,82 +1,230 @@
-"""Pruning likelihoods level by level, as joins and products inside codegen.
+"""Pruning likelihoods with given parameters, in blocks of site patterns.
 
-Vectors have one column per state. P(t) times a vector is a closed form, so a
-level is: children (join on node) -> message expression -> product per parent.
-Used for RY, JC, FEL, K2P and HKY with given parameters, and wherever the
-vectors themselves are wanted. Model fitting over all models is in `fit`.
+A row is one block of patterns under one tree: the letters of all sequences in the block, the tree as arrays and the parameters
+meet once, and all rate classes of the block are pruned in one pass (`kernel`). Nothing is written or shuffled between the
+levels of a tree. Blocks hold a bounded number of cells, so a long alignment is spread over many tasks.
+
+A tree of more than `TREE_NODES` nodes is not held in a task: it is pruned level by level, as joins and products inside codegen
+(`partials_by_level`). There only the vectors whose parent is still to come are carried to the next level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from aligngrid.operators import kernel
 from aligngrid.operators import models as M
+from aligngrid.operators import trees as Tr
 from aligngrid.operators.parsimony import heights
-from aligngrid.operators.trees import roots
-from aligngrid.session import cut
+from aligngrid.operators.recode import listagg
+from aligngrid.session import cut, ship
+
+KEYS = ["tree_id", "family"]
+ONE = ((0, 1.0, 1.0),)
+#: Nodes of a tree that a task holds; patterns of a block and cells (sequences x patterns) of it, one pattern at least.
+TREE_NODES, PATTERNS, CELLS = 20_000, 512, 1 << 18
+
+
+def pattern_blocks(patterns: DataFrame) -> DataFrame:
+    """family, block, ids, text: the patterns of some first sites end to end, in the order of their ids."""
+    most = F.greatest(F.lit(1), F.least(F.lit(PATTERNS), F.expr(f"{CELLS} div greatest(length(pattern), 1)")))
+    return patterns.withColumn("block", F.floor(F.col("pattern_id") / most)).groupBy("family", "block").agg(
+        listagg("pattern", "pattern_id").alias("text"), F.sort_array(F.collect_list("pattern_id")).alias("ids"))
+
+
+def tree_rows(edges: DataFrame) -> DataFrame:
+    """tree_id, family, nodes, parents, lengths, ranks: a row a tree."""
+    z = F.collect_list(F.struct("node", "parent", "length", "leaf_seq", "leaf_rank"))
+    return edges.groupBy(*KEYS).agg(z.alias("z")).select(
+        *KEYS, F.col("z.node").alias("nodes"), F.col("z.parent").alias("parents"), F.col("z.length").alias("lengths"),
+        F.transform("z", lambda x: F.when(x["leaf_seq"].isNull(), -1).otherwise(F.coalesce(x["leaf_rank"], F.lit(-2)))).alias("ranks"))
+
+
+def with_ranks(edges: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Adds leaf_rank: place of the sequence in the pattern text. sequences: family, seq_id."""
+    w = Window.partitionBy("family").orderBy("seq_id")  # one row per sequence
+    ranks = sequences.select("family", "seq_id").distinct().withColumn("leaf_rank", F.row_number().over(w) - 1)
+    return edges.join(ranks.withColumnRenamed("seq_id", "leaf_seq"), ["family", "leaf_seq"], "left")
+
+
+def _rows(patterns: DataFrame, ranked: DataFrame, params: DataFrame, states: str) -> DataFrame:
+    """Blocks under their trees with their parameters, dealt out by tree, family and block."""
+    pi = F.array(*[F.col(f"pi_{s}") for s in states])
+    rows = tree_rows(ranked).join(params.select("family", pi.alias("pi"), "kappa"), "family").join(pattern_blocks(patterns), "family")
+    return rows.repartition(*KEYS, "block")
+
+
+def _block(states: str, nodes, parents, lengths, ranks, pi, kappa, text: str, n: int):
+    """(block, its parameter vector, node ids with children first)."""
+    table = np.full(256, -1, np.int64)
+    table[np.frombuffer(states.encode("ascii"), np.uint8)] = np.arange(len(states))
+    cells = table[np.frombuffer(text.encode("ascii"), np.uint8)].reshape(n, -1).T
+    cells = np.concatenate([cells, np.full((1, n), -1)])  # the last row is of a sequence without data
+    first, ids, up = kernel.ordered_tree(nodes, parents)
+    leaf = np.asarray(ranks)[first]
+    leaf = np.append(np.where(leaf == -2, len(cells) - 1, leaf), -1)
+    core = "HKY" if states == "ACGT" else states
+    with np.errstate(divide="ignore"):
+        x = np.log(np.append(np.asarray(lengths, float)[first], [kappa] if core == "HKY" else []))
+    return kernel.Block(core, False, 0, pi, None, up, leaf, cells, np.ones(n)), x, ids
+
+
+def _large(edges: DataFrame) -> DataFrame | None:
+    """Keys of the trees that no task holds whole."""
+    large = edges.groupBy(*KEYS).count().filter(F.col("count") > TREE_NODES).select(*KEYS)
+    return None if large.isEmpty() else cut(large)
+
+
+def site_likelihood(patterns: DataFrame, edges: DataFrame, sequences: DataFrame, params: DataFrame, states: str, classes=ONE) -> DataFrame:
+    """tree_id, family, class, pattern_id, lnl of every pattern in every rate class.
 
-KEYS = ["tree_id", "family", "class"]
+    patterns: family, pattern, pattern_id (sequence k of the sorted seq_id is letter k of the text). edges: tree_id, family, node,
+    parent, length, leaf_seq. sequences: family, seq_id. params: family, pi_<state>.., kappa. classes: (class, rate, weight).
+    `family` may be a struct, so that parts of an alignment have trees and parameters of their own.
+    """
+    rates = [float(r) for _, r, _ in classes]
+    ranked = with_ranks(edges, sequences)
+    large = _large(edges)
+    held = ranked if large is None else ranked.join(large, KEYS, "left_anti")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def pruned(nodes: pd.Series, parents: pd.Series, lengths: pd.Series, ranks: pd.Series, pi: pd.Series, kappa: pd.Series,
+               text: pd.Series, ids: pd.Series) -> pd.Series:
+        out = []
+        for *tree, p, k, t, i in zip(nodes, parents, lengths, ranks, pi, kappa, text, ids):
+            block, x, _ = _block(states, *tree, p, k, t, len(i))
+            out.append(block.class_lnl(x, rates).ravel())
+        return pd.Series(out)
+
+    ship(edges.sparkSession)
+    rows = _rows(patterns, held, params, states).select(
+        *KEYS, "ids", pruned("nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids").alias("v"))
+    n = F.size("ids")
+    per = F.array(*[F.struct(F.lit(c).alias("class"), F.arrays_zip(
+        F.col("ids").alias("pattern_id"), F.slice("v", k * n + 1, n).alias("lnl")).alias("z")) for k, (c, _, _) in enumerate(classes)])
+    out = rows.select(*KEYS, F.inline(per)).select(*KEYS, "class", F.inline("z"))
+    if large is not None:
+        own = edges.join(large, KEYS, "left_semi")
+        parts = partials_by_level(patterns, with_ranks(with_classes(own, classes), sequences), Tr.closure(own), params, states)
+        out = out.unionByName(sitewise(parts, own, params, states))
+    return out
+
+
+def partials(patterns: DataFrame, edges: DataFrame, sequences: DataFrame, params: DataFrame, states: str, classes=ONE) -> DataFrame:
+    """tree_id, family, class, node, pattern_id, l_<state>.., scale: likelihood of the data below each node.
+
+    Inputs as in `site_likelihood` (family a number). Values are multiplied by powers of ten once all of a vector is below 0.1;
+    `scale` counts the powers.
+    """
+    rates = [float(r) for _, r, _ in classes]
+    names = [c for c, _, _ in classes]
+    ranked = with_ranks(edges, sequences)
+    large = _large(edges)
+    held = ranked if large is None else ranked.join(large, KEYS, "left_anti")
+    rows = _rows(patterns, held, params, states).select(*KEYS, "nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids")
+    kinds = [rows.schema[k].dataType.simpleString() for k in KEYS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree_id, family, *tree, pi, kappa, text, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                block, x, node_ids = _block(states, *tree, pi, kappa, text, len(ids))
+                for node, (v, scale) in zip(node_ids, block.vectors(x, rates)):
+                    with np.errstate(divide="ignore"):
+                        logs = (np.log(v) + scale) / np.log(10.0)
+                    top = logs.max(axis=1, keepdims=True)
+                    power = np.where(top < -1, np.floor(-top), 0.0)
+                    values = np.power(10.0, logs + power)
+                    n = len(names) * len(ids)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([tree_id] * n, batch.schema.field(0).type), pa.array([family] * n, batch.schema.field(1).type),
+                        pa.array(np.repeat(names, len(ids)).astype(np.int32)), pa.array(np.full(n, node, np.int64)),
+                        pa.array(np.tile(np.asarray(ids, np.int64), len(names))),
+                        *[pa.array(values[:, k, :].ravel()) for k in range(len(states))], pa.array(power.ravel().astype(np.int32))],
+                        names=out_names)
+
+    out_names = [*KEYS, "class", "node", "pattern_id", *[f"l_{s}" for s in states], "scale"]
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(KEYS, kinds)), "class int, node bigint, pattern_id bigint",
+                        *[f"l_{s} double" for s in states], "scale int"])
+    ship(edges.sparkSession)
+    out = rows.mapInArrow(run, schema)
+    if large is not None:
+        own = edges.join(large, KEYS, "left_semi")
+        out = out.unionByName(partials_by_level(
+            patterns, with_ranks(with_classes(own, classes), sequences), Tr.closure(own), params, states).select(*out.columns))
+    return out
+
+
+# ---- level by level, for trees that no task holds whole -------------------------------------
+
+CLASS_KEYS = [*KEYS, "class"]
 
 
-def with_classes(edges: DataFrame, classes=((0, 1.0, 1.0),)) -> DataFrame:
+def with_classes(edges: DataFrame, classes=ONE) -> DataFrame:
     """Each edge once per rate class, its length times the class rate. classes: (class, rate, weight)."""
     cells = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(float(r)).alias("rate"), F.lit(float(w)).alias("weight")) for c, r, w in classes])
     return edges.select("*", F.inline(cells)).withColumn("length", F.col("length") * F.col("rate"))
 
 
-def partials(patterns: DataFrame, edges: DataFrame, clos: DataFrame, params: DataFrame, states: str) -> DataFrame:
-    """tree_id, family, class, node, pattern_id, l_<state>.., scale: likelihood of the data below each node.
+def partials_by_level(patterns: DataFrame, edges: DataFrame, clos: DataFrame, params: DataFrame, states: str) -> DataFrame:
+    """`partials` of edges with class and leaf_rank (`with_classes`, `with_ranks`) and their closure.
 
-    patterns: family, pattern, pattern_id (sequence k is letter `rank of k` of the text, order in `leaf_rank`).
-    edges: tree_id, family, class, node, parent, length, leaf_seq, leaf_rank. params: family, pi_<state>.., kappa.
-    Values are multiplied by powers of ten once all of a vector is below 0.1; `scale` counts the powers.
+    A level takes the vectors that are due at it: leaves are read from the patterns when their parent is made, inner ones wait
+    in `open` until theirs is.
     """
     ls = [f"l_{s}" for s in states]
     pi = {s: F.col(f"pi_{s}") for s in states}
-    h = heights(edges.filter("class = 0"), clos).withColumnRenamed("node", "parent")
-    e = edges.join(h, ["tree_id", "family", "parent"]).join(params, "family")
-    e = cut(e.select(*KEYS, "node", "parent", "length", "leaf_seq", "leaf_rank", "height", *[f"pi_{s}" for s in states], "kappa"))
-    top = e.agg(F.max("height")).head()[0] or 0
-
+    h = heights(edges.filter(F.col("class") == edges.agg(F.min("class")).head()[0]), clos)
+    e = edges.join(h.withColumnRenamed("node", "parent").withColumnRenamed("height", "due"), [*KEYS, "parent"]).join(params, "family")
+    e = cut(e.select(*CLASS_KEYS, "node", "parent", "length", "leaf_seq", "leaf_rank", "due", *[f"pi_{s}" for s in states], "kappa"))
+    top = e.agg(F.max("due")).head()[0] or 0
     ch = F.substring("pattern", F.col("leaf_rank") + 1, F.lit(1))
     gap = F.coalesce(F.instr(F.lit(states), ch) == 0, F.lit(True))  # a sequence without data is all gap
-    out = cut(e.filter("leaf_seq is not null").select(*KEYS, "node", "leaf_rank").join(
-        patterns.select("family", "pattern", "pattern_id"), "family").select(
-        *KEYS, "node", "pattern_id", *[F.when(gap | (ch == s), 1.0).otherwise(0.0).alias(f"l_{s}") for s in states],
-        F.lit(0).alias("scale")))
+    vec = {s: F.col(f"l_{s}") for s in states}
+    tips = e.filter("leaf_seq is not null").join(patterns.select("family", "pattern", "pattern_id"), "family").select(
+        *e.columns, "pattern_id", *[F.when(gap | (ch == s), 1.0).otherwise(0.0).alias(f"l_{s}") for s in states], F.lit(0).alias("scale"))
+    inner = e.filter("leaf_seq is null").select(*CLASS_KEYS, "node", "parent", "length", "due", *[f"pi_{s}" for s in states], "kappa")
+    cols = [*CLASS_KEYS, "node", "pattern_id", *ls, "scale"]
+    out, open_ = tips.select(*cols), None
     for level in range(1, top + 1):
-        kids = e.filter(F.col("height") == level).join(out, [*KEYS, "node"])
-        vec = {s: F.col(f"l_{s}") for s in states}
+        kids = tips.filter(F.col("due") == level).select(*inner.columns, "pattern_id", *ls, "scale")
+        if open_ is not None:
+            kids = kids.unionByName(open_.filter(F.col("due") == level).select(*kids.columns))
         msg = (M.hky_message(vec, F.col("length"), pi, F.col("kappa")) if states == "ACGT"
                else M.f81_message(vec, F.col("length"), pi))
-        up = kids.select(*KEYS, F.col("parent").alias("node"), "pattern_id", "scale",
+        up = kids.select(*CLASS_KEYS, F.col("parent").alias("node"), "pattern_id", "scale",
                          *[F.greatest(msg[s], F.lit(0.0)).alias(f"l_{s}") for s in states])
         # products as sums of logarithms: a node of very many children does not underflow
-        up = up.groupBy(*KEYS, "node", "pattern_id").agg(
+        up = up.groupBy(*CLASS_KEYS, "node", "pattern_id").agg(
             *[F.sum(F.log10(F.greatest(F.col(c), F.lit(1e-300)))).alias(c) for c in ls], F.sum("scale").cast("int").alias("scale"))
         most = F.greatest(*[F.col(c) for c in ls])
         powers = F.when(most < -1, F.floor(-most)).otherwise(0).cast("int")
         up = up.withColumn("k", powers).select(
-            *KEYS, "node", "pattern_id", *[F.pow(F.lit(10.0), F.col(c) + F.col("k")).alias(c) for c in ls],
+            *CLASS_KEYS, "node", "pattern_id", *[F.pow(F.lit(10.0), F.col(c) + F.col("k")).alias(c) for c in ls],
             (F.col("scale") + F.col("k")).cast("int").alias("scale"))
-        out = out.unionByName(cut(up))
+        up = cut(up)
+        out = out.unionByName(up.select(*cols))
+        waiting = up.join(inner, [*CLASS_KEYS, "node"])
+        open_ = cut(waiting if open_ is None else waiting.unionByName(
+            open_.filter(F.col("due") > level).select(*waiting.columns)))
     return out
 
 
-def with_ranks(edges: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds leaf_rank: place of the sequence in the pattern text. sequences: family, seq_id."""
-    w = Window.partitionBy("family").orderBy("seq_id")  # one row per sequence
-    ranks = sequences.select("family", "seq_id").distinct().withColumn("leaf_rank", F.row_number().over(w) - 1)
-    return edges.join(ranks.withColumnRenamed("seq_id", "leaf_seq"), ["family", "leaf_seq"], "left")
-
-
 def sitewise(parts: DataFrame, edges: DataFrame, params: DataFrame, states: str) -> DataFrame:
     """tree_id, family, class, pattern_id, lnl: log of sum pi_i L_i at the root."""
-    top = roots(edges.filter("class = 0").select("tree_id", "family", "node", "parent"))
+    top = Tr.roots(edges.select(*KEYS, "node", "parent").distinct())
     value = sum((F.col(f"pi_{s}") * F.col(f"l_{s}") for s in states), F.lit(0.0))
-    return parts.join(top, ["tree_id", "family", "node"], "left_semi").join(params, "family").select(
-        *KEYS, "pattern_id", (F.log(value) - F.col("scale") * F.log(F.lit(10.0))).alias("lnl"))
+    return parts.join(top, [*KEYS, "node"], "left_semi").join(params, "family").select(
+        *CLASS_KEYS, "pattern_id", (F.log(value) - F.col("scale") * F.log(F.lit(10.0))).alias("lnl"))
+
+
+# ---- sums over classes and patterns --------------------------------------------------------
 
 
 def mixture(site: DataFrame, classes: DataFrame) -> DataFrame:

@@ -213,6 +213,40 @@ def transitions(q: np.ndarray, pi: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.maximum(p, 0.0)
 
 
+def change_counts(q: DataFrame, freq: DataFrame, times: DataFrame, kinds: DataFrame, n_states: int, keys) -> DataFrame:
+    """keys, t, kind, changes: expected changes of each kind after time t, sum of pi_i P_ij(t) over its pairs (i, j).
+
+    q: keys, i, j, q (reversible); freq: keys, state, pi (missing states have none); times: keys, t; kinds: i, j, kind, a fixed
+    table of pairs of states. A t of 0 or less stands for Q itself. Q is decomposed once a key and P(t) is folded in the row
+    that makes it, so a row leaves with a number for each t and kind.
+    """
+    pairs = kinds.select("i", "j", "kind").filter("kind is not null").distinct().collect()  # n_states^2 at most
+    names = sorted({r.kind for r in pairs})
+    masks = np.zeros((len(names), n_states, n_states))
+    for r in pairs:
+        masks[names.index(r.kind), r.i, r.j] = 1.0
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def folded(i: pd.Series, j: pd.Series, v: pd.Series, state: pd.Series, pi: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for a, b, x, at, p, times_ in zip(i, j, v, state, pi, t):
+            m, full, times_ = np.zeros((n_states, n_states)), np.zeros(n_states), np.asarray(times_)
+            m[a, b] = x
+            full[at] = p
+            flow = np.where((times_ > 0)[:, None, None], transitions(m, full, times_), m) * full[:, None]
+            out.append(np.einsum("tij,kij->tk", flow, masks).ravel())
+        return pd.Series(out)
+
+    ship(q.sparkSession)
+    cells = q.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "q")).alias("c"))
+    pi = freq.groupBy(*keys).agg(F.collect_list(F.struct("state", "pi")).alias("f"))
+    rows = cells.join(pi, list(keys)).join(times.groupBy(*keys).agg(F.sort_array(F.collect_set("t")).alias("t")), list(keys))
+    made = rows.select(*keys, "t", folded("c.i", "c.j", "c.q", "f.state", "f.pi", "t").alias("x"))
+    each = made.select(*keys, F.posexplode("t").alias("o", "t"), "x")
+    kind = F.array(*[F.struct(F.lit(n).alias("kind"), F.get("x", F.col("o") * len(names) + k).alias("changes")) for k, n in enumerate(names)])
+    return each.select(*keys, "t", F.inline(kind))
+
+
 # ---- rate classes ---------------------------------------------------------------
 
 def _gamma_cdf(a: float, x: float) -> float:

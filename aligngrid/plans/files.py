@@ -275,31 +275,31 @@ NUMBERED = "case \"name\" when 'RY' then 0 when 'RY+4dG' then 1 when 'JC' then 2
 
 
 @query("snk_results", with_("clean edges", f"""
-select family, 'Model[' || {NUMBERED} || ']' "Model#", "name" "Name", data_type "DataType", {r('tree_length', 4)} "TreeLength",
- {r('ori_lnl', 4)} "OrilnL", correction "CorrectionType", {r('lnl', 4)} "AdjlnL", n_par "NoPar", {r('aic', 4)} "AIC", {r('delta_aic', 4)} "DeltaAIC"
-from del""", scoring.FITS))
+select tree_id, family, 'Model[' || {NUMBERED} || ']' "Model#", "name" "Name", data_type "DataType", {r('tree_length', 4)} "TreeLength",
+ {r('ori_lnl', 4)} "OrilnL", correction "CorrectionType", {r('lnl', 4)} "AdjlnL", n_par "NoPar", {r('aic', 4)} "AIC", {r('delta_aic', 4)} "DeltaAIC",
+ null::boolean "Converged", null::varchar "Reason" from del""", scoring.FITS))
 def snk_results(spark, sf):
     res = R.delta(scoring.results(spark, sf, numbers=True))
     path = new_path(spark, "results")
     Si.write_results(res, path)
-    return scoring.rounded(Si.read_results(spark, path))
+    return scoring.rounded(Si.read_results(spark, path, "tree_id int, family bigint"))
 
 
 @query("snk_partials", with_("clean edges", """
-select family, node, pattern_id, """ + r("ln(greatest(v0, v1, v2, v3))", 4) + """ top, n_sites from (
- select family, node, pattern_id, v0, v1, v2, v3 from lf union all select family, node, pattern_id, v0, v1, v2, v3 from l3
- union all select family, node, pattern_id, v0, v1, v2, v3 from l2 union all select family, node, pattern_id, v0, v1, v2, v3 from l1
- union all select family, node, pattern_id, v0, v1, v2, v3 from l0) join (select family, pattern_id, n n_sites from pt) using (family, pattern_id)""",
+select tree_id, family, node, pattern_id, """ + r("ln(greatest(v0, v1, v2, v3))", 4) + """ top, n_sites from (
+ select tree_id, family, node, pattern_id, v0, v1, v2, v3 from lf union all select tree_id, family, node, pattern_id, v0, v1, v2, v3 from l3
+ union all select tree_id, family, node, pattern_id, v0, v1, v2, v3 from l2 union all select tree_id, family, node, pattern_id, v0, v1, v2, v3 from l1
+ union all select tree_id, family, node, pattern_id, v0, v1, v2, v3 from l0) join (select family, pattern_id, n n_sites from pt) using (family, pattern_id)""",
     scoring.prune_sql()))
 def snk_partials(spark, sf):
     prep = scoring.Prepared(spark, sf)
-    pats, e, params = scoring.setup(prep, "ACGT")
+    pats, params = scoring.setup(prep, "ACGT")
     path = new_path(spark, "partials")
-    Si.write_partials(L.partials(pats, e, prep.clos, params, "ACGT"), A.site_pattern(A.columns(prep.sites), pats), path)
+    Si.write_partials(L.partials(pats, prep.edges, prep.sequences, params, "ACGT"), A.site_pattern(A.columns(prep.sites), pats), path)
     parts = spark.read.parquet(f"{path}/partials")
     sites = spark.read.parquet(f"{path}/sites").groupBy("family", "pattern_id").agg(F.count("*").alias("n_sites"))
     top = F.log(F.greatest(*[F.col(f"l_{s}") for s in "ACGT"])) - F.col("scale") * F.log(F.lit(10.0))
-    return parts.join(sites, ["family", "pattern_id"]).select("family", "node", "pattern_id", rnd(top, 4).alias("top"), "n_sites")
+    return parts.join(sites, ["family", "pattern_id"]).select("tree_id", "family", "node", "pattern_id", rnd(top, 4).alias("top"), "n_sites")
 
 
 # ---- resampling -------------------------------------------------------------------------------

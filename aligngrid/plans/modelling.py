@@ -127,8 +127,9 @@ def md_q_aa(spark, sf):
     return M.q_matrix(ex, freq, ["family", "model"]).withColumn("q", rnd(F.col("q"), 4))
 
 
-def codon_pi(spark, sf, eqm="F1X4"):
-    return A.codon_eqm(cleaned(spark, sf)).filter(F.col("eqm") == eqm).select("family", "sense", "pi")
+def codon_pi(spark, sf):
+    """family, eqm, sense, pi for the four frequency forms."""
+    return A.codon_eqm(cleaned(spark, sf)).select("family", "eqm", "sense", "pi")
 
 
 def codon_params(spark, sf):
@@ -140,16 +141,16 @@ STEPS = ",\nsteps as (select * from (values " + ",".join(str(s) for s in M.codon
 
 def codon_q_sql(omega):
     return KAPPA + "," + EQM + STEPS + f""",
-off as (select k.family, i, j, aa1, aa2, case when ts = 1 then kappa else 1.0 end * case when aa1 <> aa2 then {omega} else 1.0 end * pi q
-  from steps join eqm e on e.sense = j and e.eqm = 'F1X4' join kap k on k.family = e.family),
-q as (select family, i, j, q from off union all select family, i, i, -sum(q) from off group by 1, 2)"""
+off as (select k.family, eqm, i, j, aa1, aa2, case when ts = 1 then kappa else 1.0 end * case when aa1 <> aa2 then {omega} else 1.0 end * pi q
+  from steps join eqm e on e.sense = j join kap k on k.family = e.family),
+q as (select family, eqm, i, j, q from off union all select family, eqm, i, i, -sum(q) from off group by 1, 2, 3)"""
 
 
 def codon_q(spark, sf, radical=None):
     return M.q_codon(codon_pi(spark, sf), codon_params(spark, sf), radical=radical)
 
 
-@query("md_q_codon", with_("pairs clean", "select family, i, j, " + r("q") + " q from q", codon_q_sql(str(OMEGA))))
+@query("md_q_codon", with_("pairs clean", "select family, eqm, i, j, " + r("q") + " q from q", codon_q_sql(str(OMEGA))))
 def md_q_codon(spark, sf):
     return codon_q(spark, sf).withColumn("q", rnd(F.col("q")))
 
@@ -157,7 +158,7 @@ def md_q_codon(spark, sf):
 KIND = "(greatest(aa1, aa2) * 7 + least(aa1, aa2) * 3) % 2"
 
 
-@query("md_q_drdc", with_("pairs clean", "select family, i, j, " + r("q") + " q from q",
+@query("md_q_drdc", with_("pairs clean", "select family, eqm, i, j, " + r("q") + " q from q",
     codon_q_sql(f"case when {KIND} = 1 then {OMEGA_R} else {OMEGA} end")))
 def md_q_drdc(spark, sf):
     return codon_q(spark, sf, X.radical(spark)).withColumn("q", rnd(F.col("q")))
@@ -242,30 +243,72 @@ def md_mean_rate(spark, sf):
 
 
 SUMS = codon_q_sql(str(OMEGA)) + """,
-flow as (select o.family, aa1, aa2, sum(e.pi * q) f from off o join eqm e on e.family = o.family and e.sense = o.i and e.eqm = 'F1X4' group by 1, 2, 3)"""
+flow as (select o.family, o.eqm, o.i, o.j, aa1, aa2, e.pi * q f from off o
+  join eqm e on e.family = o.family and e.sense = o.i and e.eqm = o.eqm)"""
 
 
 def flows(spark, sf):
-    """family, i, j, aa1, aa2, flow = pi_i q_ij of codon changes."""
-    pi = codon_pi(spark, sf).select("family", F.col("sense").alias("i"), "pi")
+    """family, eqm, i, j, aa1, aa2, flow = pi_i q_ij of codon changes."""
+    pi = codon_pi(spark, sf).select("family", "eqm", F.col("sense").alias("i"), "pi")
     steps = M.codon_step_table(spark).select("i", "j", "aa1", "aa2")
-    return codon_q(spark, sf).join(steps, ["i", "j"]).join(pi, ["family", "i"]).select(
-        "family", "i", "j", "aa1", "aa2", (F.col("pi") * F.col("q")).alias("flow"))
+    return codon_q(spark, sf).join(steps, ["i", "j"]).join(pi, ["family", "eqm", "i"]).select(
+        "family", "eqm", "i", "j", "aa1", "aa2", (F.col("pi") * F.col("q")).alias("flow"))
 
 
-@query("lnl_syn_nonsyn", with_("pairs clean", "select family, " + r("sum(case when aa1 = aa2 then f else 0 end)") + " syn, "
-    + r("sum(case when aa1 <> aa2 then f else 0 end)") + " nonsyn from flow group by 1", SUMS))
+@query("lnl_syn_nonsyn", with_("pairs clean", "select family, eqm, " + r("sum(case when aa1 = aa2 then f else 0 end)") + " syn, "
+    + r("sum(case when aa1 <> aa2 then f else 0 end)") + " nonsyn from flow group by 1, 2", SUMS))
 def lnl_syn_nonsyn(spark, sf):
     same = F.col("aa1") == F.col("aa2")
-    return flows(spark, sf).groupBy("family").agg(
+    return flows(spark, sf).groupBy("family", "eqm").agg(
         rnd(F.sum(F.when(same, F.col("flow")).otherwise(0.0))).alias("syn"),
         rnd(F.sum(F.when(~same, F.col("flow")).otherwise(0.0))).alias("nonsyn"))
 
 
-@query("lnl_aa_changes", with_("pairs clean", f"select family, {KIND} kind, " + r("sum(f)") + " changes from flow where aa1 <> aa2 group by 1, 2", SUMS))
+def kinds_of_pairs(spark, code=0):
+    """i, j, kind: conservative or radical, for all pairs of sense codons of unlike amino acids."""
+    return M.codon_step_table(spark, code, single=False).filter("aa1 <> aa2").join(X.radical(spark), ["aa1", "aa2"]).select("i", "j", "kind")
+
+
+CHANGE_TERMS = 18
+
+
+def _changes_sql():
+    """Flows pi_i (Q^m)_ij of the unit-rate Q, summed by kind: a Taylor sum in t for every branch."""
+    out = SUMS + """,
+rate as (select family, eqm, sum(f) rate from flow group by 1, 2),
+qu as materialized (select family, eqm, i, j, q / rate q from q join rate using (family, eqm)),
+aas as (select sense i, aa from gcode where sense is not null),
+fl0 as (select family, eqm, sense i, sense j, pi v from eqm)"""
+    sums, fact = [], 1
+    for m in range(1, CHANGE_TERMS + 1):
+        out += f""",
+fl{m} as materialized (select a.family, a.eqm, a.i, b.j, sum(a.v * b.q) v from fl{m - 1} a join qu b
+  on b.family = a.family and b.eqm = a.eqm and b.i = a.j group by 1, 2, 3, 4)"""
+        fact *= m
+        sums.append(f"select {m} m, family, eqm, {KIND} kind, sum(v) / {fact}.0 v from fl{m} join a1 on a1.i = fl{m}.i"
+                    f" join a2 on a2.j = fl{m}.j where aa1 <> aa2 group by 1, 2, 3, 4")
+    return out + """,
+a1 as (select i, aa aa1 from aas), a2 as (select i j, aa aa2 from aas),
+mom as (""" + " union all ".join(sums) + ")"
+
+
+@query("lnl_aa_changes", with_("pairs clean edges", f"""
+select family, eqm, null::int tree_id, null::bigint node, {KIND} kind, """ + r("sum(f)") + """ changes from flow where aa1 <> aa2 group by all
+union all select e.family, eqm, tree_id, node, kind, """ + r('sum(v * pow("length", m))') + " from mom join edges e using (family) group by all",
+    _changes_sql()))
 def lnl_aa_changes(spark, sf):
-    return flows(spark, sf).join(X.radical(spark), ["aa1", "aa2"]).groupBy("family", F.col("kind").cast("bigint").alias("kind")).agg(
-        rnd(F.sum("flow")).alias("changes"))
+    now = flows(spark, sf).join(X.radical(spark), ["aa1", "aa2"]).groupBy("family", "eqm", "kind").agg(F.sum("flow").alias("changes"))
+    now = now.withColumn("tree_id", F.lit(None).cast("int")).withColumn("node", F.lit(None).cast("bigint"))
+    keys = ["family", "eqm"]
+    freq = codon_pi(spark, sf).withColumnRenamed("sense", "state")
+    q = M.scale(codon_q(spark, sf), freq, keys)
+    branches = X.edges(spark, sf).select("tree_id", "family", "node", F.col("length").alias("t"))
+    forms = F.explode(F.array(*map(F.lit, A.FORMS)))
+    times = branches.select("family", "t").distinct().withColumn("eqm", forms)
+    after = M.change_counts(q, freq, times, kinds_of_pairs(spark), len(catalog.sense_codons(0)), keys)
+    after = after.join(branches, ["family", "t"]).select("family", "eqm", "kind", "changes", "tree_id", "node")
+    return now.unionByName(after).select(
+        "family", "eqm", "tree_id", "node", F.col("kind").cast("bigint").alias("kind"), rnd(F.col("changes")).alias("changes"))
 
 
 PSI = 0.5

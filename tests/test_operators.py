@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -105,8 +106,7 @@ def test_bootstrap_trees_brute_force(spark):
     for r in got:
         want = 0
         for p in range(n):
-            x = (p * resample.A + r["rep"] * resample.B + 12345) % resample.PRIME
-            q = ((x * x) % resample.PRIME * (x + 17)) % resample.PRIME % n
+            q = int(hashlib.md5(f"0-{r['rep']}-{p}-12345".encode()).hexdigest()[:15], 16) % n
             want += seqs[r["i"]][q] != seqs[r["j"]][q]
         assert r["n_diff"] == want and r["n_both"] == n
     assert len(got) == 3 * 10
@@ -268,26 +268,124 @@ def test_fit_reaches_an_optimum(spark):
     assert back.count() == sum(len(r["x"]) for r in rows)
 
 
-def test_levels_agree_with_kernel(spark):
-    """Two independent ways to the same likelihood."""
+@pytest.mark.parametrize("states", ["ACGT", "RY"])
+def test_levels_agree_with_blocks(spark, monkeypatch, states):
+    """Joins level by level and blocks in numpy are two independent ways to the same likelihoods and vectors."""
     from aligngrid.plans import scoring
 
     prep = scoring.Prepared(spark, SF)
-    pats, site = scoring.site_lnl(prep, "ACGT")
-    one = {r["family"]: r["lnl"] for r in likelihood.total(site, pats).collect()}
-    codons = cleaned(spark, SF)
-    patterns = fit.all_patterns(codons).filter("data_type = 'DNA'")
-    seqs = codons.select("family", "seq_id").distinct()
-    e = cut(trees.prune(X.edges(spark, SF).filter("tree_id = 0").drop("tree_id"), seqs.withColumnRenamed("seq_id", "leaf_seq")))
-    plan = fit.tree_plan(e, trees.closure(e), seqs)
-    tasks = plan.select("family", F.lit(2).alias("model_no"), F.lit("JC").alias("core"), F.lit("DNA").alias("data_type"),
-                        F.lit(False).alias("gamma"), F.lit(0).alias("code"), F.array_repeat(F.lit(0.25), 4).alias("pi"),
-                        F.lit(None).cast("array<double>").alias("given"), "up", "leaf",
-                        F.array(F.transform("length", lambda t: F.log(t))).alias("cands"))
-    two = {r["family"]: r["v"][0] for r in fit.evaluate(cut(tasks), fit.pattern_blocks(patterns, 8)).collect()}
-    assert set(one) == set(two)
-    for f in one:
-        assert one[f] == pytest.approx(two[f], abs=1e-6)
+    prep.edges = prep.edges.filter("family < 4")
+    classes = ((0, 0.3, 0.5), (1, 1.7, 0.5))
+    pats, params = scoring.setup(prep, states)
+
+    def both():
+        site = likelihood.site_likelihood(pats, prep.edges, prep.sequences, params, states, classes).collect()
+        parts = likelihood.partials(pats, prep.edges, prep.sequences, params, states, classes).collect()
+        key = lambda r: (r["tree_id"], r["family"], r["class"], r["pattern_id"])
+        return ({key(r): r["lnl"] for r in site},
+                {(*key(r), r["node"]): [math.log10(max(r[f"l_{x}"], 1e-300)) - r["scale"] for x in states] for r in parts})
+
+    one = both()
+    monkeypatch.setattr(likelihood, "TREE_NODES", 10)
+    two = both()
+    for a, b in zip(one, two):
+        assert set(a) == set(b) and len(a) > 100
+        assert all(a[k] == pytest.approx(b[k], abs=1e-7) for k in a)
+
+
+def test_positions_with_own_and_tied_sets(spark):
+    """Own sets equal separate runs summed; tied sets equal the shared run."""
+    from aligngrid.operators import partition
+    from aligngrid.plans import scoring
+
+    prep = scoring.Prepared(spark, SF)
+    prep.sites = cut(prep.sites.filter("family < 4"))
+    prep.edges = cut(prep.edges.filter("family < 4"))
+    edges = prep.edges.withColumn("tree_set", F.explode(F.array(*map(F.lit, range(3))))).withColumn(
+        "length", F.col("length") * (F.col("tree_set") + 1) / 2)
+    freq = scoring.position_frequencies(prep.sites)
+
+    def run(model_of, tree_of, classes=likelihood.ONE):
+        params = partition.shared_frequencies(freq, model_of).withColumn("kappa", 1.0 + F.col("model_set"))
+        out = partition.own_likelihood(prep.sites, edges, params, model_of, tree_of, classes=classes)
+        return {(r["tree_id"], r["family"]): r["lnl"] for r in out.collect()}
+
+    alone = [run({p: p}, {p: p}) for p in range(3)]
+    own = run({0: 0, 1: 1, 2: 2}, {0: 0, 1: 1, 2: 2})
+    assert own.keys() == alone[0].keys() and all(own[k] == pytest.approx(sum(x[k] for x in alone), abs=1e-7) for k in own)
+    tied = run({0: 0, 1: 0, 2: 0}, {0: 1, 1: 1, 2: 1})
+    params = partition.shared_frequencies(freq, {0: 0, 1: 0, 2: 0}).withColumn("kappa", F.lit(1.0))
+    pats = A.patterns(prep.sites)
+    site = likelihood.site_likelihood(pats, prep.edges, prep.sequences, params, "ACGT")
+    shared = {(r["tree_id"], r["family"]): r["lnl"] for r in likelihood.total(site, pats).collect()}
+    assert tied.keys() == shared.keys() and all(tied[k] == pytest.approx(shared[k], abs=1e-7) for k in tied)
+    mixed = run({0: 0, 1: 0, 2: 0}, {0: 1, 1: 1, 2: 1}, ((0, 1.0, 0.5), (1, 1.0, 0.5)))
+    assert all(mixed[k] == pytest.approx(tied[k], abs=1e-7) for k in tied)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_model_distances(spark, chunk):
+    """EQU against its closed form, a codon model with unequal frequencies against P(t) from the matrix itself."""
+    from aligngrid.operators import distance
+
+    rng = np.random.default_rng(8)
+    n = 61
+    pi = rng.dirichlet(np.ones(n) * 4)
+    q = np.zeros((n, n))
+    for i, j, ts, a1, a2, _ in models.codon_steps():
+        q[i, j] = (2.0 if ts else 1.0) * (0.3 if a1 != a2 else 1.0) * pi[j]
+    q /= pi @ q.sum(1)
+    q -= np.diag(q.sum(1))
+    seqs = rng.integers(0, n, (5, 150))
+    seqs[:, :110] = seqs[0, :110]
+    lead = rng.random((5, 150))
+    seqs = [[None if x < 0.05 else int(s) for s, x in zip(a, b)] for a, b in zip(seqs, lead)]
+    seqs[4] = [None] * 149 + [3]
+    seqs[3][149] = None
+    rows = [(0, i, p, s) for i, a in enumerate(seqs) for p, s in enumerate(a)]
+    cells = spark.createDataFrame(rows, "family bigint, seq_id bigint, pos bigint, state int")
+    qf = spark.createDataFrame([(0, i, j, float(q[i, j])) for i in range(n) for j in range(n) if q[i, j]],
+                               "family bigint, i int, j int, q double")
+    pf = spark.createDataFrame([(0, i, float(p)) for i, p in enumerate(pi)], "family bigint, state int, pi double")
+    forms = distance.eigen_forms(qf, pf, ["family"])
+    got = {(r["i"], r["j"]): r for r in distance.model_distance(cells, n, forms, chunk=chunk).collect()}
+    assert len(got) == 10 and got[(3, 4)]["t"] == 20.0 and got[(3, 4)]["lnl"] is None
+    term, powers = np.eye(n), [np.eye(n)]
+    for k in range(1, 30):
+        term = term @ (q / 64) / k
+        powers.append(term)
+
+    def lnl(a, b, t):
+        p = np.linalg.matrix_power(sum(x * t**k for k, x in enumerate(powers)), 64)
+        return sum(math.log(p[x, y]) for x, y in zip(seqs[a], seqs[b]) if x is not None and y is not None)
+
+    for (a, b), r in got.items():
+        if r["n_both"] > 20:
+            near = [lnl(a, b, max(r["t"] + h, 1e-5)) for h in (-0.002, 0.0, 0.002)]
+            assert near[1] >= max(near[0], near[2]) - 1e-9, (a, b, r["t"])
+    flat = np.full((20, 20), 1 / 19.0)
+    np.fill_diagonal(flat, -1.0)
+    qa = spark.createDataFrame([(0, i, j, float(flat[i, j])) for i in range(20) for j in range(20)], "family bigint, i int, j int, q double")
+    pa_ = spark.createDataFrame([(0, i, 0.05) for i in range(20)], "family bigint, state int, pi double")
+    aa = cells.withColumn("state", F.col("state") % 20)
+    got = {(r["i"], r["j"]): r["t"] for r in distance.model_distance(aa, 20, distance.eigen_forms(qa, pa_, ["family"]), chunk=chunk).collect()}
+    want = {(r["i"], r["j"]): r["d"] for r in pairs.poisson(pairs.pair_counts(aa, 5), 20).collect()}
+    for k, d in want.items():
+        assert got[k] == pytest.approx(min(max(d, 1e-5), 10.0) if d < 20 else got[k], abs=1e-4)
+
+
+def test_result_files_keep_what_is_incomplete(spark):
+    fits = spark.createDataFrame([(0, 1, "RY+4dG", "RY", 1.5, -10.0, 4, True, None), (0, 20, "WAG", "AA", None, None, 2, None, "no matrix given"),
+                                  (1, 2, "JC", "DNA", 0.5, -20.0, 0, False, None)],
+                                 "family bigint, model_no int, name string, data_type string, tree_length double, ori_lnl double, k int, "
+                                 "converged boolean, reason string")
+    none = spark.createDataFrame([], "family bigint, data_type string, adjust double")
+    path = new_path(spark, "results")
+    sinks.write_results(rank.delta(rank.results(fits, none)), path)
+    got = sinks.read_results(spark, path)
+    assert got.columns == [*sinks.HEADER, "Converged", "Reason", "family"]
+    assert [(r["Model#"], r["Converged"], r["Reason"], r["OrilnL"]) for r in got.orderBy("family", "NoPar").collect()] == [
+        ("Model[20]", None, "no matrix given", None), ("Model[1]", True, None, -10.0), ("Model[2]", False, None, -20.0)]
 
 
 def test_gamma_classes(spark):
