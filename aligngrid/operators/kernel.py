@@ -204,6 +204,52 @@ def _scaled(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(v.max(axis=(0, 1)), 1e-300)
 
 
+STEP = 0.01
+SCALES = [0.3, 0.6, 1.0, 1.8, 3.0]
+# (size along the direction, share of the last step), and (size along it, share of the whole tree's)
+MOVES = [(0.3, 0.0), (0.6, 0.0), (1.0, 0.0), (1.0, 0.5), (1.0, 1.0), (0.6, 1.0), (1.3, 1.5), (1.0, 2.5)]
+TREE_MOVES = [(0.5, 0.5), (0.5, 1.0), (0.0, 1.0)]
+
+
+def climb(block: Block, x, lo, hi, rounds: int, tol: float) -> tuple[list[float], list[float], float, float, bool]:
+    """(x, last step, lnL, last gain, converged) of the search that `fit` spreads over blocks, for an alignment of one block."""
+    x, lo, hi = (np.asarray(z, float) for z in (x, lo, hi))
+    branch = (np.arange(len(x)) < block.nb).astype(float)
+
+    def best(cands):
+        cands = [np.clip(c, lo, hi) for c in cands]
+        values = [block.lnl(c) for c in cands]
+        at = int(np.argmax(values))
+        return cands[at], values[at]
+
+    cands = [x + np.log(s) * branch for s in SCALES]
+    if block.core == "M0":
+        starts = []
+        for omega in catalog.OMEGA_STARTS:
+            for c in cands:
+                c = c.copy()
+                c[block.nb + 1] = np.log(omega)
+                starts.append(c)
+        cands = starts
+    x, lnl = best(cands)
+    moved, gain = np.zeros(len(x)), 1e300
+    for _ in range(rounds):
+        v = np.asarray(block.slopes(x, STEP))
+        n, m = block.nb, len(x) + 1
+        up, down = v[1 + 2 * n:1 + n + m], v[1 + n + m:]
+        slope = np.concatenate([v[1:1 + n], (up - down) / (2 * STEP)])
+        bend = np.concatenate([v[1 + n:1 + 2 * n], (up + down - 2 * v[0]) / (STEP * STEP)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(bend < -1e-3, -slope / bend, np.sign(slope) * 0.7)
+        d = np.clip(d, -1.0, 1.0)
+        d1, d2 = d[:len(x)], d[-1] * branch
+        new, top = best([x] + [x + s * d1 + t * moved for s, t in MOVES] + [x + s * d1 + t * d2 for s, t in TREE_MOVES])
+        moved, gain, x, lnl = new - x, top - lnl, new, top
+        if gain < tol:
+            return x.tolist(), moved.tolist(), lnl, gain, True
+    return x.tolist(), moved.tolist(), lnl, gain, False
+
+
 def block_lnl(core, gamma, code, pi, given, up, leaf, states, counts, cands) -> list[float]:
     """lnL of the block for each candidate."""
     block = Block(core, gamma, code, pi, given, up, leaf, states, counts)

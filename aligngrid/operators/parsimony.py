@@ -1,19 +1,28 @@
 """Fitch parsimony, 64 sites to a row.
 
-Each leaf carries one bit mask per state for a block of 64 sites. A level joins
-children to parents; bit_and and bit_or of the children's masks are the Fitch
-intersection and union for 64 sites at once, inside codegen.
+Each leaf carries one bit mask per state for a block of 64 sites; and and or of the children's masks are the Fitch
+intersection and union for 64 sites at once. A row is a tree and the masks of some blocks, worked on in one pass. Trees of more
+than `SMALL_NODES` nodes go level by level: a level joins children to parents, and only masks whose parent is still to come are
+carried on.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aligngrid import catalog
-from aligngrid.operators.trees import _tree_keys
+from aligngrid.operators import treekit
+from aligngrid.operators.trees import _by_size, _tree_keys, _tree_rows, closure
 from aligngrid.session import cut
 
+#: Nodes of a tree that a task holds whole, and blocks of 64 sites that go with it.
+SMALL_NODES, BLOCKS = 20_000, 64
+_CHANGES = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("block", T.LongType()),
+                                     T.StructField("chg", T.LongType())]))
+
 
 def heights(edges: DataFrame, clos: DataFrame) -> DataFrame:
     """keys, node, height above the leaves, for inner nodes."""
@@ -31,20 +40,43 @@ def _masks(sites: DataFrame, alphabet: str) -> DataFrame:
         F.bit_or(bit).alias("e"))
 
 
-def changes(sites: DataFrame, edges: DataFrame, clos: DataFrame, alphabet: str = catalog.DNA) -> DataFrame:
+def changes(sites: DataFrame, edges: DataFrame, clos: DataFrame | None = None, alphabet: str = catalog.DNA) -> DataFrame:
     """keys, node, block, chg: sites of the block that change at the node. Trees must be binary."""
     keys = _tree_keys(edges)
     ms = [f"m_{c}" for c in alphabet]
+    masks = _masks(sites, alphabet)
+    small, large = _by_size(edges, keys, F.count(F.lit(1)), SMALL_NODES)
+
+    @F.pandas_udf(_CHANGES)
+    def counted(node: pd.Series, parent: pd.Series, leaf: pd.Series, who: pd.Series, block: pd.Series, e: pd.Series,
+                *m: pd.Series) -> pd.Series:
+        none = lambda t: None if t is None or t != t else int(t)
+        return pd.Series([
+            [dict(zip(("node", "block", "chg"), x)) for x in treekit.fitch(n, p, [none(t) for t in lf], w, b, states, s)]
+            for n, p, lf, w, b, s, *states in zip(node, parent, leaf, who, block, e, *m)])
+
+    held = masks.groupBy("family", F.expr(f"block div {BLOCKS}").alias("part")).agg(
+        F.collect_list(F.struct("leaf_seq", "block", "e", *ms)).alias("x"))
+    rows = _tree_rows(small, keys).join(held, "family").repartition(*keys, "part")
+    out = rows.select(*keys, F.inline(counted("z.node", "z.parent", "z.leaf_seq", "x.leaf_seq", "x.block", "x.e", *[f"x.{m}" for m in ms])))
+    if large is not None:
+        out = out.unionByName(_changes_by_level(masks, large, closure(large) if clos is None else clos, ms))
+    return out
+
+
+def _changes_by_level(masks: DataFrame, edges: DataFrame, clos: DataFrame, ms: list[str]) -> DataFrame:
+    keys = _tree_keys(edges)
     h = heights(edges, clos)
-    e = cut(edges.join(h.select(*keys, F.col("node").alias("parent"), "height"), [*keys, "parent"]).select(
-        *keys, "node", "parent", "leaf_seq", "height"))
+    e = cut(edges.join(h.select(*keys, F.col("node").alias("parent"), F.col("height").alias("due")), [*keys, "parent"]).select(
+        *keys, "node", "parent", "leaf_seq", "due"))
     top = h.agg(F.max("height")).head()[0] or 0
-    vec = e.filter("leaf_seq is not null").select(*keys, "node", "leaf_seq").join(
-        _masks(sites, alphabet), ["family", "leaf_seq"]).select(*keys, "node", "block", *ms, "e")
-    vec = cut(vec)
-    out = None
+    cols = [*keys, "parent", "due", "block", *ms, "e"]
+    tips = cut(e.filter("leaf_seq is not null").join(masks, ["family", "leaf_seq"]).select(*cols))
+    inner, open_, out = e.filter("leaf_seq is null").select(*keys, "node", "parent", "due"), None, None
     for level in range(1, top + 1):
-        kids = e.filter(F.col("height") == level).select(*keys, "node", "parent").join(vec, [*keys, "node"])
+        kids = tips.filter(F.col("due") == level)
+        if open_ is not None:
+            kids = kids.unionByName(open_.filter(F.col("due") == level))
         up = kids.groupBy(*keys, F.col("parent").alias("node"), "block").agg(
             *[F.bit_and(m).alias("i" + m) for m in ms], *[F.bit_or(m).alias("u" + m) for m in ms], F.bit_or("e").alias("e"))
         some = F.col("i" + ms[0])
@@ -54,7 +86,8 @@ def changes(sites: DataFrame, edges: DataFrame, clos: DataFrame, alphabet: str =
             *keys, "node", "block", F.bitwise_not(some).bitwiseAND(F.col("e")).alias("chg"), "e",
             *[F.col("i" + m).bitwiseOR(F.bitwise_not(some).bitwiseAND(F.col("u" + m))).alias(m) for m in ms]))
         out = up.select(*keys, "node", "block", "chg") if out is None else out.unionByName(up.select(*keys, "node", "block", "chg"))
-        vec = vec.unionByName(up.select(*keys, "node", "block", *ms, "e"))
+        waiting = up.join(inner, [*keys, "node"]).select(*cols)
+        open_ = cut(waiting if open_ is None else waiting.unionByName(open_.filter(F.col("due") > level)))
     return out
 
 

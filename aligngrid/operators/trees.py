@@ -1,26 +1,50 @@
 """Trees as edge tables: keys, node, parent, length, leaf_seq (NULL for inner nodes).
 
-Everything is derived from the ancestor closure, which is built by pointer
-doubling: log2(depth) joins, each on (keys, node), rows = nodes x depth. A pair
-of leaves is emitted once, at the node where its two lineages meet.
+Trees that a task holds whole (`SMALL_NODES` nodes, `SMALL_LEAVES` leaves of a distance matrix) are worked on one tree a row, all of
+them in one pass (`treekit`). Larger ones, and what is a table of ancestors, come from the ancestor closure, which is built by
+pointer doubling: log2(depth) joins, each on (keys, node), rows = nodes x depth. A pair of leaves is emitted once, at the node where
+its two lineages meet.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from aligngrid.session import cut
+from aligngrid.operators import treekit
+from aligngrid.session import cut, ship
 
 KEYS = ("tree_id", "family")
+#: Nodes of a tree, and leaves of a distance matrix, that a task holds whole.
+SMALL_NODES, SMALL_LEAVES = 100_000, 1_000
+_EDGE = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()),
+                                  T.StructField("length", T.DoubleType()), T.StructField("leaf_seq", T.LongType())]))
+_PICK = T.ArrayType(T.StructType([T.StructField("leaf_seq", T.LongType()), T.StructField("round", T.IntegerType())]))
 
 
 def _tree_keys(df: DataFrame) -> list[str]:
     return [c for c in ("tree_id", "family", "rep") if c in df.columns]
 
 
+def _by_size(rows: DataFrame, keys: list[str], size, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keys with at most `most`, and those of the others, if there are any. size: an aggregate."""
+    large = rows.groupBy(*keys).agg(size.alias("_size")).filter(F.col("_size") > most).select(*keys)
+    if large.isEmpty():
+        return rows, None
+    large = cut(large)
+    return rows.join(large, keys, "left_anti"), rows.join(large, keys, "left_semi")
+
+
+def _tree_rows(edges: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """A row a tree: keys, z (node, parent, length, leaf_seq and more as arrays)."""
+    ship(edges.sparkSession)
+    return edges.groupBy(*keys).agg(F.collect_list(F.struct("node", "parent", "length", "leaf_seq", *more)).alias("z"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """keys, node, anc, hops, dist, leaf_seq - each node with itself (hops 0) and all ancestors."""
     keys = _tree_keys(edges)
@@ -179,18 +203,38 @@ def prune(edges: DataFrame, keep: DataFrame, clos: DataFrame | None = None) -> D
     leaves below; its new parent is its nearest staying ancestor.
     """
     keys = _tree_keys(edges)
-    clos = closure(edges) if clos is None else clos
     on = [c for c in (*keys, "leaf_seq") if c in keep.columns]
-    kept = edges.join(keep.select(*on), on, "left_semi")
+    marked = edges.select(*keys, "node", "parent", "length", "leaf_seq").join(
+        keep.select(*on).distinct().withColumn("kept", F.lit(True)), on, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    small, large = _by_size(marked, keys, F.count(F.lit(1)), SMALL_NODES)
+
+    @F.pandas_udf(_EDGE)
+    def pruned(node: pd.Series, parent: pd.Series, length: pd.Series, leaf: pd.Series, kept: pd.Series) -> pd.Series:
+        none = lambda t: None if t is None or t != t else int(t)
+        return pd.Series([
+            [dict(zip(("node", "parent", "length", "leaf_seq"), e)) for e in treekit.pruned(n, p, w, [none(t) for t in x], k)]
+            for n, p, w, x, k in zip(node, parent, length, leaf, kept)])
+
+    rows = _tree_rows(small, keys, "kept")
+    out = rows.select(*keys, F.inline(pruned(*[F.col(f"z.{c}") for c in ("node", "parent", "length", "leaf_seq", "kept")])))
+    if large is not None:
+        out = out.unionByName(_prune_by_closure(large, None if clos is None else clos))
+    return cut(out)  # as callers read the tree several times
+
+
+def _prune_by_closure(marked: DataFrame, clos: DataFrame | None) -> DataFrame:
+    """`prune` of edges with the column kept."""
+    keys = _tree_keys(marked)
+    clos = closure(marked) if clos is None else clos
+    kept = marked.filter("kept")
     live = kept.select(*keys, "node").join(clos.select(*keys, "node", "anc"), [*keys, "node"]).select(*keys, F.col("anc").alias("node")).distinct()
-    forks = edges.join(live, [*keys, "node"], "left_semi").groupBy(*keys, F.col("parent").alias("node")).count().filter("count > 1")
+    forks = marked.join(live, [*keys, "node"], "left_semi").groupBy(*keys, F.col("parent").alias("node")).count().filter("count > 1")
     stay = cut(kept.select(*keys, "node").unionByName(forks.select(*keys, "node")))
     up = clos.filter("hops > 0").join(stay, [*keys, "node"], "left_semi").join(
         stay.withColumnRenamed("node", "anc"), [*keys, "anc"], "left_semi")
-    # cut, as callers read the tree several times
-    return cut(up.groupBy(*keys, "node", "leaf_seq").agg(
+    return up.groupBy(*keys, "node", "leaf_seq").agg(
         F.min_by("anc", "hops").alias("parent"), F.min_by("dist", "hops").alias("length")
-    ).select(*keys, "node", "parent", "length", "leaf_seq"))
+    ).select(*keys, "node", "parent", "length", "leaf_seq")
 
 
 def paint(edges: DataFrame, clades: DataFrame, clos: DataFrame | None = None) -> DataFrame:
@@ -249,9 +293,25 @@ def greedy_trim(edges: DataFrame, k: int) -> DataFrame:
     Starts at the farthest pair and adds, each round, the leaf whose attachment
     distance to the chosen subtree is largest. A leaf's attachment distance is
     its least half sum over chosen pairs; only pairs with the leaf added last can
-    lower it, so a round joins one new leaf per tree against the rest.
+    lower it.
     """
     keys = _tree_keys(edges)
+    small, large = _by_size(edges, keys, F.count("leaf_seq"), SMALL_LEAVES)
+
+    @F.pandas_udf(_PICK)
+    def covering(node: pd.Series, parent: pd.Series, length: pd.Series, leaf: pd.Series) -> pd.Series:
+        none = lambda t: None if t is None or t != t else int(t)
+        return pd.Series([[{"leaf_seq": x, "round": r} for x, r in treekit.covering_leaves(n, p, w, [none(t) for t in z], k)]
+                          for n, p, w, z in zip(node, parent, length, leaf)])
+
+    rows = _tree_rows(small, keys)
+    out = rows.select(*keys, F.inline(covering(*[F.col(f"z.{c}") for c in ("node", "parent", "length", "leaf_seq")])))
+    return cut(out if large is None else out.unionByName(_greedy_trim_by_rounds(large, k)))
+
+
+def _greedy_trim_by_rounds(edges: DataFrame, k: int) -> DataFrame:
+    """`greedy_trim` with a round of joins for each leaf: one new leaf per tree against the rest."""
+    keys = _tree_keys(edges)
     # branches of no length get 1e-4 x rank / n of their node in the tree
     tree = Window.partitionBy(*keys)
     share = F.row_number().over(tree.orderBy("node")) / F.count("*").over(tree)
@@ -286,28 +346,46 @@ def greedy_trim(edges: DataFrame, k: int) -> DataFrame:
 def bionj(dist: DataFrame) -> DataFrame:
     """Distance trees by BIONJ, all keys at once: keys, node, parent, length, leaf_seq.
 
-    dist: keys, i < j, d (leaf ids). All trees advance one merge a round; a round is
-    one row-sum aggregate, one arg-min per tree and one join for the reduction, cut in
-    the shared folder. A tree whose last three clusters are left is finished and
-    leaves the loop. A merged pair (a > b) keeps the place of a; ties go to the lowest
-    (a, b). Inner node ids follow the largest leaf id.
+    dist: keys, i < j, d (leaf ids). A merged pair (a > b) keeps the place of a; ties go to the lowest (a, b). Inner node ids
+    follow the largest leaf id of all trees, the root's follows as many as the largest tree has merges. Matrices of up to
+    SMALL_LEAVES leaves are a row each and are joined in one pass; larger ones advance together, a merge a round.
+    """
+    keys = _tree_keys(dist)
+    ends = cut(dist.select(*keys, F.explode(F.array("i", "j")).alias("c")).distinct())
+    top = ends.groupBy(*keys).agg(F.count("*").alias("r"), F.max("c").alias("c")).agg(F.max("r"), F.max("c")).head()
+    merges, inner = max(0, (top[0] or 0) - 3), (top[1] or 0) + 1
+    small, large = _by_size(dist, keys, F.count(F.lit(1)), SMALL_LEAVES * (SMALL_LEAVES - 1) // 2)
+
+    @F.pandas_udf(_EDGE)
+    def joined(i: pd.Series, j: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([[{"node": n, "parent": p, "length": w, "leaf_seq": n if n < inner else None}
+                           for n, p, w in treekit.neighbour_joining(a, b, x, inner, inner + merges)] for a, b, x in zip(i, j, d)])
+
+    ship(dist.sparkSession)
+    rows = small.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "d")).alias("z"))
+    out = rows.select(*keys, F.inline(joined("z.i", "z.j", "z.d")))
+    return out if large is None else out.unionByName(_bionj_by_rounds(large, inner, merges))
+
+
+def _bionj_by_rounds(dist: DataFrame, first_inner: int, merges: int) -> DataFrame:
+    """`bionj` of large matrices: a round is one arg-min per tree and one join for the reduction, cut in the shared folder.
+
+    The sum of a cluster's distances is carried: a merge takes two from it and adds one.
     """
     keys = _tree_keys(dist)
     m = cut(dist.select(*keys, "i", "j", "d", F.col("d").alias("v")))
-    ends = m.select(*keys, F.explode(F.array("i", "j")).alias("c")).distinct()
-    nodes = cut(ends.select(*keys, "c", F.col("c").cast("bigint").alias("node")))
-    out = cut(ends.select(*keys, F.col("c").alias("leaf_seq"), F.col("c").cast("bigint").alias("node")))
-    sizes = ends.groupBy(*keys).agg(F.count("*").alias("r"))
-    top = sizes.agg(F.max("r")).head()[0] or 0
-    first_inner = (ends.agg(F.max("c")).head()[0] or 0) + 1
+    ends = m.select(*keys, F.inline(F.array(F.struct(F.col("i").alias("c"), "d"), F.struct(F.col("j").alias("c"), "d"))))
+    sums = ends.groupBy(*keys, "c").agg(F.sum("d").alias("s"))
+    nodes = cut(sums.select(*keys, "c", F.col("c").cast("bigint").alias("node"), "s"))
+    out = cut(nodes.select(*keys, F.col("c").alias("leaf_seq"), "node"))
+    top = nodes.groupBy(*keys).agg(F.count("*").alias("r")).agg(F.max("r")).head()[0] or 0
     made = []
     for rnd in range(max(0, top - 3)):
         # the ones with more than three clusters go on
         live = nodes.groupBy(*keys).agg(F.count("*").alias("r")).filter("r > 3")
         ml = m.join(live, keys)
-        sums = ml.select(*keys, "r", F.inline(F.array(F.struct(F.col("i").alias("c"), "d"), F.struct(F.col("j").alias("c"), "d")))).groupBy(*keys, "c").agg(F.sum("d").alias("s"))
-        crit = ml.join(sums.select(*keys, F.col("c").alias("i"), F.col("s").alias("s_i")), [*keys, "i"]).join(
-            sums.select(*keys, F.col("c").alias("j"), F.col("s").alias("s_j")), [*keys, "j"])
+        crit = ml.join(nodes.select(*keys, F.col("c").alias("i"), F.col("s").alias("s_i")), [*keys, "i"]).join(
+            nodes.select(*keys, F.col("c").alias("j"), F.col("s").alias("s_j")), [*keys, "j"])
         q = F.round((F.col("r") - 2) * F.col("d") - F.col("s_i") - F.col("s_j"), 6)
         best = crit.groupBy(*keys).agg(
             F.min_by(F.struct("i", "j", "d", "v", "s_i", "s_j", "r"), F.struct(q, F.col("j"), F.col("i"))).alias("z")
@@ -324,25 +402,28 @@ def bionj(dist: DataFrame) -> DataFrame:
         lam = side.groupBy(*keys).agg((F.sum(F.col("vb") - F.col("va"))).alias("dv"), F.first("vab").alias("vab0"), F.first("r").alias("r0")).select(
             *keys, F.when(F.col("vab0") == 0, 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0),
                 0.5 + F.col("dv") / (2 * (F.col("r0") - 2) * F.col("vab0"))))).alias("lam"))
-        new = side.join(lam, keys).select(
-            *keys, F.least("a", "x").alias("i"), F.greatest("a", "x").alias("j"),
-            (F.col("lam") * (F.col("da") - F.col("la")) + (1 - F.col("lam")) * (F.col("db") - F.col("lb"))).alias("d"),
-            (F.col("lam") * F.col("va") + (1 - F.col("lam")) * F.col("vb") - F.col("lam") * (1 - F.col("lam")) * F.col("vab")).alias("v"))
+        near = F.col("lam") * (F.col("da") - F.col("la")) + (1 - F.col("lam")) * (F.col("db") - F.col("lb"))
+        new = cut(side.join(lam, keys).select(
+            *keys, "x", "a", near.alias("d"), (near - F.col("da") - F.col("db")).alias("change"),
+            (F.col("lam") * F.col("va") + (1 - F.col("lam")) * F.col("vb") - F.col("lam") * (1 - F.col("lam")) * F.col("vab")).alias("v")))
         ab = a.select(*keys, "a", "b")
         stay = m.join(ab, keys, "left").filter("a is null or not (i in (a, b) or j in (a, b))").select(*keys, "i", "j", "d", "v")
         inner = F.lit(first_inner + rnd).cast("bigint")
         joined = nodes.join(a, keys).filter("c in (a, b)").select(
             *keys, "node", inner.alias("parent"), F.greatest(F.lit(0.0), F.when(F.col("c") == F.col("a"), F.col("la")).otherwise(F.col("lb"))).alias("length"))
         made.append(joined)
-        m = cut(stay.unionByName(new), merge=True)
-        nodes = cut(nodes.join(ab, keys, "left").filter("a is null or c <> b").select(
-            *keys, "c", F.when(F.col("c") == F.col("a"), inner).otherwise(F.col("node")).alias("node")))
+        m = cut(stay.unionByName(new.select(*keys, F.least("a", "x").alias("i"), F.greatest("a", "x").alias("j"), "d", "v")), merge=True)
+        moved = new.select(*keys, F.col("x").alias("c"), "change").unionByName(
+            new.groupBy(*keys, F.col("a").alias("c")).agg(F.sum("d").alias("change")))
+        nodes = cut(nodes.join(ab, keys, "left").filter("a is null or c <> b").join(moved, [*keys, "c"], "left").select(
+            *keys, "c", F.when(F.col("c") == F.col("a"), inner).otherwise(F.col("node")).alias("node"),
+            F.when(F.col("c") == F.col("a"), F.col("change")).otherwise(F.col("s") + F.coalesce("change", F.lit(0.0))).alias("s")))
     # last three (or two) clusters hang on the root
-    root = F.lit(first_inner + max(0, top - 3)).cast("bigint")
+    root = F.lit(first_inner + merges).cast("bigint")
     ml = m.select(*keys, "i", "j", "d", F.sum("d").over(Window.partitionBy(*keys)).alias("all"), F.count("*").over(Window.partitionBy(*keys)).alias("np"))
     per = ml.select(*keys, "all", "np", F.inline(F.array(F.struct(F.col("i").alias("c"), "d"), F.struct(F.col("j").alias("c"), "d")))).groupBy(*keys, "c", "all", "np").agg(F.sum("d").alias("s"))
     length = F.when(F.col("np") == 1, F.col("all") / 2).otherwise(F.col("s") - F.col("all") / 2)
-    last = per.join(nodes, [*keys, "c"]).select(*keys, "node", root.alias("parent"), F.greatest(F.lit(0.0), length).alias("length"))
+    last = per.join(nodes.drop("s"), [*keys, "c"]).select(*keys, "node", root.alias("parent"), F.greatest(F.lit(0.0), length).alias("length"))
     for e in made:
         last = last.unionByName(e)
     return last.join(out, [*keys, "node"], "left").select(*keys, "node", "parent", "length", "leaf_seq")

@@ -18,7 +18,7 @@ from aligngrid.plans.counting import clean_sites
 from aligngrid.plans.modelling import AAF, aa_freq, estimated
 from aligngrid.plans.recoding import cleaned, rnd
 from aligngrid.plans.registry import query
-from aligngrid.plans.treework import _greedy_sql
+from aligngrid.plans.treework import _greedy_sql, nj_sql
 from aligngrid.session import cut, new_path
 from aligngrid.sources import alignments as Al
 from aligngrid.sources import newick as N
@@ -317,7 +317,17 @@ def bs_bootstrap(spark, sf):
     return resample.bootstrap(of_site, 20)
 
 
-@query("bs_nj")
+@query("bs_nj", with_("clean", "select family, rep, node, parent, " + r("length") + " length, leaf_seq from nj", """
+ct as (select distinct family, cpos from kcodons),
+cn as (select family, cpos draw, count(*) over (partition by family) n from ct),
+dr as materialized (select family, rep, draw, cast('0x' || substr(md5(concat_ws('-', family, rep, draw, 12345)), 1, 15) as bigint) % n cpos
+  from cn cross join (select unnest(range(0, 20)) rep)),
+bp as (select d.family, d.rep, a.seq_id i, b.seq_id j, count(a.aa + b.aa) n, count(*) filter (a.aa <> b.aa) nd from dr d
+  join kcodons a on a.family = d.family and a.cpos = d.cpos
+  join kcodons b on b.family = d.family and b.cpos = d.cpos and a.seq_id < b.seq_id group by 1, 2, 3, 4),
+bd as (select family, rep, i, j, case when n = 0 or 1 - nd / n / 0.95 <= 0 then 20.0
+   else greatest(0, -0.95 * ln(1 - nd / n / 0.95)) end d from bp),
+""" + nj_sql("bd", ["family", "rep"])))
 def bs_nj(spark, sf):
     cells = cut(P.aa_cells(cleaned(spark, sf)))
     pairs = P.pair_counts(resample.bootstrap_cells(cells, 20), 5, ("family", "rep"))

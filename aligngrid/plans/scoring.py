@@ -51,9 +51,7 @@ ps as (select tree_id, s.family, pattern_id, n, score * n score,
 
 
 def site_scores(spark, sf):
-    e = X.edges(spark, sf)
-    chg = Ps.changes(clean_sites(spark, sf), e, T.closure(e))
-    return chg
+    return Ps.changes(clean_sites(spark, sf), X.edges(spark, sf))
 
 
 @query("ps_score", with_("patterns edges", "select tree_id, family, sum(score)::bigint score from ss group by 1, 2", fitch_sql()))

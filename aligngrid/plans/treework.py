@@ -190,6 +190,50 @@ def tr_greedy_trim(spark, sf):
     return T.greedy_trim(X.edges(spark, sf), 6)
 
 
-@query("tr_nj")
+def nj_sql(source, keys, leaves=16):
+    """CTEs ending in nj(keys, node, parent, length, leaf_seq): BIONJ of `source` (keys, i, j, d), a merge a round, unrolled for
+    `leaves` leaves. Inner nodes are numbered from the largest leaf id of all trees on."""
+    k, on = ", ".join(keys), lambda a, b: " and ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    of = lambda a: ", ".join(f"{a}.{x}" for x in keys)
+    out = f"""
+m0 as materialized (select {k}, i, j, d::double d, d::double v from {source}),
+nd0 as materialized (select distinct {k}, c, c::bigint node from (select {k}, i c from m0 union all select {k}, j from m0)),
+size as (select (select max(n) from (select count(*) n from nd0 group by {k})) top, (select max(c) from nd0) + 1 inn)"""
+    for r_ in range(leaves - 3):
+        out += f""",
+lv{r_} as materialized (select {k}, count(*) r from nd{r_} group by {k} having count(*) > 3),
+sm{r_} as materialized (select {of('x')}, c, sum(d) s from (select {k}, i c, d from m{r_} union all select {k}, j, d from m{r_}) x
+  join lv{r_} l on {on('x', 'l')} group by {of('x')}, c),
+be{r_} as materialized (select {k}, z[1] b, z[2] a, z[3] d, z[4] vab, z[7] r, 0.5 * (z[3] + (z[6] - z[5]) / (z[7] - 2)) la,
+   z[3] - 0.5 * (z[3] + (z[6] - z[5]) / (z[7] - 2)) lb from (
+  select {of('m')}, arg_min(row(m.i, m.j, m.d, m.v, p.s, q.s, r), row(round((r - 2) * m.d - p.s - q.s, 6), m.j, m.i)) z
+  from m{r_} m join lv{r_} l on {on('m', 'l')} join sm{r_} p on {on('p', 'm')} and p.c = m.i join sm{r_} q on {on('q', 'm')} and q.c = m.j
+  group by {of('m')})),
+sd{r_} as materialized (select {of('m')}, case when m.i in (a, b) then m.j else m.i end x, a, b, vab, la, lb, r,
+   max(m.d) filter (m.i = a or m.j = a) da, max(m.d) filter (m.i = b or m.j = b) db,
+   max(m.v) filter (m.i = a or m.j = a) va, max(m.v) filter (m.i = b or m.j = b) vb
+  from m{r_} m join be{r_} e on {on('m', 'e')} where (m.i in (a, b)) <> (m.j in (a, b)) group by all),
+la{r_} as materialized (select {k}, case when any_value(vab) = 0 then 0.5
+   else least(1.0, greatest(0.0, 0.5 + sum(vb - va) / (2 * (any_value(r) - 2) * any_value(vab)))) end lam from sd{r_} group by {k}),
+m{r_ + 1} as materialized (select {of('m')}, m.i, m.j, m.d, m.v from m{r_} m left join be{r_} e on {on('m', 'e')}
+   where e.a is null or not (m.i in (e.a, e.b) or m.j in (e.a, e.b))
+  union all select {of('s')}, least(a, x), greatest(a, x), lam * (da - la) + (1 - lam) * (db - lb),
+   lam * va + (1 - lam) * vb - lam * (1 - lam) * vab from sd{r_} s join la{r_} l on {on('s', 'l')}),
+ed{r_} as materialized (select {of('n')}, node, (select inn from size) + {r_} parent, greatest(0.0, case when c = a then la else lb end) length
+  from nd{r_} n join be{r_} e on {on('n', 'e')} where c in (a, b)),
+nd{r_ + 1} as materialized (select {of('n')}, c, case when c = a then (select inn from size) + {r_} else node end node
+  from nd{r_} n left join be{r_} e on {on('n', 'e')} where a is null or c <> b)"""
+    end = leaves - 3
+    return out.strip() + f""",
+fin as (select *, sum(d) over (partition by {k}) every, count(*) over (partition by {k}) np from m{end}),
+tip as (select {k}, c, every, np, sum(d) s from (select {k}, i c, d, every, np from fin union all select {k}, j, d, every, np from fin)
+  group by {k}, c, every, np),
+all_edges as (select {of('t')}, node, (select inn + greatest(0, top - 3) from size) parent,
+   greatest(0.0, case when np = 1 then every / 2 else s - every / 2 end) length from tip t join nd{end} n on {on('t', 'n')} and t.c = n.c
+  {' '.join(f'union all select {k}, node, parent, length from ed{r_}' for r_ in range(end))}),
+nj as (select *, case when node < (select inn from size) then node end leaf_seq from all_edges)"""
+
+
+@query("tr_nj", with_("aadist", "select family, node, parent, " + r("length") + " length, leaf_seq from nj", nj_sql("aad", ["family"])))
 def tr_nj(spark, sf):
     return T.bionj(aa_distances(spark, sf)).withColumn("length", rnd(F.col("length")))

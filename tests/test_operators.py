@@ -59,7 +59,10 @@ def plain_bionj(d):
     return splits
 
 
-def test_bionj_brute_force(spark):
+@pytest.mark.parametrize("leaves", [1000, 2])
+def test_bionj_brute_force(spark, monkeypatch, leaves):
+    """In one pass, and merge by merge as for large matrices."""
+    monkeypatch.setattr(trees, "SMALL_LEAVES", leaves)
     rng = np.random.default_rng(5)
     rows, want = [], {}
     for family, n in enumerate((4, 5, 7)):
@@ -98,6 +101,59 @@ def test_bionj_recovers_additive_tree(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+def test_trees_held_and_not_held_by_a_task_agree(spark, monkeypatch):
+    from aligngrid.plans.counting import clean_sites
+
+    e = cut(X.edges(spark, SF).filter("family < 4").withColumn("length", F.when(F.col("node") % 7 == 3, 0.0).otherwise(F.col("length"))))
+    keep = e.filter("leaf_seq is not null and (leaf_seq * 5 + family) % 3 > 0").select("family", "leaf_seq").distinct()
+    sites = cut(clean_sites(spark, SF).filter("family < 4 and seq_id <> 5"))
+
+    def all_three():
+        pruned = trees.prune(e, keep).select("tree_id", "family", "node", "parent", F.round("length", 9).alias("length"), "leaf_seq")
+        chosen = trees.greedy_trim(e, 6).select("tree_id", "family", "leaf_seq", "round")
+        changed = parsimony.changes(sites, e).select("tree_id", "family", "node", "block", "chg")
+        return [sorted(map(tuple, x.collect()), key=repr) for x in (pruned, chosen, changed)]
+
+    one = all_three()
+    monkeypatch.setattr(trees, "SMALL_NODES", 3)
+    monkeypatch.setattr(trees, "SMALL_LEAVES", 3)
+    monkeypatch.setattr(parsimony, "SMALL_NODES", 3)
+    assert one == all_three() and all(len(x) > 20 for x in one)
+
+
+def test_a_long_ladder_is_pruned(spark):
+    """20,000 leaves, each branching off one node further up: no table of ancestors is made."""
+    n = 20_000
+    inner = F.when(F.col("id") < n - 1, F.col("id") + n + 1)
+    leaves = spark.range(n).select(F.lit(0).cast("long").alias("family"), F.col("id").alias("node"),
+                                   F.least(F.col("id") + n, F.lit(2 * n - 2)).alias("parent"), F.lit(0.5).alias("length"), F.col("id").alias("leaf_seq"))
+    nodes = spark.range(n - 2).select(F.lit(0).cast("long").alias("family"), (F.col("id") + n).alias("node"), inner.alias("parent"),
+                                      F.lit(0.25).alias("length"), F.lit(None).cast("long").alias("leaf_seq"))
+    keep = spark.createDataFrame([(0, 0), (0, n // 2), (0, n - 1)], "family bigint, leaf_seq bigint")
+    got = {r["leaf_seq"]: (r["parent"], r["length"]) for r in trees.prune(leaves.unionByName(nodes), keep).collect()}
+    assert got[0] == (n + n // 2, 0.5 + 0.25 * (n // 2)) and got[n // 2] == (n + n // 2, 0.5)
+    assert got[n - 1] == (2 * n - 2, 0.5) and got[None] == (2 * n - 2, 0.25 * (n - 2 - n // 2)) and len(got) == 4
+
+
+def test_fit_in_a_row_and_by_rounds_agree(spark, monkeypatch):
+    from aligngrid.operators import clean
+
+    sites, e = small_alignment(spark)
+    names = ["HKY+4dG", "RY", "CodonM0.0.F1X4"]
+
+    def run():
+        out = ranking.fit_models(clean.clean(sites), e, models=names, rounds=3, partitions=4)
+        return {r["name"]: r for r in out["fitted"].collect()}
+
+    one = run()
+    monkeypatch.setattr(fit, "LOCAL_CELLS", 0)
+    two = run()
+    assert set(one) == set(two) == set(names)
+    for k in names:
+        assert one[k]["lnl"] == pytest.approx(two[k]["lnl"], abs=1e-6) and one[k]["converged"] == two[k]["converged"]
+        assert one[k]["x"] == pytest.approx(two[k]["x"], abs=1e-5)
+
+
 def test_bootstrap_trees_brute_force(spark):
     seqs = ["ACGTACGTAACCGGTT", "ACGTACGAAACCGGTA", "ACCTACGAATCCGGTA", "TCCTACGAATCAGGTA", "TCCTACGATTCAGATA"]
     cells = cut(pairs.dna_cells(sites_of(spark, seqs)))
