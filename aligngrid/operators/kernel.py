@@ -81,6 +81,8 @@ class Block:
         lam, left, right = eigen
         sent: list = [None] * self.nb
         below: list = [None] * (self.nb + 1)
+        few = len(self.counts) < self.k
+        wide_right = np.concatenate([right, right.sum(axis=1, keepdims=True)], axis=1)
         for b in range(self.nb + 1):  # children come first
             if self.kids[b]:
                 v, scale = sent[self.kids[b][0]]
@@ -95,7 +97,12 @@ class Block:
             if b == self.nb:
                 break
             t = min(float(np.exp(x[b])), catalog.MAX_BRANCH) * rates
-            p = np.maximum((left * np.exp(lam * t[:, None])[:, None, :]) @ right, 0.0)
+            grow = np.exp(lam * t[:, None])
+            if few:  # fewer patterns than states: the vectors go through the eigen form, P(t) itself is not made
+                inner = wide_right[:, self.cols[self.leaf[b]]][None] if self.leaf[b] >= 0 else right @ below[b][0]
+                sent[b] = (np.maximum(left @ (grow[:, :, None] * inner), 0.0), 0.0 if self.leaf[b] >= 0 else below[b][1])
+                continue
+            p = np.maximum((left * grow[:, None, :]) @ right, 0.0)
             if self.leaf[b] >= 0:
                 wide = np.concatenate([p, np.ones(p.shape[:2] + (1,))], axis=2)
                 sent[b] = (wide[:, :, self.cols[self.leaf[b]]], 0.0)

@@ -249,52 +249,50 @@ def change_counts(q: DataFrame, freq: DataFrame, times: DataFrame, kinds: DataFr
 
 # ---- rate classes ---------------------------------------------------------------
 
-def _gamma_cdf(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma: power series, or its complement by continued fraction."""
-    if x <= 0:
-        return 0.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while term > total * 1e-15:
-            n += 1
-            term *= x / n
-            total += term
-        return min(1.0, front * total)
-    b, c = x + 1 - a, 1e300
-    d = h = 1.0 / b
-    for n in range(1, 500):
-        an = n * (a - n)
-        b += 2
-        d = 1.0 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return 1.0 - front * h
+SERIES, HALVINGS = 500, 80
+
+
+def _gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma of arrays, by its power series: all terms are positive, and SERIES of them are enough for
+    x up to about a + 200."""
+    terms = np.cumprod(x[..., None] / (a[..., None] + np.arange(1, SERIES)), axis=-1).sum(axis=-1)
+    front = np.array([math.exp(-v + s * math.log(v) - math.lgamma(s + 1)) if v > 0 else 0.0 for s, v in zip(a.ravel(), x.ravel())])
+    return np.minimum(front.reshape(a.shape) * (1.0 + terms), 1.0)
+
+
+def gamma_rate_table(alpha: np.ndarray, k: int = 4) -> np.ndarray:
+    """Means of k equal-weight classes of gammas with mean 1, a row for each alpha; all 1 beyond the upper bound of alpha.
+
+    The borders of all classes of all rows are found together, by halving the logarithm.
+    """
+    given = np.asarray(alpha, float)
+    a = np.repeat(np.clip(given, catalog.MIN_ALPHA, catalog.MAX_ALPHA)[:, None], k - 1, axis=1)
+    share = np.broadcast_to(np.arange(1, k) / k, a.shape)
+    lo, hi = np.full(a.shape, -400.0), np.log(a + 12 * np.sqrt(a) + 40)
+    for _ in range(HALVINGS):
+        mid = (lo + hi) / 2
+        low = _gamma_cdf(a, np.exp(mid)) < share
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    part = _gamma_cdf(a + 1, np.exp((lo + hi) / 2))
+    bounds = np.concatenate([np.zeros((len(a), 1)), part, np.ones((len(a), 1))], axis=1)
+    rates = np.maximum(1e-12, k * np.diff(bounds, axis=1))
+    return np.where((given >= catalog.MAX_ALPHA)[:, None], 1.0, rates)
 
 
 @lru_cache(4096)
 def gamma_rates(alpha: float, k: int = 4) -> tuple:
-    """Means of k equal-weight classes of a gamma with mean 1; all 1 beyond the upper bound of alpha."""
-    if alpha >= catalog.MAX_ALPHA:
-        return (1.0,) * k
-    alpha = max(alpha, catalog.MIN_ALPHA)
-    cuts = [0.0]
-    for c in range(1, k):
-        lo, hi = -400.0, math.log(alpha * 40 + 400)
-        for _ in range(70):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if _gamma_cdf(alpha, math.exp(mid)) < c / k else (lo, mid)
-        cuts.append(_gamma_cdf(alpha + 1, math.exp((lo + hi) / 2)))
-    cuts.append(1.0)
-    return tuple(max(1e-12, k * (b - a)) for a, b in zip(cuts, cuts[1:]))
+    """A row of `gamma_rate_table`."""
+    return tuple(gamma_rate_table(np.array([alpha]), k)[0].tolist())
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def gamma_rates_column(alpha: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([list(gamma_rates(float(a), int(n))) for a, n in zip(alpha, k)])
+    out = pd.Series([None] * len(alpha), index=alpha.index, dtype=object)
+    for n in k.unique():
+        rows = (k == n).to_numpy()
+        for place, row in zip(alpha.index[rows], gamma_rate_table(alpha[rows].to_numpy(), int(n)).tolist()):
+            out.at[place] = row
+    return out
 
 
 def gamma_classes(params: DataFrame, k: int = 4) -> DataFrame:

@@ -114,11 +114,25 @@ def ml_distance(pairs: DataFrame, kappa: float = catalog.START_KAPPA, rounds: in
     return out.withColumn("t", F.when(F.col("n_both") > 0, F.col("best")).otherwise(20.0)).drop("lo", "hi", "best", "step")
 
 
-def distance_se(pairs: DataFrame, kappa: float = catalog.START_KAPPA, dx: float = 1e-4) -> DataFrame:
+def _k2p_bend(t, kappa):
+    """Second derivative of `_k2p_lnl`: sum of n (p'' / p - (p' / p)^2)."""
+    beta = 1.0 / (kappa + 2.0)
+    a, b = 4.0 * beta, 2.0 * (kappa + 1.0) * beta
+    e1, e2 = F.exp(-a * t), F.exp(-b * t)
+    n_tv = F.col("n_diff") - F.col("n_ts")
+
+    def term(n, base, x, y):
+        p, d1, d2 = base + x * e1 + y * e2, -a * x * e1 - b * y * e2, a * a * x * e1 + b * b * y * e2
+        return F.when(n > 0, n * (d2 / p - (d1 / p) * (d1 / p))).otherwise(F.lit(0.0))
+
+    return (term(F.col("n_both") - F.col("n_diff"), 0.25, 0.25, 0.5) + term(F.col("n_ts"), 0.25, 0.25, -0.5)
+            + term(n_tv, 0.25, -0.25, 0.0))
+
+
+def distance_se(pairs: DataFrame, kappa: float = catalog.START_KAPPA, least: float = 2e-4, flat: float = 1e-4) -> DataFrame:
     """Standard error from the curvature of the log-likelihood at distance t; a flat curve gives NULL."""
-    t = F.greatest(F.col("t"), F.lit(2 * dx))
-    bend = 2 * _k2p_lnl(t, kappa) - _k2p_lnl(t - dx, kappa) - _k2p_lnl(t + dx, kappa)
-    return pairs.withColumn("se", F.when(bend > 1e-12, F.sqrt(dx * dx / bend)))
+    bend = -_k2p_bend(F.greatest(F.col("t"), F.lit(least)), kappa)
+    return pairs.withColumn("se", F.when(bend > flat, F.sqrt(1.0 / bend)))
 
 
 def matrix(dist: DataFrame, value: str = "d") -> DataFrame:

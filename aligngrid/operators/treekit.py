@@ -156,3 +156,13 @@ def fitch(node, parent, leaf, who, block, masks, sites) -> list[tuple[int, int,
             any_[p] |= state
             seen[p] |= seen[b]
     return out
+
+
+def sums_below(node, parent, numbers) -> list[list[int]]:
+    """[node, sums..] of every node that has a parent: sums of some numbers of the nodes at or below it."""
+    first, ids, up = ordered_tree(node, parent)
+    held = np.zeros((len(first) + 1, len(numbers)), np.int64)
+    held[:-1] = np.array([np.asarray(x, np.int64) for x in numbers]).T[first]
+    for b in range(len(first)):
+        held[up[b]] += held[b]
+    return np.column_stack([ids[:-1], held[:-1]]).tolist()

@@ -196,6 +196,59 @@ def within_depth(hops: DataFrame, node: int, k: int, up_to: bool = False) -> Dat
     return hops.filter((F.col("i") == node) & test).select(*_tree_keys(hops), F.col("j").alias("node"), "hops")
 
 
+def walk(edges: DataFrame, start: DataFrame, k: int, up_to: bool = False) -> DataFrame:
+    """keys, node, hops: the nodes exactly (or at most) k edges away from the nodes of `start` (keys, node).
+
+    A frontier goes k steps along the edges and never back, so no pair of nodes is made that is not asked for.
+    """
+    keys = _tree_keys(edges)
+    links = cut(edges.select(*keys, F.inline(F.array(
+        F.struct(F.col("node").alias("a"), F.col("parent").alias("b")), F.struct(F.col("parent").alias("a"), F.col("node").alias("b"))))))
+    front = cut(start.select(*keys, F.col("node").cast("long").alias("node"), F.lit(None).cast("long").alias("came")))
+    out = front.select(*keys, "node", F.lit(0).cast("long").alias("hops"))
+    for step in range(1, k + 1):
+        front = cut(front.join(links.withColumnRenamed("a", "node"), [*keys, "node"]).filter("came is null or b <> came").select(
+            *keys, F.col("b").cast("long").alias("node"), F.col("node").alias("came")))
+        new = front.select(*keys, "node", F.lit(step).cast("long").alias("hops"))
+        out = out.unionByName(new) if up_to else new
+    return out if up_to or k else out.filter("hops = 0")
+
+
+LANES_OF_MARKS = 3
+
+
+def split_marks(edges: DataFrame) -> DataFrame:
+    """keys, node, side, n_leaf: a mark for the split of each branch; equal splits of trees on the same leaves have equal marks.
+
+    A leaf is three numbers of 40 bits hashed from it. The mark is their sums over the leaves below the branch, or over the others if
+    that is less, so no list of leaves is made; unlike splits have equal marks with a chance of about 2^-120.
+    """
+    keys = _tree_keys(edges)
+    lanes = [f"h{k}" for k in range(LANES_OF_MARKS)]
+    hashed = edges.select(*keys, "node", "parent", "length", "leaf_seq", *[
+        F.when(F.col("leaf_seq").isNotNull(), F.xxhash64("leaf_seq", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).otherwise(0).alias(h)
+        for k, h in enumerate(lanes)], F.when(F.col("leaf_seq").isNotNull(), 1).otherwise(0).cast("long").alias("n"))
+    small, large = _by_size(hashed, keys, F.count(F.lit(1)), SMALL_NODES)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def summed(node: pd.Series, parent: pd.Series, *numbers: pd.Series) -> pd.Series:
+        return pd.Series([treekit.sums_below(n, p, x) for n, p, *x in zip(node, parent, *numbers)])
+
+    sums = [*lanes, "n"]
+    rows = _tree_rows(small, keys, *sums)
+    out = rows.select(*keys, F.explode(summed("z.node", "z.parent", *[F.col(f"z.{c}") for c in sums])).alias("s")).select(
+        *keys, F.get("s", F.lit(0)).alias("node"), *[F.get("s", F.lit(k + 1)).alias(c) for k, c in enumerate(sums)])
+    if large is not None:
+        tips = closure(large).filter("leaf_seq is not null").select(*keys, "node", "anc").join(
+            large.select(*keys, "node", *sums), [*keys, "node"])
+        out = out.unionByName(tips.groupBy(*keys, F.col("anc").alias("node")).agg(*[F.sum(c).alias(c) for c in sums]).join(
+            large.select(*keys, "node"), [*keys, "node"], "left_semi"))
+    total = hashed.groupBy(*keys).agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    own = F.struct(*[F.col(h).alias(h) for h in lanes])
+    other = F.struct(*[(F.col(f"all_{h}") - F.col(h)).alias(h) for h in lanes])
+    return out.join(total, keys).select(*keys, "node", F.least(own, other).alias("side"), F.col("all_n").alias("n_leaf"))
+
+
 def prune(edges: DataFrame, keep: DataFrame, clos: DataFrame | None = None) -> DataFrame:
     """Keep the leaves in `keep` (keys or family, leaf_seq); nodes left with one child are merged away.
 
@@ -258,7 +311,7 @@ def paint(edges: DataFrame, clades: DataFrame, clos: DataFrame | None = None) ->
 def rf(sp: DataFrame, pairs: DataFrame) -> DataFrame:
     """Splits of tree a that tree b lacks, for given pairs (a, b) of tree keys; -1 if leaf counts differ.
 
-    sp: tree, side, n_leaf. pairs: columns a, b.
+    sp: tree, side (a leaf list or a mark of `split_marks`), n_leaf. pairs: columns a, b.
     """
     a = sp.select(F.col("tree").alias("a"), "side", F.col("n_leaf").alias("na"))
     size_b = sp.groupBy(F.col("tree").alias("b")).agg(F.max("n_leaf").alias("nb"))

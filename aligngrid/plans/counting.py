@@ -19,13 +19,12 @@ def clean_sites(spark, sf):
 
 
 @query("ag_patterns", with_("patterns", """
-select family, pattern, count(*) n, min(pos) pattern_id, string_agg(pos::varchar, ',' order by pos) sites
-from cols group by 1, 2"""))
+select family, pattern, pos, n, pattern_id from cols join (select family, pattern, count(*) n, min(pos) pattern_id from cols group by 1, 2)
+ using (family, pattern)"""))
 def ag_patterns(spark, sf):
+    """A row for each site: its pattern, the pattern's number of sites and its first site."""
     cols = A.columns(clean_sites(spark, sf))
-    return cols.groupBy("family", "pattern").agg(
-        F.count("*").alias("n"), F.min("pos").alias("pattern_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("sites"))
+    return cols.join(A.patterns(clean_sites(spark, sf)), ["family", "pattern"]).select("family", "pattern", "pos", "n", "pattern_id")
 
 
 @query("ag_state_freq", with_("sites", """
@@ -157,8 +156,7 @@ def ag_pattern_dist(spark, sf):
 @query("ag_guess_kappa", with_("pairs", """
 select family, """ + r("case when sum(n_diff - n_ts) > 0 then 2 * sum(n_ts) / sum(n_diff - n_ts) else 2.5 end") + " kappa from pairs group by 1"))
 def ag_guess_kappa(spark, sf):
-    pairs = P.pair_counts(P.dna_cells(clean_sites(spark, sf)), 2)
-    return A.guess_kappa(pairs).withColumn("kappa", rnd(F.col("kappa")))
+    return A.kappa_from_columns(clean_sites(spark, sf)).withColumn("kappa", rnd(F.col("kappa")))
 
 
 @query("ag_summary", with_("patterns", """

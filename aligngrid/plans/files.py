@@ -18,7 +18,7 @@ from aligngrid.plans.counting import clean_sites
 from aligngrid.plans.modelling import AAF, aa_freq, estimated
 from aligngrid.plans.recoding import cleaned, rnd
 from aligngrid.plans.registry import query
-from aligngrid.plans.treework import _greedy_sql, nj_sql
+from aligngrid.plans.treework import _greedy_sql, nj_sql, tree_splits
 from aligngrid.session import cut, new_path
 from aligngrid.sources import alignments as Al
 from aligngrid.sources import newick as N
@@ -101,19 +101,14 @@ def mg_summary(spark, sf):
 
 
 @query("mg_rf_matrix", with_("splits", """
-select a.family g1, b.family g2, case when a.n <> b.n then -1 else (select count(*) from splits x where x.tree_id = 0 and x.family = a.family
-  and not exists (select 1 from splits y where y.tree_id = 0 and y.family = b.family and y.side = x.side)) end rf
-from fam a join fam b on a.family // 4 = b.family // 4 and a.family < b.family"""))
+select t tree_id, a.family g1, b.family g2, case when a.n <> b.n then -1 else (select count(*) from splits x where x.tree_id = t and x.family = a.family
+  and not exists (select 1 from splits y where y.tree_id = t and y.family = b.family and y.side = x.side)) end rf
+from fam a join fam b on a.family // 4 = b.family // 4 and a.family < b.family cross join (select unnest(range(0, 2)) t)"""))
 def mg_rf_matrix(spark, sf):
     g = manifest_files(spark, sf).withColumn("gene", F.expr("substring(gene, 5)").cast("bigint"))
-    pairs = multigene.gene_pairs(g, F.struct(F.lit(0).alias("tree_id"), F.col("gene").alias("family")))
-    return T.rf(scoring_splits(spark, sf), pairs.select("a", "b")).select(
-        F.col("a.family").alias("g1"), F.col("b.family").alias("g2"), "rf")
-
-
-def scoring_splits(spark, sf):
-    return T.splits(X.edges(spark, sf).filter("tree_id = 0")).select(
-        F.struct("tree_id", "family").alias("tree"), "side", F.size("every").alias("n_leaf"))
+    pairs = multigene.gene_pairs(g, F.col("gene")).select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("tree_id")).select(
+        *[F.struct("tree_id", F.col(c).alias("family")).alias(c) for c in "ab"])
+    return T.rf(tree_splits(spark, sf), pairs).select(F.col("a.tree_id"), F.col("a.family").alias("g1"), F.col("b.family").alias("g2"), "rf")
 
 
 def newicks(spark, sf, unrooted=False):
@@ -201,7 +196,12 @@ sv as (select *, case when v in ('true','yes','on','1') then true when v in ('fa
 select family, section, switch, coalesce(max(on_::int) filter (layer = 'cwd'), max(on_::int) filter (layer = 'home'), 1) = 1 is_on
 from sv group by 1, 2, 3""", _switch_sql()))
 def src_switches(spark, sf):
-    return Se.resolve_switches(Se.parse_switches(switch_lines(spark, sf)))
+    path = new_path(spark, "switches")
+    for layer in ("home", "cwd"):  # a file of each layer a family
+        lines = switch_lines(spark, sf).filter(F.col("layer") == layer)
+        lines.repartition("family").sortWithinPartitions("family", "idx").select("family", "line").write.partitionBy("family").text(f"{path}/{layer}")
+    of_file = F.regexp_extract("path", r"family=(\d+)", 1).cast("bigint").alias("family")
+    return Se.resolve_switches(Se.read_switches(spark, f"{path}/home", f"{path}/cwd", of_file))
 
 
 @query("src_model_file", with_("edges", """
@@ -336,35 +336,90 @@ def bs_nj(spark, sf):
 
 # ---- fits ---------------------------------------------------------------------------------------
 
-def fitted(spark, sf, models, rounds=5):
-    codons = cleaned(spark, sf)
-    tree = X.edges(spark, sf).filter("tree_id = 0").drop("tree_id")
-    return ranking.fit_models(codons, tree, models=models, rounds=rounds)
+def on_both_trees(spark, sf, work):
+    """Rows of work(codons, tree) for each fixture tree, with tree_id."""
+    codons, out = cut(cleaned(spark, sf)), None
+    for t in (0, 1):
+        rows = work(codons, X.edges(spark, sf).filter(F.col("tree_id") == t).drop("tree_id")).withColumn("tree_id", F.lit(t))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("lnl_fit")
 def lnl_fit(spark, sf):
-    out = fitted(spark, sf, ["RY", "RY+4dG"] + [m + g for m in catalog.NT_MODELS for g in ("", "+4dG")])
-    rows = fit.report(out["fitted"])
-    res = R.delta(R.results(rows, ranking.adjustments(out["codons"])))
-    return scoring.rounded(res)
+    """The whole catalogue; a model whose matrix is not given has a row with the reason."""
+    def work(codons, tree):
+        out = ranking.fit_models(codons, tree, rounds=ranking.ROUNDS["fast"])
+        fits = fit.report(out["fitted"]).withColumn("reason", F.lit(None).cast("string"))
+        none = out["missing"].withColumn("reason", F.lit("no matrix given"))
+        return R.delta(R.results(fits.unionByName(none, allowMissingColumns=True), ranking.adjustments(out["codons"])))
+
+    return scoring.rounded(on_both_trees(spark, sf, work))
+
+
+KAPPAS, ALPHAS = (0.5, 3.5, 0.25), (0.25, 1.0, 0.25)
+KAPPAS_2D = (0.5, 3.5, 1.0)
+
+
+def _values(bounds):
+    low, high, step = bounds
+    return [low + k * step for k in range(int((high - low) / step + 1e-9) + 1)]
+
+
+def _surface_sql(classes, kappas, tag):
+    """HKY with observed frequencies on both trees for every kappa: an alignment (family * 100 + place of kappa) each."""
+    n = len(kappas)
+    own = ("select o.family * 100 + z family, o.p0, o.p1, o.p2, o.p3, k.kappa from (select family, "
+           + ", ".join(f"count(*) filter (ch = '{b}') / count(*) p{i}" for i, b in enumerate("ACGT"))
+           + " from ksites where ch <> '-' group by 1) o cross join (select unnest([" + ", ".join(f"{k!r}::double" for k in kappas)
+           + f"]) kappa, unnest(range(0, {n})) z) k")
+    return f"""
+ks{tag} as (select family * 100 + z family, seq_id, pos, ch from ksites cross join (select unnest(range(0, {n})) z)),
+ek{tag} as (select tree_id, family * 100 + z family, node, parent, "length", leaf_seq from edges cross join (select unnest(range(0, {n})) z)),
+""" + prune_by(classes, tag, own, n)
 
 
-@query("lnl_surface_1d")
+def prune_by(classes, tag, own, n):
+    return scoring.prune_sql(classes=classes, tag=tag, source=f"ks{tag}", edges=f"ek{tag}", pi=own).replace(
+        "from kept)", f"from (select family * 100 + z family, seq_id from kept cross join (select unnest(range(0, {n})) z)))")
+
+
+@query("lnl_surface_1d", with_("clean edges", """
+select tree_id, family // 100 family, 'HKY' "name", round([""" + ", ".join(map(repr, _values(KAPPAS))) + """][family % 100 + 1]::double, 6) "value", """
+    + r("sum(n * lnl)", 4) + " lnl from siteq group by 1, 2, 4", _surface_sql(scoring.ONE, _values(KAPPAS), "q")))
 def lnl_surface_1d(spark, sf):
-    out = fitted(spark, sf, ["K2P"], 3)
-    return scoring.rounded(fit.surface(out["fitted"], out["blocks"], "kappa"))
+    """lnL of HKY over kappa on the caller's grid, at the given branches."""
+    def work(codons, tree):
+        out = ranking.prepared(codons, tree, models=["HKY"])
+        return fit.surface(out["tasks"], out["blocks"], "kappa", KAPPAS)
+
+    return on_both_trees(spark, sf, work).select("tree_id", "family", "name", F.round("value", 6).alias("value"), rnd(F.col("lnl"), 4).alias("lnl"))
+
 
+CLASSES_2D = tuple((4 * k + c, float(x), 0.25) for k, a in enumerate(_values(ALPHAS)) for c, x in enumerate(M.gamma_rates(a)))
 
-@query("lnl_surface_2d")
+
+@query("lnl_surface_2d", with_("clean edges", """
+select tree_id, family // 100 family, 'HKY+4dG' "name", round([""" + ", ".join(map(repr, _values(KAPPAS_2D))) + """][family % 100 + 1]::double, 6) value1,
+ round([""" + ", ".join(map(repr, _values(ALPHAS))) + "][a + 1]::double, 6) value2, " + r("sum(n * lnl)", 4) + """ lnl from (
+ select tree_id, family, pattern_id, n, class // 4 a, ln(sum(0.25 * exp(lnl))) lnl from siteq group by 1, 2, 3, 4, 5) group by 1, 2, 4, 5""",
+    _surface_sql(CLASSES_2D, _values(KAPPAS_2D), "q")))
 def lnl_surface_2d(spark, sf):
-    out = fitted(spark, sf, ["HKY+4dG"], 3)
-    return scoring.rounded(fit.surface_2d(out["fitted"], out["blocks"], "kappa", "alpha"))
+    """lnL of HKY+4dG over kappa and alpha on the caller's grid, at the given branches."""
+    def work(codons, tree):
+        out = ranking.prepared(codons, tree, models=["HKY+4dG"])
+        return fit.surface_2d(out["tasks"], out["blocks"], "kappa", "alpha", (KAPPAS_2D, ALPHAS))
+
+    return on_both_trees(spark, sf, work).select("tree_id", "family", "name", F.round("value1", 6).alias("value1"),
+                                                 F.round("value2", 6).alias("value2"), rnd(F.col("lnl"), 4).alias("lnl"))
 
 
 @query("snk_params")
 def snk_params(spark, sf):
-    out = fitted(spark, sf, ["HKY", "HKY+4dG"], 3)
     path = new_path(spark, "params")
-    Si.write_parameters(fit.parameters(out["fitted"]), path)
-    return spark.read.schema("family bigint, name string, parameter string, value double, lo double, hi double").json(path)
+
+    def work(codons, tree):
+        return fit.parameters(ranking.fit_models(codons, tree, models=["HKY", "HKY+4dG", "EQU+4dG", "CodonM0.0.F1X4"])["fitted"])
+
+    Si.write_parameters(on_both_trees(spark, sf, work), path)
+    return spark.read.schema("family bigint, name string, parameter string, value double, lo double, hi double, tree_id int").json(path)

@@ -185,26 +185,49 @@ def md_q_codon_emp(spark, sf):
     return out.withColumn("q", rnd(F.col("q"), 4))
 
 
-@query("md_pt", with_("pairs edges", "select family, node, i, j, " + r("""case when t < 5e-5 then (i = j)::int when t > 10 then pj
+@query("md_pt", with_("pairs edges", "select form, tree_id, family, node, i, j, " + r("""case when t < 5e-5 then (i = j)::int when t > 10 then pj
   else pj * (1 - e1) + (case when gi = gj then pj / pg * e1 + ((i = j)::int - pj / pg) * eg else 0 end) end""") + """ p from (
  select *, exp(-beta * t) e1, exp(-beta * t * (1 + pg * (kappa - 1))) eg from (
-  select e.family, node, length t, x.s i, y.s j, x.s % 2 gi, y.s % 2 gj, f.pi pj, kappa,
+  select form, tree_id, e.family, node, length t, x.s i, y.s j, x.s % 2 gi, y.s % 2 gj, f.pi pj, kappa,
    (select sum(pi) from obs o where o.family = e.family and o.state % 2 = x.s % 2) pg,
    1.0 / (2 * w.pr * w.py + 2 * kappa * (w.pag + w.pct)) beta
-  from edges e cross join bi x cross join bi y join obs f on f.family = e.family and f.state = y.s join kap k on k.family = e.family
+  from edges e cross join (values ('closed'), ('eigen')) v(form) cross join bi x cross join bi y join obs f on f.family = e.family and f.state = y.s join kap k on k.family = e.family
   join (select family, sum(case when state % 2 = 0 then pi else 0 end) pr, sum(case when state % 2 = 1 then pi else 0 end) py,
     product(case when state % 2 = 0 then pi else 1 end) pag, product(case when state % 2 = 1 then pi else 1 end) pct from obs group by 1) w
-   on w.family = e.family where tree_id = 0))""", KAPPA))
+   on w.family = e.family))""", KAPPA))
 def md_pt(spark, sf):
     n = A.nucleotide_counts(clean_sites(spark, sf))
     total = sum((F.col(f"n_{b}") for b in "ACGT"), F.lit(0))
     params = n.select("family", *[(F.col(f"n_{b}") / total).alias(f"pi_{b}") for b in "ACGT"]).join(kappa(spark, sf), "family")
-    t = X.edges(spark, sf).filter("tree_id = 0").select("family", "node", F.col("length").alias("t"))
-    out = M.pt_closed(t.join(params, "family"), ["family", "node"])
-    return out.select("family", "node", "i", "j", rnd(F.col("p")).alias("p"))
-
-
-@query("md_gamma")
+    keys = ["tree_id", "family", "node"]
+    t = X.edges(spark, sf).select(*keys, F.col("length").alias("t"))
+    closed = M.pt_closed(t.join(params, "family"), keys).withColumn("form", F.lit("closed"))
+    # the same from one decomposition a family, for any reversible Q
+    q, freq = (x.filter("model = 'HKY'").drop("model") for x in dna_q(spark, sf))
+    rows = M.pt_eigen(M.scale(q, freq, ["family"]), freq, t.select("family", "t").distinct(), ["family"])
+    eigen = rows.join(t, ["family", "t"]).select(*keys, "i", F.posexplode("p").alias("j", "p")).withColumn("form", F.lit("eigen"))
+    return closed.select("form", *keys, "i", "j", "p").unionByName(eigen.select("form", *keys, "i", "j", "p")).withColumn("p", rnd(F.col("p")))
+
+
+def _gamma_sql(cuts=3, halvings=60, terms=200):
+    """CTEs ending in gr(family, alpha, class, rate): class borders by halving, P(a, x) as its power series."""
+    def below(a, x):
+        each = f"[exp(k * ln({x}) - lgamma({a} + 1.0 + k) + lgamma({a} + 1.0)) for k in range(0, {terms})]"
+        return f"least(1.0, exp(-({x}) + {a} * ln({x}) - lgamma({a} + 1.0)) * list_sum({each}))"
+
+    return f""",
+al as (select family, least(greatest(kappa / 4, 0.05), 100.0) alpha from kap),
+hv as (select family, alpha, c, 0 step, -400.0::double lo, ln(alpha + 12 * sqrt(alpha) + 40)::double hi from al cross join (select unnest(range(1, {cuts + 1})) c)
+  union all select family, alpha, c, step + 1, case when p < c / {cuts + 1}.0 then (lo + hi) / 2 else lo end,
+   case when p < c / {cuts + 1}.0 then hi else (lo + hi) / 2 end
+  from (select *, {below('alpha', 'exp((lo + hi) / 2)')} p from hv where step < {halvings})),
+bd as (select family, alpha, c, {below('(alpha + 1.0)', 'exp((lo + hi) / 2)')} p from hv where step = {halvings}
+  union all select family, alpha, 0, 0.0 from al union all select family, alpha, {cuts + 1}, 1.0 from al),
+gr as (select family, alpha, c::int "class", case when alpha >= 100 then 1.0 else greatest(1e-12, {cuts + 1} * (lead(p) over (partition by family order by c) - p)) end rate
+  from bd qualify c < {cuts + 1})"""
+
+
+@query("md_gamma", with_("pairs", 'select family, alpha, "class", ' + r("rate") + " rate, 0.25 weight from gr", KAPPA + _gamma_sql()))
 def md_gamma(spark, sf):
     # one alpha per family, from its start value of kappa
     alpha = kappa(spark, sf).select("family", F.least(F.greatest(F.col("kappa") / 4, F.lit(0.05)), F.lit(100.0)).alias("alpha"))

@@ -73,9 +73,8 @@ select tree_id, family, case when i = 1 then j else i end node, hops::bigint hop
 where (i = 1 or j = 1) and hops <= 3 union all select distinct tree_id, family, 1, 0, false from edges""", NODED))
 def tr_within_depth(spark, sf):
     e = X.edges(spark, sf)
-    nodes = T.node_distances(e).select("tree_id", "family", "i", "j", F.col("hops").cast("bigint").alias("hops"))
-    near = T.within_depth(T.symmetric(nodes, T.all_nodes(e)), 1, 3, up_to=True)
-    return near.withColumn("at_depth", F.col("hops") == 3)
+    start = e.select("tree_id", "family").distinct().withColumn("node", F.lit(1))
+    return T.walk(e, start, 3, up_to=True).withColumn("at_depth", F.col("hops") == 3)
 
 
 @query("tr_prune", with_("clean clos", """
@@ -112,9 +111,8 @@ def tr_paint(spark, sf):
 
 
 def tree_splits(spark, sf):
-    """Splits keyed by one tree id, with leaf counts."""
-    return T.splits(X.edges(spark, sf)).select(
-        F.struct("tree_id", "family").alias("tree"), "side", F.size("every").alias("n_leaf"))
+    """Marks of the splits keyed by one tree id, with leaf counts."""
+    return T.split_marks(X.edges(spark, sf)).select(F.struct("tree_id", "family").alias("tree"), "side", "n_leaf")
 
 
 @query("tr_rf", with_("splits", """

@@ -31,12 +31,15 @@ def parse_switches(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, "layer", "section", "name").agg(F.max_by("value", "idx").alias("value"))
 
 
-def read_switches(spark: SparkSession, home: str | None, cwd: str | None) -> DataFrame:
+def read_switches(spark: SparkSession, home: str | None, cwd: str | None, key=None) -> DataFrame:
+    """`parse_switches` of the files of both layers. key: a column of `path` that tells apart the settings of many runs."""
     out = None
     for layer, path in (("home", home), ("cwd", cwd)):
         if path is not None:
-            one = read_lines(spark, path).select(F.lit(layer).alias("layer"), "idx", "line")
+            one = read_lines(spark, path).select(*([key] if key is not None else []), F.lit(layer).alias("layer"), "idx", "line")
             out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no file of switches is given")
     return parse_switches(out)
 
 
