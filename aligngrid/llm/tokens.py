@@ -126,10 +126,15 @@ class Side:
                 return flat, np.diff(stop + 1, prepend=0)
         return self.one_by_one(chunks)
 
-    def learn(self, runs: list[tuple[bool, list[str]]]) -> None:
-        made = [(self.one_by_one if odd else self.strung)(chunks) for odd, chunks in runs]
-        self.ids = np.concatenate([self.ids, *(x for x, _ in made)])
-        self.counts = np.concatenate([self.counts, *(n for _, n in made)])
+    def learn(self, runs: list[list[str]], odd: list[str], place: np.ndarray) -> None:
+        """Ids of new chunks: the runs' and then the odd ones; place: where each of them stands among the new ones."""
+        made = [self.strung(chunks) for chunks in runs] + ([self.one_by_one(odd)] if odd else [])
+        flat, counts = (np.concatenate(x) for x in zip(*made))
+        first = np.cumsum(counts) - counts
+        order = np.argsort(place)
+        take = counts[order]
+        at = np.repeat(first[order] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+        self.ids, self.counts = np.concatenate([self.ids, flat[at]]), np.concatenate([self.counts, take])
 
     def keep(self, stay: np.ndarray) -> None:
         self.ids, self.counts = self.ids[np.repeat(stay, self.counts)], self.counts[stay]
@@ -166,16 +171,20 @@ class Encoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Ids of new chunks, in the order of their numbers."""
-        joined, odd = [], []
-        for key in keys:
-            plain = key == key.strip() and key and not key.startswith(_AS_IS) and MARK not in key
-            odd.append(not plain)
-            joined.append(" " + key if plain or not key.startswith(_AS_IS) else key[len(_AS_IS):])
-        part = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))) // CALL * 2 + np.array(odd)
+        plain, odd, where = [], [], ([], [])
+        for i, key in enumerate(keys):
+            if key and key == key.strip() and MARK not in key and not key.startswith(_AS_IS):
+                plain.append(" " + key)
+                where[0].append(i)
+            else:
+                odd.append(key[len(_AS_IS):] if key.startswith(_AS_IS) else " " + key)
+                where[1].append(i)
+        part = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain))) // CALL
         cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-        runs = [(odd[a], joined[a:b]) for a, b in zip(cut, [*cut[1:], len(joined)])]
+        runs = [plain[a:b] for a, b in zip(cut, [*cut[1:], len(plain)])]
+        place = np.array(where[0] + where[1], np.int64)
         for side in self.sides:
-            side.learn(runs)
+            side.learn(runs, odd, place)
         self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
 
     def encode(self, texts: list[str], lead: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
