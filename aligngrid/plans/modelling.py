@@ -93,9 +93,25 @@ def md_scale(spark, sf):
         *keys, "i", "j", rnd(F.col("q")).alias("q"), rnd(F.col("rate")).alias("rate"))
 
 
-@query("md_reversible", with_("pairs", "select family, model, true balanced, true rows_zero from kap cross join mo", DNAQ))
+SKEWED = """,
+qq as (select * from q union all select family, 'skewed', i, j, case when i = 0 and j = 1 then 2 * q else q end from q where model = 'REV'),
+fq as (select * from fr union all select family, 'skewed', state, pi from fr where model = 'REV'),
+gap as (select a.family, a.model, max(abs(fa.pi * a.q - fb.pi * b.q)) gap from qq a
+  join qq b on b.family = a.family and b.model = a.model and b.i = a.j and b.j = a.i
+  join fq fa on fa.family = a.family and fa.model = a.model and fa.state = a.i
+  join fq fb on fb.family = a.family and fb.model = a.model and fb.state = a.j where a.i < a.j group by 1, 2),
+row_sum as (select family, model, max(abs(s)) s from (select family, model, i, sum(q) s from qq group by 1, 2, 3) group by 1, 2)"""
+
+
+@query("md_reversible", with_("pairs", "select family, model, gap < 1e-6 balanced, s < 1e-6 rows_zero from gap join row_sum using (family, model)",
+    DNAQ + SKEWED))
 def md_reversible(spark, sf):
-    return M.reversible(*dna_q(spark, sf), ["family", "model"])
+    """The five models are reversible; one of them with a single rate doubled is not."""
+    q, freq = dna_q(spark, sf)
+    rev = q.filter("model = 'REV'").withColumn("model", F.lit("skewed"))
+    skewed = rev.withColumn("q", F.when((F.col("i") == 0) & (F.col("j") == 1), 2 * F.col("q")).otherwise(F.col("q")))
+    freqs = freq.unionByName(freq.filter("model = 'REV'").withColumn("model", F.lit("skewed")))
+    return M.reversible(q.unionByName(skewed.select(*q.columns)), freqs, ["family", "model"])
 
 
 AAF = """
