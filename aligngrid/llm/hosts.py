@@ -135,14 +135,13 @@ def rated_hosts(hosts: DataFrame, outcomes: DataFrame, deviations: float = DEVIA
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url: str = "url",
-           rules: list[tuple[str, str]] = RULES, limit: float = LIMIT, deviations: float = DEVIATIONS,
-           inherit: bool = True) -> DataFrame:
+           rules: list[tuple[str, str]] = RULES, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
     """`pages` with host, path, rule, verdict, labelled (pages of the host) and bound.
 
     outcomes: (id_col, bad boolean or 0/1); a page is bad if one of its outcomes is. The verdict is the rule's, else `block`
     where the lower bound of the host's bad rate is above `limit`, else `allow`. A host without a labelled page has the bound of
-    its registered domain, else of its suffix, else of the whole; with `inherit` false it is allowed. An empty host is allowed. Repeated pages are judged alike and count each; an empty table gives an empty result; columns of
-    `pages` named as the new ones are replaced.
+    its registered domain, else of its suffix, else of the whole. An empty host is allowed. Repeated pages are judged alike and
+    count each; an empty table gives an empty result; columns of `pages` named as the new ones are replaced.
     """
     own = pages.drop("verdict", "labelled", "bound", "host", "path", "rule", "rule_verdict")
     parts = with_rules(own, url, rules)
@@ -150,8 +149,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", ur
         F.max("bad").alias("bad"))
     known = parts.select("host", F.col(id_col).alias("_id")).where("host <> ''").join(label, "_id")
     name = fresh("_host", parts)
-    rated = (rated_hosts(parts.where("host <> ''").select("host").distinct(), known, deviations) if inherit
-             else reputation(known, deviations))
+    rated = rated_hosts(parts.where("host <> ''").select("host").distinct(), known, deviations)
     rated = cut(rated.select(F.col("host").alias(name), "labelled", "bound"))
     out = parts.join(_small(rated), parts.host == F.col(name), "left").drop(name)
     own_verdict = F.when(F.coalesce("bound", F.lit(0.0)) > limit, "block").otherwise("allow")
@@ -161,9 +159,9 @@ def judged(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", ur
 
 
 def op8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on the url of every page; outcomes are the quality labels of the page numbers. The SQL allows hosts without labels."""
+    """Verdict on the url of every page; outcomes are the quality labels of the page numbers."""
     outcomes = table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "quality = 0 AS bad")
-    out = judged(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, inherit=False)
+    out = judged(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes)
     return out.select("page_id", "host", "path", "rule", "verdict", "labelled", F.round("bound", 4).alias("bound"))
 
 
@@ -197,16 +195,21 @@ label AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FRO
 counted AS (SELECT host, count(*) AS n, sum(bad) AS k FROM parts JOIN label ON doc_id = page_id WHERE host <> ''
   GROUP BY host),
 named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name,
-  string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM counted),
+  string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM (SELECT DISTINCT host FROM parts WHERE host <> '')),
 tailed AS (SELECT *, CASE WHEN len(labels) < 2 OR regexp_matches(name, '^[0-9.]+$') THEN name
   WHEN labels[-2] || '.' || labels[-1] IN ({_TWO}) THEN labels[-2] || '.' || labels[-1] ELSE labels[-1] END AS suffix
   FROM named),
-hosts AS (SELECT host, n, k, suffix, CASE WHEN suffix = name OR len(labels) <= len(string_split(suffix, '.')) + 1 THEN name
+placed AS (SELECT host, suffix, CASE WHEN suffix = name OR len(labels) <= len(string_split(suffix, '.')) + 1 THEN name
   ELSE array_to_string(labels[len(labels) - len(string_split(suffix, '.')):], '.') END AS domain FROM tailed),
+hosts AS (SELECT * FROM placed JOIN counted USING (host)),
 {_level_sql(["suffix"], "")}, {_level_sql(["suffix", "domain"], "suffix_rate")},
 {_level_sql(["suffix", "domain", "host"], "domain_rate")},
-rated AS (SELECT host, n AS labelled,
-  greatest(0.0, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (total + 1))) AS bound FROM host_rate)
+whole AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS rate, coalesce(sum(n), 0) + 1.0 AS total FROM hosts),
+nearest AS (SELECT p.host, coalesce(h.n, 0) AS labelled, coalesce(h.rate, d.rate, s.rate, w.rate) AS rate,
+    coalesce(h.total, d.total, s.total, w.total) AS total
+  FROM placed p CROSS JOIN whole w LEFT JOIN host_rate h ON h.host = p.host
+  LEFT JOIN domain_rate d ON d.suffix = p.suffix AND d.domain = p.domain LEFT JOIN suffix_rate s ON s.suffix = p.suffix),
+rated AS (SELECT host, labelled, greatest(0.0, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (total + 1))) AS bound FROM nearest)
 SELECT page_id, m.host, path, split_part(hit, '|', 2) AS rule,
   CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 1) WHEN coalesce(bound, 0) > {LIMIT} THEN 'block' ELSE 'allow' END
     AS verdict,
