@@ -93,10 +93,42 @@ def joined(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(named, docs.source.eqNullSafe(F.col("_source"))).drop("_source")
 
 
+def _told_apart(df: DataFrame, key: list[str], number: str) -> DataFrame:
+    """`df` with `number`, 0, 1, ... for rows that are equal in `key`, in the order of a digest of all their columns.
+
+    Only rows that share a key with another row are stored and sorted, in ranges of key and digest: a key of any number of rows
+    is counted a range at a time.
+    """
+    names = [f"_k{i}" for i in range(len(key))]
+    shared = cut(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+        *[F.col(k).alias(n) for k, n in zip(key, names)]))
+    if shared.isEmpty():
+        return df.withColumn(number, F.lit(0).cast("long"))
+    same = F.lit(True)
+    for k, n in zip(key, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    if shared.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        shared = F.broadcast(shared)
+    digest, row, block, before = (fresh(x, df) for x in ("_digest", "_row", "_block", "_before"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = df.join(shared, same, "left_semi").withColumn(digest, F.xxhash64(*df.columns))
+    many = store(many.withColumn(row, F.monotonically_increasing_id()), "equal-keys")
+    many = store(many.repartitionByRange(parts, *key, digest, row).withColumn(block, F.spark_partition_id()), "equal-keys")
+    ranges = many.groupBy(*key, block).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range that a key reaches into
+    earlier = F.sum("_n").over(Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(block).alias("_b"),
+                           F.coalesce(earlier, F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(*key, block).orderBy(digest, row)) - 1
+    numbered = many.withColumn(number, inside).join(ranges, same & (F.col(block) == F.col("_b")))
+    numbered = numbered.withColumn(number, (F.col(number) + F.col(before)).cast("long"))
+    alone = df.join(shared, same, "left_anti").withColumn(number, F.lit(0).cast("long"))
+    return alone.unionByName(numbered.select(*alone.columns))
+
+
 def _cuts(open_docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, cut_rank, cut_id): the last document that is taken, in the order of rank and id.
+    """(source, cut_rank, cut_id, cut_number): the last document that is taken, in the order of rank, id and number.
 
-    open_docs: source, doc_id, size, rank in (0, 1). sources: source, left, the size to reach. The sum of the sizes up to
+    open_docs: source, doc_id, number, size, rank in (0, 1). sources: source, left, the size to reach. The sum of the sizes up to
     the cut is as near to `left` as whole documents allow.
     """
     state = sources.select("source", "left", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
@@ -115,16 +147,17 @@ def _cuts(open_docs: DataFrame, sources: DataFrame) -> DataFrame:
             (F.col("low") + F.col("first.bin") * width).alias("low"),
             (F.col("low") + (F.col("first.bin") + 1) * width).alias("high")))
     last = joined(open_docs, state).where("rank >= low and rank < high")
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "number").rowsBetween(
         Window.unboundedPreceding, 0))
     near = last.withColumn("until", run).groupBy("source").agg(
-        F.min_by(F.struct("rank", "doc_id"), F.struct(F.abs(F.col("until") - F.col("left")), F.col("until"))).alias("cut"),
+        F.min_by(F.struct("rank", "doc_id", "number"), F.struct(F.abs(F.col("until") - F.col("left")), F.col("until"))).alias("cut"),
         F.min(F.abs(F.col("until") - F.col("left"))).alias("off"), F.first("left").alias("left"),
         F.first("low").alias("low"))
     # Taking none of the last bin may be nearer than taking its first.
     return near.select("source", F.when(F.col("off") <= F.col("left"), F.col("cut.rank")).otherwise(F.col("low"))
                        .alias("cut_rank"),
-                       F.when(F.col("off") <= F.col("left"), F.col("cut.doc_id")).alias("cut_id"))
+                       *[F.when(F.col("off") <= F.col("left"), F.col(f"cut.{x}")).alias(f"cut_{y}")
+                         for x, y in (("doc_id", "id"), ("number", "number"))])
 
 
 def pareto_mix(df: DataFrame, size: Column, *, id_col: str = "doc_id", source: str = "source",
@@ -136,50 +169,54 @@ def pareto_mix(df: DataFrame, size: Column, *, id_col: str = "doc_id", source: s
     null or negative: 0). weights: of the sources in code point order, repeating; null is the last source.
 
     The copies of a row never exceed `max_copies`; the sizes that a source gives reach its target but for one document.
-    A rerun takes the same rows. Rows that share an id are told apart by their size only and may tie: they are taken
-    together. Rows of size 0 are never taken. An empty table gives an empty result; columns named as the new ones are
+    A rerun takes the same rows. Rows that share source, id and size are numbered and drawn one by one. Rows of size 0 are never taken. An empty table gives an empty result; columns named as the new ones are
     replaced.
     """
     own = df.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     like = F.lit(1.0) if preference is None else F.greatest(F.coalesce(preference.cast("double"), F.lit(0.0)), F.lit(0.0))
     sized = own.withColumn("mix_size", F.coalesce(size.cast("long"), F.lit(0)))
+    number = fresh("_number", sized)
+    sized = _told_apart(sized, [source, id_col, "mix_size"], number)
     docs = store(sized.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                              F.col("mix_size").alias("size"), like.alias("preference")), "sizes")
+                              F.col("mix_size").alias("size"), like.alias("preference"), F.col(number).alias("number")), "sizes")
     wheel = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                          (F.col("place") % len(weights) + 1).cast("int"))
     sources = targets(ranked_sources(docs), wheel, max_copies)
     sources = _scale(docs, sources, max_copies)
     plan = joined(docs, sources)
 
-    def decided(size, like, source, ident, scale):
+    def decided(size, like, source, ident, number, scale):
         """Expected and certain copies, and the rank of the fraction."""
         expected = F.when((size > 0) & (like > 0), F.least(F.lit(float(max_copies)), scale * like)).otherwise(0.0)
         sure = F.floor(expected + 1e-9)
         p = F.least(F.greatest(expected - sure, F.lit(0.0)), F.lit(1 - 1e-9))
-        u = _number_of(seed, source, ident)
+        u = F.when(number == 0, _number_of(seed, source, ident)).otherwise(_number_of(seed, source, ident, number))
         odds = (u / (1 - u)) / (p / (1 - p))
         return expected, sure, F.when(p > 1e-9, odds / (1 + odds))
 
-    _, sure, rank = decided(F.col("size"), F.col("preference"), F.col("source"), F.col("doc_id"), F.col("scale"))
-    chosen = store(plan.select("doc_id", "source", "size", sure.alias("sure"), rank.alias("rank")), "ranks")
+    _, sure, rank = decided(F.col("size"), F.col("preference"), F.col("source"), F.col("doc_id"), F.col("number"), F.col("scale"))
+    chosen = store(plan.select("doc_id", "number", "source", "size", sure.alias("sure"), rank.alias("rank")), "ranks")
     given = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("sure")).alias("given"))
     left = sources.join(given, sources.source.eqNullSafe(given.source)).select(
         sources.source, (F.col("target") - F.col("given")).alias("left"))
-    cuts = _cuts(chosen.where("rank is not null").select("source", "doc_id", "size", "rank"),
+    cuts = _cuts(chosen.where("rank is not null").select("source", "doc_id", "number", "size", "rank"),
                  left.where("left > 0"))
     facts = sources.join(cuts.withColumnRenamed("source", "_s"), sources.source.eqNullSafe(F.col("_s")), "left").select(
-        sources.source, "source_size", "target", "scale", "cut_rank", "cut_id")
+        sources.source, "source_size", "target", "scale", "cut_rank", "cut_id", "cut_number")
     facts = cut(facts)
     if facts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         facts = F.broadcast(facts)
     # What the plan says of a source is one column beside the own ones, under a name that they do not have.
     fact, name, liking = (fresh(x, own) for x in ("_fact", "_name", "_liking"))
-    facts = facts.select(F.col("source").alias(name), F.struct("source_size", "target", "scale", "cut_rank", "cut_id").alias(fact))
+    facts = facts.select(F.col("source").alias(name), F.struct(
+        "source_size", "target", "scale", "cut_rank", "cut_id", "cut_number").alias(fact))
     full = sized.withColumn(liking, like).join(facts, F.col(source).cast("string").eqNullSafe(F.col(name)))
     of = lambda x: F.col(fact)[x]
-    _, sure, rank = decided(F.col("mix_size"), F.col(liking), F.col(source).cast("string"), F.col(id_col), of("scale"))
-    more = F.coalesce((rank < of("cut_rank")) | ((rank == of("cut_rank")) & (
-        F.coalesce(F.col(id_col), of("cut_id")) <= of("cut_id"))), F.lit(False))
+    _, sure, rank = decided(F.col("mix_size"), F.col(liking), F.col(source).cast("string"), F.col(id_col), F.col(number), of("scale"))
+    # Equal ranks are taken in the order of id (null first) and number.
+    has, last = F.col(id_col).isNotNull(), of("cut_id").isNotNull()
+    before = (~has & last) | (F.col(id_col) < of("cut_id")) | (F.col(id_col).eqNullSafe(of("cut_id")) & (F.col(number) <= of("cut_number")))
+    more = F.coalesce((rank < of("cut_rank")) | ((rank == of("cut_rank")) & F.coalesce(before, F.lit(False))), F.lit(False))
     return full.select(
         *own.columns, "mix_size", of("source_size").alias("mix_source_size"), of("target").alias("mix_target"),
         (sure + more.cast("int")).cast("long").alias("mix_copies"))
