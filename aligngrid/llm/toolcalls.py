@@ -1,14 +1,15 @@
 """Chat formatting: tool calls joined to their results, put in topological order, validated and written as canonical JSON.
 
 Calls and results meet in a hash join on their identifier; repeated results are reduced to the first before the join. A call
-names the calls that it needs; its level is one more than the highest of those. Levels are found in rounds over the calls that are
-still open (as many rounds as the longest chain). Positions inside a conversation are counted in ranges of the sorted rows, so a
+names the calls that it needs; its level is one more than the highest of those. The needs of a conversation are ordered in one pass of
+the task that gets them; a conversation of more than HELD needs is ordered in rounds over the calls that are still open instead. Positions inside a conversation are counted in ranges of the sorted rows, so a
 conversation with a third of all calls is not sorted in one task. JSON is parsed row by row in Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,7 +100,48 @@ def positions(df: DataFrame, group: list[str], order: list[Column], name: str =
         "_part", "_p", "_before", "_inside", *[f"_{i}" for i in range(len(group))])
 
 
-def levels(calls: DataFrame) -> DataFrame:
+#: Needs of a conversation that a task holds whole.
+HELD = 200_000
+
+
+def ordered(edges: list[tuple]) -> dict:
+    """Level of every call that has needs, from (call, need) pairs; null on a cycle or behind one."""
+    users, open_ = defaultdict(list), Counter()
+    for call, need in edges:
+        users[need].append(call)
+        open_[call] += 1
+    level: dict = dict.fromkeys(open_)
+    ready = deque((need, 0) for need in users if need not in open_)
+    while ready:  # calls leave in the order of their level
+        done, n = ready.popleft()
+        for call in users[done]:
+            open_[call] -= 1
+            if not open_[call]:
+                level[call] = n + 1
+                ready.append((call, n + 1))
+    return level
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, call_id, need) sorted by conversation -> (conv_id, call_id, level)."""
+    def made(conv, edges):
+        level = ordered(edges)
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(level), pa.int64()), pa.array(list(level), pa.string()),
+                                           pa.array(list(level.values()), pa.int32())], names=["conv_id", "call_id", "level"])
+
+    now, edges = None, []
+    for batch in batches:
+        for conv, call, need in zip(*(c.to_pylist() for c in batch.columns)):
+            if conv != now and edges:
+                yield made(now, edges)
+                edges = []
+            now = conv
+            edges.append((call, need))
+    if edges:
+        yield made(now, edges)
+
+
+def levels(calls: DataFrame, held: int = HELD) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need no known call, null on a cycle or behind one.
 
     calls: conv_id, call_id, needs array<string>; needs name calls of the same conversation, others are ignored.
@@ -108,15 +150,26 @@ def levels(calls: DataFrame) -> DataFrame:
     edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     edges = cut(edges.join(known.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"))
     waits = edges.select("conv_id", "call_id").distinct()
-    done = cut(known.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    found, open_, n = done, edges, 0
+    free = known.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    large = cut(edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > held).select("conv_id"))
+    small = edges.join(large, "conv_id", "left_anti").select("conv_id", "call_id", "need")
+    found = free.union(python_map(small.repartition("conv_id").sortWithinPartitions("conv_id"), _ordered,
+                                  "conv_id bigint, call_id string, level int"))
+    if large.isEmpty():
+        return found
+    return found.union(_levels_by_rounds(edges.join(large, "conv_id", "left_semi"), free))
+
+
+def _levels_by_rounds(edges: DataFrame, free: DataFrame) -> DataFrame:
+    """Levels of the calls of `edges`, a round for each level. free: the calls of level 0."""
+    done, open_, found, n = free, edges, None, 0
     while True:
         # Needs of the last level are met; a call whose needs are all met has the next level.
         left = cut(open_.join(done.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
         n += 1
         done = cut(open_.select("conv_id", "call_id").distinct().join(
             left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(n)))
-        found, open_ = found.union(done), left
+        found, open_ = done if found is None else found.union(done), left
         if done.isEmpty():
             break
     stuck = open_.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))

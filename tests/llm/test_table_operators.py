@@ -245,14 +245,30 @@ def test_tool_calls(spark):
         assert toolcalls.canonical(json.loads(r.json)) == r.json
 
 
-def test_levels_of_a_random_graph(spark):
+def test_levels_of_a_long_chain(spark):
+    chain = [(7, f"c{k}", [f"c{k - 1}"] if k else None) for k in range(1000)]
+    other = [(8, "a", ["b"]), (8, "b", ["a"]), (8, "c", ["a"]), (8, "d", ["d"]), (8, "e", []), (None, "x", ["y"]), (9, None, ["e"])]
+    df = spark.createDataFrame(chain + other, "conv_id long, call_id string, needs array<string>")
+    got = {(x.conv_id, x.call_id): x.level for x in toolcalls.levels(df.where("conv_id is not null and call_id is not null")).collect()}
+    assert all(got[(7, f"c{k}")] == k for k in range(1000))
+    assert [got[(8, c)] for c in "abcde"] == [None, None, None, None, 0] and len(got) == 1005
+    conversations = spark.createDataFrame(
+        [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(600)], "conv_id long, turn long, role string, text string")
+    calls, results = toolcalls.derived(conversations)
+    each = F.when(F.col("turn") > 1, F.array(F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string"))))
+    made = toolcalls.linked_calls(calls.withColumn("needs", each), results).where("status <> 'orphan'").collect()
+    assert sorted((r.level, r.turn) for r in made) == [(k, 2 * k + 1) for k in range(300)]
+
+
+@pytest.mark.parametrize("held", [toolcalls.HELD, 3])
+def test_levels_of_a_random_graph(spark, held):
     r = random.Random(5)
     calls = [(k % 3, f"c{k}", [f"c{j}" for j in range(k % 3, k, 3) if r.random() < 0.2]) for k in range(60)]
     want = {}
     for conv, c, needs in calls:
         want[(conv, c)] = 1 + max([want[(conv, d)] for d in needs], default=-1)
     df = spark.createDataFrame(calls, "conv_id long, call_id string, needs array<string>")
-    assert {(x.conv_id, x.call_id): x.level for x in toolcalls.levels(df).collect()} == want
+    assert {(x.conv_id, x.call_id): x.level for x in toolcalls.levels(df, held).collect()} == want
 
 
 def test_positions_of_a_large_group(spark):
@@ -266,6 +282,19 @@ def test_positions_of_a_large_group(spark):
         assert [p for *_, p in sorted(rows)] == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("ids", [[7], [7, None]])
+def test_rows_of_one_id_are_drawn_one_by_one(spark, ids):
+    rows = [(ids[i % len(ids)], f"w {i % 3}", "A") for i in range(1000)] + [(i + 10, "x y", "A") for i in range(1000)]
+    rows += [(i + 5000, "z z", "B") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.pareto_mix(df, mixing.n_words()).where("source = 'A'").collect()
+    assert abs(sum(r.mix_size * r.mix_copies for r in got) - got[0].mix_target) <= 2
+    of_one = [r.mix_copies for r in got if r.doc_id in ids]
+    assert len(of_one) == 1000 and len(set(of_one)) == 2
+    again = mixing.pareto_mix(df.repartition(3), mixing.n_words()).where("source = 'A'").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+
+
 def test_rules_and_reputation(spark):
     urls = ["http://EXAMPLE.com/en/x?a", "https://www.example.com/en/", "x://b.net/es/1#2", "http://net/fr/", "http://com", "nothing", None,
             "a://b://c.com/x", "http://example.com/de", "http://notexample.com/en/"]
