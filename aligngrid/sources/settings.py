@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aligngrid.functions import scalar as S
 from aligngrid.operators.recode import listagg
-from aligngrid.sources.lines import read_lines
+from aligngrid.sources.lines import lines_of, read_bundles, read_lines
 
 
 def parse_switches(lines: DataFrame) -> DataFrame:
@@ -31,12 +31,14 @@ def parse_switches(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, "layer", "section", "name").agg(F.max_by("value", "idx").alias("value"))
 
 
-def read_switches(spark: SparkSession, home: str | None, cwd: str | None, key=None) -> DataFrame:
-    """`parse_switches` of the files of both layers. key: a column of `path` that tells apart the settings of many runs."""
+def read_switches(spark: SparkSession, home: str | None, cwd: str | None, key=None, bundled: bool = False) -> DataFrame:
+    """`parse_switches` of the files of both layers. key: a column of `path` that tells apart the settings of many runs. bundled: the
+    files are in bundles (`lines.write_bundles`)."""
     out = None
     for layer, path in (("home", home), ("cwd", cwd)):
         if path is not None:
-            one = read_lines(spark, path).select(*([key] if key is not None else []), F.lit(layer).alias("layer"), "idx", "line")
+            lines = lines_of(read_bundles(spark, path)) if bundled else read_lines(spark, path)
+            one = lines.select(*([key] if key is not None else []), F.lit(layer).alias("layer"), "idx", "line")
             out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no file of switches is given")
@@ -59,12 +61,15 @@ def resolve_switches(switches: DataFrame) -> DataFrame:
         *keys, "section", F.col("name").alias("switch"), F.coalesce("cwd", "home", F.lit(True)).alias("is_on"))
 
 
-def read_models(spark: SparkSession, path: str) -> DataFrame:
-    """Saved model files: records end with ';' -> model_id (path), record, key, name, value."""
-    raw = spark.read.option("lineSep", ";").option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("model_id"), F.monotonically_increasing_id().alias("id"), F.trim(
-            F.translate("value", "\r\n", "  ")).alias("t"))
-    return parse_models(raw)
+def read_models(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Saved model files: records end with ';' -> model_id (path), record, key, name, value. bundled: as in `read_switches`."""
+    if bundled:
+        raw = read_bundles(spark, path).select(F.col("path").alias("model_id"), F.explode(F.split("text", ";")).alias("value"))
+        raw = raw.select("model_id", F.monotonically_increasing_id().alias("id"), "value")
+    else:
+        raw = spark.read.option("lineSep", ";").option("recursiveFileLookup", True).text(path).select(
+            F.col("_metadata.file_path").alias("model_id"), F.monotonically_increasing_id().alias("id"), "value")
+    return parse_models(raw.select("model_id", "id", F.trim(F.translate("value", "\r\n", "  ")).alias("t")))
 
 
 def parse_models(records: DataFrame) -> DataFrame:
