@@ -13,11 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from aligngrid.operators import kernel
 from aligngrid.operators import models as M
@@ -30,6 +28,8 @@ KEYS = ["tree_id", "family"]
 ONE = ((0, 1.0, 1.0),)
 #: Nodes of a tree that a task holds; patterns of a block and cells (sequences x patterns) of it, one pattern at least.
 TREE_NODES, PATTERNS, CELLS = 20_000, 512, 1 << 18
+#: Blocks whose results a task holds; rows of results that it gives out at a time, a node's at least.
+SLICE, ROWS_OUT = 64, 1 << 16
 
 
 def pattern_blocks(patterns: DataFrame) -> DataFrame:
@@ -76,6 +76,21 @@ def _block(states: str, nodes, parents, lengths, ranks, pi, kappa, text: str, n:
     return kernel.Block(core, False, 0, pi, None, up, leaf, cells, np.ones(n)), x, ids
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, SLICE at a time: what is made of a block is much larger than its row."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            yield batch.slice(low, SLICE)
+
+
+def _cells(column: pa.Array) -> list:
+    """Values of a column, lists as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _large(edges: DataFrame) -> DataFrame | None:
     """Keys of the trees that no task holds whole."""
     large = edges.groupBy(*KEYS).count().filter(F.col("count") > TREE_NODES).select(*KEYS)
@@ -94,22 +109,26 @@ def site_likelihood(patterns: DataFrame, edges: DataFrame, sequences: DataFrame,
     large = _large(edges)
     held = ranked if large is None else ranked.join(large, KEYS, "left_anti")
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def pruned(nodes: pd.Series, parents: pd.Series, lengths: pd.Series, ranks: pd.Series, pi: pd.Series, kappa: pd.Series,
-               text: pd.Series, ids: pd.Series) -> pd.Series:
-        out = []
-        for *tree, p, k, t, i in zip(nodes, parents, lengths, ranks, pi, kappa, text, ids):
-            block, x, _ = _block(states, *tree, p, k, t, len(i))
-            out.append(block.class_lnl(x, rates).ravel())
-        return pd.Series(out)
+    names = np.array([c for c, _, _ in classes], np.int32)
+    rows = _rows(patterns, held, params, states).select(*KEYS, "nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            place, kind, of, lnl = [], [], [], []
+            for r, (*tree, pi, kappa, text, ids) in enumerate(zip(*(_cells(part.column(k)) for k in range(2, part.num_columns)))):
+                block, x, _ = _block(states, *tree, pi, kappa, text, len(ids))
+                lnl.append(block.class_lnl(x, rates).ravel())
+                place.append(np.full(len(names) * len(ids), r))
+                kind.append(np.repeat(names, len(ids)))
+                of.append(np.tile(ids, len(names)))
+            place = pa.array(np.concatenate(place))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(place), part.column(1).take(place), *(pa.array(np.concatenate(z)) for z in (kind, of, lnl))],
+                names=[*KEYS, "class", "pattern_id", "lnl"])
 
     ship(edges.sparkSession)
-    rows = _rows(patterns, held, params, states).select(
-        *KEYS, "ids", pruned("nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids").alias("v"))
-    n = F.size("ids")
-    per = F.array(*[F.struct(F.lit(c).alias("class"), F.arrays_zip(
-        F.col("ids").alias("pattern_id"), F.slice("v", k * n + 1, n).alias("lnl")).alias("z")) for k, (c, _, _) in enumerate(classes)])
-    out = rows.select(*KEYS, F.inline(per)).select(*KEYS, "class", F.inline("z"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEYS)
+    out = rows.mapInArrow(run, f"{kinds}, class int, pattern_id {rows.schema['ids'].dataType.elementType.simpleString()}, lnl double")
     if large is not None:
         own = edges.join(large, KEYS, "left_semi")
         parts = partials_by_level(patterns, with_ranks(with_classes(own, classes), sequences), Tr.closure(own), params, states)
@@ -132,22 +151,32 @@ def partials(patterns: DataFrame, edges: DataFrame, sequences: DataFrame, params
     kinds = [rows.schema[k].dataType.simpleString() for k in KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree_id, family, *tree, pi, kappa, text, ids in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in _slices(batches):
+            held_rows, made = 0, []
+            for r, (*tree, pi, kappa, text, ids) in enumerate(zip(*(_cells(part.column(k)) for k in range(2, part.num_columns)))):
                 block, x, node_ids = _block(states, *tree, pi, kappa, text, len(ids))
+                n = len(names) * len(ids)
+                kind, of = np.repeat(np.array(names, np.int32), len(ids)), np.tile(ids.astype(np.int64), len(names))
                 for node, (v, scale) in zip(node_ids, block.vectors(x, rates)):
                     with np.errstate(divide="ignore"):
                         logs = (np.log(v) + scale) / np.log(10.0)
                     top = logs.max(axis=1, keepdims=True)
                     power = np.where(top < -1, np.floor(-top), 0.0)
-                    values = np.power(10.0, logs + power)
-                    n = len(names) * len(ids)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([tree_id] * n, batch.schema.field(0).type), pa.array([family] * n, batch.schema.field(1).type),
-                        pa.array(np.repeat(names, len(ids)).astype(np.int32)), pa.array(np.full(n, node, np.int64)),
-                        pa.array(np.tile(np.asarray(ids, np.int64), len(names))),
-                        *[pa.array(values[:, k, :].ravel()) for k in range(len(states))], pa.array(power.ravel().astype(np.int32))],
-                        names=out_names)
+                    values = np.power(10.0, logs + power).transpose(0, 2, 1).reshape(n, len(states))
+                    made.append((np.full(n, r), kind, np.full(n, node, np.int64), of, values, power.ravel().astype(np.int32)))
+                    held_rows += n
+                    if held_rows >= ROWS_OUT:
+                        yield joined(part, made)
+                        held_rows, made = 0, []
+            if made:
+                yield joined(part, made)
+
+    def joined(part: pa.RecordBatch, made: list) -> pa.RecordBatch:
+        place, kind, node, of, values, power = (np.concatenate(z) for z in zip(*made))
+        place = pa.array(place)
+        return pa.RecordBatch.from_arrays(
+            [part.column(0).take(place), part.column(1).take(place), pa.array(kind), pa.array(node), pa.array(of),
+             *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(states))), pa.array(power)], names=out_names)
 
     out_names = [*KEYS, "class", "node", "pattern_id", *[f"l_{s}" for s in states], "scale"]
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(KEYS, kinds)), "class int, node bigint, pattern_id bigint",

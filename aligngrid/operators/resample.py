@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aligngrid.session import cut, spread
+
+#: Sites of a partition; each is drawn once in every replicate.
+COLUMNS = 1 << 14
+#: Drawn columns of a partition.
+DRAWS = 1 << 16
 DIGITS = 15  # hexadecimal digits of a draw: 60 bits, so the remainder is even over any alignment
 
 
@@ -26,6 +34,7 @@ def draws(columns: DataFrame, n_rep: int, seed: int = 12345) -> DataFrame:
 
 def bootstrap(site_pattern: DataFrame, n_rep: int, seed: int = 12345) -> DataFrame:
     """family, rep, pattern_id, n, n_original. site_pattern: family, pos, pattern_id."""
+    site_pattern = spread(site_pattern, COLUMNS, "family")
     original = site_pattern.groupBy("family", "pattern_id").agg(F.count("*").alias("n_original"))
     # how often a site was drawn, then per pattern: both aggregates are partial before the shuffle
     hit = draws(site_pattern.select("family", "pos"), n_rep, seed).groupBy("family", "rep", "pos").agg(F.count("*").alias("c"))
@@ -34,7 +43,14 @@ def bootstrap(site_pattern: DataFrame, n_rep: int, seed: int = 12345) -> DataFra
 
 
 def bootstrap_cells(cells: DataFrame, n_rep: int, seed: int = 12345) -> DataFrame:
-    """family, rep, seq_id, pos, state: whole resampled alignments. cells: family, seq_id, pos, state."""
-    cols = cells.select("family", "pos").distinct()
-    d = draws(cols, n_rep, seed)
-    return d.join(cells, ["family", "pos"]).select("family", "rep", "seq_id", F.col("draw").alias("pos"), "state")
+    """family, rep, seq_id, pos, state: whole resampled alignments. cells: family, seq_id, pos, state.
+
+    A column travels as one row with its cells, to the partition of its replicate, and is taken apart there.
+    """
+    cols = cut(cells.groupBy("family", "pos").agg(F.collect_list(F.struct("seq_id", "state")).alias("z")))
+    n_cols = cols.count()
+    d = draws(spread(cols.select("family", "pos"), COLUMNS, "family"), n_rep, seed)
+    drawn = d.join(cols, ["family", "pos"]).select("family", "rep", "draw", "z").repartition(
+        max(1, math.ceil(n_cols * n_rep / DRAWS)), "family", "rep")
+    return drawn.select("family", "rep", F.col("draw").alias("pos"), F.inline("z")).select(
+        "family", "rep", "seq_id", "pos", "state")
