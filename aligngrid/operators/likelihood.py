@@ -10,13 +10,16 @@ A tree of more than `TREE_NODES` nodes is not held in a task: it is pruned level
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from aligngrid import catalog
 from aligngrid.operators import kernel
 from aligngrid.operators import models as M
 from aligngrid.operators import trees as Tr
@@ -30,6 +33,8 @@ ONE = ((0, 1.0, 1.0),)
 TREE_NODES, PATTERNS, CELLS = 20_000, 512, 1 << 18
 #: Blocks whose results a task holds; rows of results that it gives out at a time, a node's at least.
 SLICE, ROWS_OUT = 64, 1 << 16
+#: Blocks of a partition, and numbers (nodes x classes x patterns x states) that are pruned together.
+TASK_BLOCKS, GROUP = 256, 1 << 19
 
 
 def pattern_blocks(patterns: DataFrame) -> DataFrame:
@@ -55,25 +60,69 @@ def with_ranks(edges: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def _rows(patterns: DataFrame, ranked: DataFrame, params: DataFrame, states: str) -> DataFrame:
-    """Blocks under their trees with their parameters, dealt out by tree, family and block."""
+    """Blocks under their trees with their parameters, dealt out by tree, family and block in partitions of about `TASK_BLOCKS`: the
+    rows are small beside the work and the results, so partitions by bytes would not grow with them."""
     pi = F.array(*[F.col(f"pi_{s}") for s in states])
-    rows = tree_rows(ranked).join(params.select("family", pi.alias("pi"), "kappa"), "family").join(pattern_blocks(patterns), "family")
-    return rows.repartition(*KEYS, "block")
+    blocks = cut(pattern_blocks(patterns))
+    trees = cut(tree_rows(ranked))
+    n_blocks, n_families = blocks.agg(F.count("*"), F.countDistinct("family")).head()
+    n = trees.count() * n_blocks / max(1, n_families)
+    rows = trees.join(params.select("family", pi.alias("pi"), "kappa"), "family").join(blocks, "family")
+    return rows.repartition(max(1, math.ceil(n / TASK_BLOCKS)), *KEYS, "block").select(
+        *KEYS, "nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids")
 
 
-def _block(states: str, nodes, parents, lengths, ranks, pi, kappa, text: str, n: int):
-    """(block, its parameter vector, node ids with children first)."""
-    table = np.full(256, -1, np.int64)
-    table[np.frombuffer(states.encode("ascii"), np.uint8)] = np.arange(len(states))
-    cells = table[np.frombuffer(text.encode("ascii"), np.uint8)].reshape(n, -1).T
-    cells = np.concatenate([cells, np.full((1, n), -1)])  # the last row is of a sequence without data
-    first, ids, up = kernel.ordered_tree(nodes, parents)
-    leaf = np.asarray(ranks)[first]
-    leaf = np.append(np.where(leaf == -2, len(cells) - 1, leaf), -1)
-    core = "HKY" if states == "ACGT" else states
-    with np.errstate(divide="ignore"):
-        x = np.log(np.append(np.asarray(lengths, float)[first], [kappa] if core == "HKY" else []))
-    return kernel.Block(core, False, 0, pi, None, up, leaf, cells, np.ones(n)), x, ids
+class _Group:
+    """Rows of a batch whose blocks are pruned together.
+
+    rows: their places in the batch; sizes, ids: number and ids of the patterns of each (ids: rows x patterns); forest, eigen and
+    lengths: arguments of the pruning; nodes: ids of the forest's places, the roots last.
+    """
+
+    def __init__(self, states: str, rows: np.ndarray, cells: list):
+        nodes, parents, lengths, ranks, pi, kappa, text, ids = ([column[r] for r in rows] for column in cells)
+        k = len(states)
+        table = np.full(256, k, np.int64)
+        table[np.frombuffer(states.encode("ascii"), np.uint8)] = np.arange(k)
+        self.rows, self.sizes = rows, np.array([len(x) for x in ids])
+        wide = int(self.sizes.max())
+        self.ids = np.zeros((len(rows), wide), np.int64)
+        shown = [table[np.frombuffer(t.encode("ascii"), np.uint8)].reshape(n, -1).T for t, n in zip(text, self.sizes)]
+        first = np.cumsum([0] + [len(x) for x in shown])
+        cols = np.full((first[-1] + 1, wide), k, np.int64)  # the last row is of a sequence without data
+        for r, (x, own) in enumerate(zip(shown, ids)):
+            self.ids[r, :len(own)] = own
+            cols[first[r]:first[r + 1], :len(own)] = x
+        tree = np.repeat(np.arange(len(rows)), [len(x) for x in nodes])
+        up, roots = kernel.forest_places(tree, np.concatenate(nodes), np.concatenate(parents))
+        rank = np.concatenate(ranks)
+        leaf = np.where(rank >= 0, rank + first[tree], np.where(rank == -2, first[-1], -1))
+        self.forest = kernel.Forest(tree, up, leaf, cols, k)
+        self.nodes, self.trees = np.append(np.concatenate(nodes), roots), np.append(tree, np.arange(len(rows)))
+        s = np.ones((len(rows), k, k))
+        if states == "ACGT":
+            for a, b in ((0, 2), (1, 3)):
+                s[:, a, b] = s[:, b, a] = kappa
+        self.pi = np.array(pi, float)
+        self.eigen = kernel.decompositions(s, self.pi)
+        length = np.concatenate(lengths).astype(float)
+        self.lengths = np.minimum(np.where(length < 0, np.nan, length), catalog.MAX_BRANCH)
+
+
+def _groups(part: pa.RecordBatch, states: str, n_classes: int) -> Iterator[_Group]:
+    """The rows of a batch (keys first) in groups of at most `GROUP` numbers, a row at least; rows of similar numbers of patterns together."""
+    cells = [_cells(part.column(k)) for k in range(len(KEYS), part.num_columns)]
+    n_nodes, sizes = [len(x) + 1 for x in cells[0]], [len(x) for x in cells[-1]]
+    rows, held = [], 0
+    for r in np.argsort(sizes, kind="stable"):
+        # rows come with growing sizes: those of the group are padded to that of this one
+        held += n_nodes[r]
+        if rows and held * sizes[r] * n_classes * len(states) > GROUP:
+            yield _Group(states, np.array(rows), cells)
+            rows, held = [], n_nodes[r]
+        rows.append(r)
+    if rows:
+        yield _Group(states, np.array(rows), cells)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,22 +159,22 @@ def site_likelihood(patterns: DataFrame, edges: DataFrame, sequences: DataFrame,
     held = ranked if large is None else ranked.join(large, KEYS, "left_anti")
 
     names = np.array([c for c, _, _ in classes], np.int32)
-    rows = _rows(patterns, held, params, states).select(*KEYS, "nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids")
+    rows = _rows(patterns, held, params, states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            place, kind, of, lnl = [], [], [], []
-            for r, (*tree, pi, kappa, text, ids) in enumerate(zip(*(_cells(part.column(k)) for k in range(2, part.num_columns)))):
-                block, x, _ = _block(states, *tree, pi, kappa, text, len(ids))
-                lnl.append(block.class_lnl(x, rates).ravel())
-                place.append(np.full(len(names) * len(ids), r))
-                kind.append(np.repeat(names, len(ids)))
-                of.append(np.tile(ids, len(names)))
-            place = pa.array(np.concatenate(place))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(place), part.column(1).take(place), *(pa.array(np.concatenate(z)) for z in (kind, of, lnl))],
-                names=[*KEYS, "class", "pattern_id", "lnl"])
-
+            for g in _groups(part, states, len(rates)):
+                for _, v, scale in g.forest.upwards(g.eigen, g.lengths[:, None] * np.array(rates)):
+                    pass  # the roots come last, in the order of the trees
+                lnl = np.log(np.maximum(np.einsum("rk,rcmk->rcm", g.pi, v), 1e-300)) + scale[:, None, :]
+                r, c, m = np.nonzero(np.broadcast_to((np.arange(lnl.shape[2]) < g.sizes[:, None])[:, None], lnl.shape))
+                place = pa.array(g.rows[r])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(place), part.column(1).take(place), pa.array(names[c]),
+                     pa.array(g.ids[r, m]).cast(id_type), pa.array(lnl[r, c, m])],
+                    names=[*KEYS, "class", "pattern_id", "lnl"])
+
+    id_type = to_arrow_type(rows.schema["ids"].dataType.elementType)
     ship(edges.sparkSession)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEYS)
     out = rows.mapInArrow(run, f"{kinds}, class int, pattern_id {rows.schema['ids'].dataType.elementType.simpleString()}, lnl double")
@@ -143,40 +192,42 @@ def partials(patterns: DataFrame, edges: DataFrame, sequences: DataFrame, params
     `scale` counts the powers.
     """
     rates = [float(r) for _, r, _ in classes]
-    names = [c for c, _, _ in classes]
+    names = np.array([c for c, _, _ in classes], np.int32)
     ranked = with_ranks(edges, sequences)
     large = _large(edges)
     held = ranked if large is None else ranked.join(large, KEYS, "left_anti")
-    rows = _rows(patterns, held, params, states).select(*KEYS, "nodes", "parents", "lengths", "ranks", "pi", "kappa", "text", "ids")
+    rows = _rows(patterns, held, params, states)
     kinds = [rows.schema[k].dataType.simpleString() for k in KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shows = np.concatenate([np.eye(len(states)), np.ones((1, len(states)))])
         for part in _slices(batches):
-            held_rows, made = 0, []
-            for r, (*tree, pi, kappa, text, ids) in enumerate(zip(*(_cells(part.column(k)) for k in range(2, part.num_columns)))):
-                block, x, node_ids = _block(states, *tree, pi, kappa, text, len(ids))
-                n = len(names) * len(ids)
-                kind, of = np.repeat(np.array(names, np.int32), len(ids)), np.tile(ids.astype(np.int64), len(names))
-                for node, (v, scale) in zip(node_ids, block.vectors(x, rates)):
-                    with np.errstate(divide="ignore"):
-                        logs = (np.log(v) + scale) / np.log(10.0)
-                    top = logs.max(axis=1, keepdims=True)
-                    power = np.where(top < -1, np.floor(-top), 0.0)
-                    values = np.power(10.0, logs + power).transpose(0, 2, 1).reshape(n, len(states))
-                    made.append((np.full(n, r), kind, np.full(n, node, np.int64), of, values, power.ravel().astype(np.int32)))
-                    held_rows += n
-                    if held_rows >= ROWS_OUT:
-                        yield joined(part, made)
-                        held_rows, made = 0, []
-            if made:
-                yield joined(part, made)
-
-    def joined(part: pa.RecordBatch, made: list) -> pa.RecordBatch:
-        place, kind, node, of, values, power = (np.concatenate(z) for z in zip(*made))
-        place = pa.array(place)
+            for g in _groups(part, states, len(rates)):
+                most = max(1, ROWS_OUT // (g.ids.shape[1] * len(rates)))
+                tips = np.flatnonzero(g.forest.leaf >= 0)
+                for low in range(0, len(tips), most):
+                    some = tips[low:low + most]
+                    v = shows[g.forest.cols[g.forest.leaf[some]]][:, None]
+                    v = np.broadcast_to(v, (v.shape[0], len(rates), *v.shape[2:]))
+                    yield joined(part, g, some, v, np.zeros((len(some), v.shape[2])))
+                for places, v, scale in g.forest.upwards(g.eigen, g.lengths[:, None] * np.array(rates)):
+                    for low in range(0, len(places), most):
+                        yield joined(part, g, places[low:low + most], v[low:low + most], scale[low:low + most])
+
+    def joined(part: pa.RecordBatch, g: _Group, places, v, scale) -> pa.RecordBatch:
+        tree = g.trees[places]
+        with np.errstate(divide="ignore"):
+            top = np.log10(v.max(axis=3)) + scale[:, None, :] / np.log(10.0)
+        power = np.where(top < -1, np.floor(-top), 0.0)
+        # a vector of zeros has no power
+        power = np.where(np.isfinite(power), power, 0.0)
+        values = v * np.exp(scale[:, None, :] + power * np.log(10.0))[..., None]
+        n, c, m = np.nonzero(np.broadcast_to((np.arange(v.shape[2]) < g.sizes[tree][:, None])[:, None], v.shape[:3]))
+        values, place = values[n, c, m], pa.array(g.rows[tree[n]])
         return pa.RecordBatch.from_arrays(
-            [part.column(0).take(place), part.column(1).take(place), pa.array(kind), pa.array(node), pa.array(of),
-             *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(states))), pa.array(power)], names=out_names)
+            [part.column(0).take(place), part.column(1).take(place), pa.array(names[c]), pa.array(g.nodes[places[n]]),
+             pa.array(g.ids[tree[n], m]), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(states))),
+             pa.array(power[n, c, m].astype(np.int32))], names=out_names)
 
     out_names = [*KEYS, "class", "node", "pattern_id", *[f"l_{s}" for s in states], "scale"]
     schema = ", ".join([*(f"{k} {t}" for k, t in zip(KEYS, kinds)), "class int, node bigint, pattern_id bigint",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from aligngrid import catalog
 from aligngrid.operators import aggregate as A
 from aligngrid.operators import likelihood as L
+from aligngrid.session import cut
 
 
 def _set_of(which: dict[int, int], pos=None):
@@ -49,22 +50,24 @@ def shared_frequencies(freq: DataFrame, model_of: dict[int, int]) -> DataFrame:
 
 
 def own_likelihood(sites: DataFrame, edges: DataFrame, params: DataFrame, model_of: dict[int, int], tree_of: dict[int, int],
-                   missing: DataFrame | None = None, classes=L.ONE) -> DataFrame:
+                   missing: DataFrame | None = None, classes=L.ONE, cols: DataFrame | None = None,
+                   sequences: DataFrame | None = None) -> DataFrame:
     """tree_id, family, lnl: sum over the positions, each under the parameters and the tree of its sets.
 
     sites: family, seq_id, pos, ch (nucleotides). edges: tree_id, tree_set, family, node, parent, length, leaf_seq. params: family,
     model_set, pi_A.., kappa. model_of and tree_of name the same positions; the others add `missing`. classes: as in
-    `site_likelihood`, mixed by their weights.
+    `site_likelihood`, mixed by their weights. cols, sequences: columns and sequences of the sites, if the caller has them.
     """
     if set(model_of) != set(tree_of):
         raise ValueError("a position has both a parameter set and a tree set or neither")
     part = lambda *more: F.struct("family", "model_set", "tree_set", *more).alias("family")
     sets = sorted({(model_of[p], tree_of[p]) for p in model_of})
     pairs = F.array(*[F.struct(F.lit(m).alias("model_set"), F.lit(t).alias("tree_set")) for m, t in sets])
-    own = sites.withColumn("model_set", _set_of(model_of)).withColumn("tree_set", _set_of(tree_of)).filter("model_set is not null")
-    own = own.select(part(), "seq_id", "pos", "ch")
-    patterns = A.patterns(own)
-    sequences = sites.select("family", "seq_id").distinct().select("*", F.inline(pairs)).select(part(), "seq_id")
+    cols = A.columns(sites) if cols is None else cols
+    own = cols.withColumn("model_set", _set_of(model_of)).withColumn("tree_set", _set_of(tree_of)).filter("model_set is not null")
+    patterns = cut(A.patterns_of(own, "model_set", "tree_set").select(part(), "pattern", "n", "pattern_id"), merge=False)
+    sequences = sites.select("family", "seq_id").distinct() if sequences is None else sequences
+    sequences = sequences.select("*", F.inline(pairs)).select(part(), "seq_id")
     given = params.join(params.select("family").distinct().select("*", F.inline(pairs)), ["family", "model_set"]).select(
         part(), *[f"pi_{b}" for b in catalog.DNA], "kappa")
     tree = edges.join(edges.select("family").distinct().select("*", F.inline(pairs)), ["family", "tree_set"]).select(
